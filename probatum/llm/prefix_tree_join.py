@@ -316,7 +316,8 @@ def similarity_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     sizes = members.groupBy("comp").agg(F.count("*").alias("of")).where("of > 1")
     members = members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("of") / F.lit(block)).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("d2"), F.col("blocks")).cast("int")).drop("of", "n_shingles")
-    bodies = members.join(slim.withColumnRenamed("doc_id", "rep"), "rep").select("comp", "blocks", "block", "rep", "copies", "d1", "d2", "text").mapInArrow(_bodies(width), "comp long, blocks int, block int, rep long, copies long, d1 long, d2 long, body binary")
+    # Members grow with the documents: a plan that broadcasts them while they are few would change with size.
+    bodies = members.hint("merge").join(slim.withColumnRenamed("doc_id", "rep"), "rep").select("comp", "blocks", "block", "rep", "copies", "d1", "d2", "text").mapInArrow(_bodies(width), "comp long, blocks int, block int, rep long, copies long, d1 long, d2 long, body binary")
     units = bodies.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "x").alias("bi"), F.greatest("block", "x").alias("bj"), "block", "rep", "copies", "d1", "d2", "body")
     units = units.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
     links = cut(units.mapInArrow(_join_units(num, den), "d1 long, d2 long, rep long, root long, links long"), "links")
