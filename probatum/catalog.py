@@ -1,10 +1,5 @@
 """The registered queries and the SQL that each is held against."""
 
-from __future__ import annotations
+from probatum.plans.queries import ORACLE, QUERIES, flagship
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "flagship"]
