@@ -37,8 +37,8 @@ from .hashing import mix, slices, word_hashes
 
 END = np.uint64(1)  # no word hash: checked where words are hashed
 HELD_OUT = (7, 2)
-FLUSH = 4_000_000
-SHARD_WORDS = 4_000_000
+FLUSH = 1_500_000
+SHARD_WORDS = 2_000_000
 
 
 # --- blocks of sorted keys with counts ---------------------------------------------------------------
@@ -120,7 +120,7 @@ def _counting(shards: int, shard_of, keys_of):
         held, n = [], 0
         look = keys_of()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 keys = look(batch.column("text"))
                 if len(keys):
                     held.append(tally(keys))
@@ -391,7 +391,7 @@ def score(docs: DataFrame, model: Model, held=HELD_OUT) -> DataFrame:
     def run(batches):
         s = model.open()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 h, at = documents_tokens(batch.column("text"))
                 ids = s.ids(h)
                 left = np.concatenate([[model.v], ids[:-1]]) if len(ids) else ids
