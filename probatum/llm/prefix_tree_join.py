@@ -36,6 +36,10 @@ from .hashing import mix, slices, word_hashes
 BLOCK = 256
 RATIO = 1.25
 FLUSH = 2_000_000
+#: Below a threshold of EXACT, parts would hold too few shingles to tell documents apart.
+EXACT = 0.85
+BANDS, ROWS = 64, 6
+_FACTORS = np.random.default_rng(77).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -113,6 +117,19 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """BANDS signatures of ROWS min-hashes each."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 4096):
+        part = s[at : at + 4096]
+        low = np.minimum(low, ((part ^ (part >> np.uint64(29))) * _FACTORS[:, None]).min(1))
+    low = mix(low).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64) * _B
+    for k in range(ROWS):
+        out = mix(out * _A + low[:, k])
+    return out
+
+
 def _sets(width: int):
     def run(batches):
         for whole in batches:
@@ -146,11 +163,11 @@ def _candidates(width: int, num: int, den: int):
             yield pa.RecordBatch.from_arrays([pa.array(mix((e[:, 0] ^ e[:, 1] * 3).view(np.uint64)).view(np.int64)), pa.array(e[:, 0]), pa.array(e[:, 1])], ["sig", "node", "other"])
 
     def run(batches):
-        classes, sig, node, held = Classes(num, den), [], [], 0
+        classes, exact, sig, node, held = Classes(num, den), num >= EXACT * den, [], [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 for s in shingle_sets(batch.column("text"), width):
-                    if len(got := signatures(s, classes) if len(s) else s):
+                    if len(got := (signatures(s, classes) if exact else bands(s)) if len(s) else s):
                         sig.append(got.view(np.int64))
                         node.append(np.full(len(got), digest(s)[0], np.int64))
                         held += len(got)
