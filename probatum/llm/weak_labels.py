@@ -26,6 +26,9 @@ from .common import cut, text_of, words
 #: Bound of the rows that the scorer is fitted on, for each of its two strata.
 SAMPLE = 8_000
 DIMS = 4_096
+#: Labellers are set so that a junk vote falls on at most this share of good documents; estimates may only be lower.
+#: Without the bound, the likelihood is highest for classes that follow votes which always come together.
+FALSE_ALARM = 5e-4
 
 
 def _rate(a: Column, b: Column, by: int = 1000) -> Column:
@@ -77,7 +80,8 @@ def votes() -> Column:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100):
     """(posterior of good per pattern, share of good, outcome rates [class, labeller, junk / good / abstain]).
 
-    Starts from 'any junk vote is junk'; a vote for a class may not speak against it, so classes keep their meaning.
+    Starts from 'any junk vote is junk'; a vote for a class may not speak against it and
+    an abstention speaks for neither, so classes keep their meaning.
     """
     outcome = np.where(patterns < 0, 2, patterns)
     one_hot = np.stack([outcome == o for o in range(3)], 2).astype(float)
@@ -89,9 +93,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         for c, w in ((0, counts * (1 - p)), (1, counts * p)):
             rates[c] = np.einsum("n,nlo->lo", w, one_hot) + 0.5
             rates[c] /= rates[c].sum(1, keepdims=True)
+        rates[1][:, 0] = np.minimum(rates[1][:, 0], FALSE_ALARM)
         low = np.log(rates)
         odds = low[1] - low[0]
-        odds[:, 0], odds[:, 1] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 1], 0)
+        odds[:, 0], odds[:, 1], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 1], 0), 0
         z = np.log(share / (1 - share)) + np.einsum("nlo,lo->n", one_hot, odds)
         new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         moved, p = np.abs(new - p).max(initial=0), new
