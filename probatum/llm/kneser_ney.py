@@ -38,7 +38,7 @@ from .hashing import mix, slices, word_hashes
 END = np.uint64(1)  # no word hash: checked where words are hashed
 HELD_OUT = (7, 2)
 FLUSH = 1_500_000
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 
 
 # --- blocks of sorted keys with counts ---------------------------------------------------------------
@@ -170,6 +170,13 @@ class Files:
             spark.sparkContext.addFile(self.path, recursive=True)
 
 
+def _put(folder: str, name: str, array: np.ndarray) -> None:
+    """Under its name only when complete: a task that runs again, or beside another, writes the same file."""
+    part = f"{folder}/.{name}-{os.urandom(6).hex()}"
+    array.tofile(part)
+    os.replace(part, f"{folder}/{name}")
+
+
 def _save(spark: SparkSession, blobs: DataFrame, files: Files, sizes: dict[str, int], offsets: dict[tuple[str, int], int]) -> None:
     """Rows (name, part, body) become parts of files of known sizes; what no part covers is zero.
 
@@ -245,7 +252,9 @@ class Scorer:
         self.counts = f.map("counts", np.uint64)
         stats = f.map("stats", np.int64).reshape(-1, 4)  # begun with count 1, 2, 3+; ended
         self.begun, self.ended = stats[:, :3], stats[:, 3]
-        self.keys, self.times = f.map("keys", np.uint64), f.map("times", np.uint32)
+        full = [s for s in range(m.shards) if m.bounds[s + 1] > m.bounds[s]]
+        self.keys = {s: f.map(f"keys-{s}", np.uint64) for s in full}
+        self.times = {s: f.map(f"times-{s}", np.uint32) for s in full}
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of known tokens; V + 1 for unknown ones."""
@@ -277,8 +286,9 @@ class Scorer:
         u, back = np.unique(left[pair].astype(np.uint64) << np.uint64(32) | right[pair].astype(np.uint64), return_inverse=True)
         of, got = key_shard(u, m.shards), np.zeros(len(u))
         for s in range(m.shards):
-            at, keys, times = np.flatnonzero(of == s), self.keys[m.bounds[s] : m.bounds[s + 1]], self.times[m.bounds[s] : m.bounds[s + 1]]
-            if len(at) and len(keys):
+            at = np.flatnonzero(of == s)
+            if len(at) and s in self.keys:
+                keys, times = self.keys[s], self.times[s]
                 k = np.minimum(np.searchsorted(keys, u[at]), len(keys) - 1)
                 got[at] = np.where(keys[k] == u[at], times[k], 0)
         c[pair] = got[back]
@@ -339,11 +349,18 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS) -> Model:
 
         return look
 
+    folder = _local(files.path)
+
     def merge_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(pdf)
         times = np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.uint32)
         coc = np.bincount(np.minimum(counts, np.uint64(5)).astype(np.int64), minlength=6).tolist()
-        rows = [("keys", key[0], len(keys), keys.tobytes(), b"", coc), ("times", key[0], len(keys), times.tobytes(), b"", None)]
+        if folder is not None:  # a shard's arrays don't pass through the JVM
+            _put(folder, f"keys-{key[0]}", keys)
+            _put(folder, f"times-{key[0]}", times)
+            rows = [("keys", key[0], len(keys), b"", b"", coc)]
+        else:
+            rows = [("keys", key[0], len(keys), keys.tobytes(), times.tobytes(), coc)]
         # Per id: code 0, 1, 2 for bigrams of count 1, 2, 3+ that it begins, 3 for those that it ends.
         code = (keys >> np.uint64(32)) << np.uint64(2) | np.minimum(counts, np.uint64(3)) - np.uint64(1)
         ended = (keys & np.uint64(0xFFFFFFFF)) << np.uint64(2) | np.uint64(3)
@@ -362,8 +379,11 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS) -> Model:
     for s in range(shards):
         bounds.append(bounds[-1] + (held[s].n if s in held else 0))
     coc2 = [sum(r.coc[k] for r in held.values()) for k in range(6)]
-    begin = {(name, s): bounds[s] * size for s in range(shards) for name, size in (("keys", 8), ("times", 4))}
-    _save(spark, merged.where("name <> 'stats'").select("name", "part", F.col("keys").alias("body")), files, {"keys": 8 * bounds[-1], "times": 4 * bounds[-1]}, begin)
+    if folder is None:
+        for name, body in (("keys", "keys"), ("times", "counts")):
+            blobs = merged.where("name = 'keys'").select(F.concat(F.lit(f"{name}-"), "part").alias("name"), F.lit(0).alias("part"), F.col(body).alias("body"))
+            width = 8 if name == "keys" else 4
+            _save(spark, blobs, files, {f"{name}-{s}": width * r.n for s, r in held.items()}, {(f"{name}-{s}", 0): 0 for s in held})
 
     low = [-(-t * (v + 1) // shards) for t in range(shards + 1)]  # id ranges
 
