@@ -19,9 +19,8 @@ def asymmetric(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, depth: int) -> DataFrame:
     """(a, b, pasos): least steps of each path up to a depth. Pairs are made distinct each step, so cycles end."""
     step = edges.select("a", "b").distinct()
-    seen = step.withColumn("pasos", F.lit(1))
-    front = seen
+    front, seen = step, step.withColumn("pasos", F.lit(1))
     for d in range(2, depth + 1):
-        front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("pasos", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+        front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
+        seen = seen.unionByName(front.withColumn("pasos", F.lit(d)))
+    return seen.groupBy("a", "b").agg(F.min("pasos").alias("pasos"))
