@@ -30,8 +30,16 @@ class RuleSpec:
     requires_import: Sequence[str] = field(default_factory=tuple)
 
 
-def any_match(column: Column, patterns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [column.rlike(p) for p in patterns], F.lit(False))
+#: Patterns of rules mean what Python's re means by them: Unicode classes, boundaries and case, lines end at a line feed.
+ON_PATHS, ON_TEXT = "(?Ud)", "(?Udm)"
+
+
+def any_match(column: Column, patterns: Sequence[str], flags: str = ON_TEXT) -> Column:
+    return reduce(lambda a, b: a | b, [column.rlike(flags + p) for p in patterns], F.lit(False))
+
+
+def in_scope(rule: RuleSpec) -> Column:
+    return F.col("path").rlike(ON_PATHS + rule.only_in) if rule.only_in else F.lit(True)
 
 
 def content_rules(files: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
@@ -43,8 +51,8 @@ def content_rules(files: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
     """
     aggs = []
     for i, r in enumerate(rules):
-        scope = F.col("path").rlike(r.only_in) if r.only_in else F.lit(True)
-        hit = scope & any_match(F.col("path") if r.kind == "fichero" else F.col("text"), r.patterns)
+        scope = in_scope(r)
+        hit = scope & (any_match(F.col("path"), r.patterns, ON_PATHS) if r.kind == "fichero" else any_match(F.col("text"), r.patterns))
         aggs += [F.count_if(hit).alias(f"n{i}"), F.min(F.when(hit, F.col("path"))).alias(f"p{i}"), F.count_if(scope).alias(f"s{i}")]
     wide = files.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(r.id).alias("regla_id"), F.lit(r.kind).alias("tipo"), F.lit(r.severity).alias("severidad"), F.col(f"n{i}").alias("casan"), F.col(f"p{i}").alias("primero"), F.col(f"s{i}").alias("en_ambito")) for i, r in enumerate(rules)])
@@ -56,8 +64,7 @@ def content_rules(files: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
 
 def forbidden_findings(files: DataFrame, rule: RuleSpec) -> DataFrame:
     """One finding for each file that holds what the rule forbids."""
-    scoped = files.where(F.col("path").rlike(rule.only_in)) if rule.only_in else files
-    return scoped.where(any_match(F.col("text"), rule.patterns)).select(F.lit(rule.id).alias("regla_id"), F.lit(rule.severity).alias("severidad"), F.col("path").alias("localizacion"))
+    return files.where(in_scope(rule) & any_match(F.col("text"), rule.patterns)).select(F.lit(rule.id).alias("regla_id"), F.lit(rule.severity).alias("severidad"), F.col("path").alias("localizacion"))
 
 
 def suffixes(dotted: Column) -> Column:

@@ -57,12 +57,16 @@ RULES = (
 )
 
 
+#: A boundary between Unicode words, as the other dialect's knows ASCII only.
+UNICODE_BOUNDARY = {r"\bund\b": r"(^|[^\pL\pN_])und([^\pL\pN_]|$)"}
+
+
 def _rules_sql() -> str:
     parts = []
     for r in RULES:
         scope = f"regexp_matches(path, '{r.only_in}')" if r.only_in else "TRUE"
         on = "path" if r.kind == "fichero" else "text"
-        hit = f"({scope} AND ({' OR '.join(f"regexp_matches({on}, '{p}')" for p in r.patterns)}))"
+        hit = f"({scope} AND ({' OR '.join(f"regexp_matches({on}, '{UNICODE_BOUNDARY.get(p, p)}')" for p in r.patterns)}))"
         parts.append(f"SELECT '{r.id}' AS regla_id, '{r.kind}' AS tipo, '{r.severity}' AS severidad, count(*) FILTER {hit.replace('(', '(WHERE (', 1)}) AS casan, min(path) FILTER (WHERE {hit}) AS p, count(*) FILTER (WHERE {scope}) AS en_ambito FROM {FILES}")
     return f"""SELECT regla_id, tipo, severidad, casan, en_ambito,
         CASE WHEN tipo <> 'fichero' AND en_ambito = 0 THEN 'no_aplicable' WHEN (tipo <> 'contenido_prohibido') = (casan > 0) THEN 'senal' ELSE 'hallazgo' END AS estado,

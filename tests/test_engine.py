@@ -70,3 +70,10 @@ def test_push_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.decision for r in spark.sql("SELECT decision FROM pushes_out ORDER BY n").collect()] == ["reobservar", "ignorar", "revalidar"]
+
+
+def test_patterns_mean_what_python_means(spark):
+    rows = [("é.py", "ein und aus"), ("b.py", "hundö undöte"), ("c.py", "x\rund y\n"), ("d.py", "VERSIÓN")]
+    f = spark.createDataFrame(rows, "path string, text string")
+    hits = lambda p: {r.localizacion for r in rules.forbidden_findings(f, rules.RuleSpec("R", "contenido_prohibido", patterns=(p,))).collect()}
+    assert hits(r"\bund\b") == {"é.py", "c.py"} and hits("^und") == set() and hits("(?i)versi[oó]n") == {"d.py"}
