@@ -1,5 +1,6 @@
 """The registered queries and the SQL that each is held against."""
 
+from probatum.plans import documents
 from probatum.plans.queries import ORACLE, QUERIES, flagship
 
-__all__ = ["ORACLE", "QUERIES", "flagship"]
+__all__ = ["ORACLE", "QUERIES", "documents", "flagship"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,46 @@ def inclusion(decision: Column, binding: Column, unresolved: Column) -> Column:
 
 def provenance(derived: Column, supplied: Column) -> Column:
     return F.when(derived.isNotNull() & supplied.isNotNull(), "ambos").when(derived.isNotNull(), "derivado").when(supplied.isNotNull(), "aportado").otherwise("ausente")
+
+
+def plan_line(situation: Column, packs: Column, organisational: Column, outcome: Column, questions: Column) -> Column:
+    """State of a plan's line: by situation, then whether rules exist, then their outcome and open questions."""
+    return (
+        F.when(situation == "no_ata", "no_ata")
+        .when(situation == "indeterminada", "sin_resolver")
+        .when(situation == "futura", "futura")
+        .when(packs == 0, F.when(organisational, "solo_formulario").otherwise("a_preguntar"))
+        .when(outcome == "con_hallazgos", "con_hallazgos")
+        .when((outcome == "sin_hallazgos") & (questions == 0), "comprobada")
+        .otherwise("a_preguntar")
+    )
+
+
+#: Inputs of a management review and the clauses that support each.
+REVIEW_INPUTS = {
+    "estado_de_acciones_previas": ("ISO-9.3.3",),
+    "cambios_en_el_contexto": ("ISO-4.1", "ISO-4.2"),
+    "cambios_en_las_partes_interesadas": ("ISO-4.2",),
+    "no_conformidades_y_acciones": ("ISO-10.2",),
+    "seguimiento_y_medicion": ("ISO-9.1",),
+    "resultados_de_auditoria": ("ISO-9.2.2",),
+    "cumplimiento_de_objetivos": ("ISO-6.2",),
+    "resultados_de_riesgo": ("ISO-8.2", "ISO-8.3"),
+    "evaluaciones_de_impacto": ("ISO-8.4", "ISO-6.1.4"),
+    "oportunidades_de_mejora": ("ISO-10.1",),
+}
+
+
+def review(evidence: DataFrame) -> DataFrame:
+    """(entrada, situacion, apoyos, caducados) from evidence(control_id, estado).
+
+    Evidence that no longer counts (caducada) differs from none at all (ausente). Evidence is counted for
+    each clause before it meets the inputs, so a hot clause is one row.
+    """
+    rows = [(name, clause) for name, clauses in REVIEW_INPUTS.items() for clause in clauses]
+    inputs = evidence.sparkSession.createDataFrame(rows, "entrada string, control_id string")
+    valid = F.col("estado") == "valida"
+    counts = evidence.groupBy("control_id").agg(F.count_if(valid).alias("a"), F.count_if(~valid).alias("c"))
+    g = inputs.join(counts, "control_id", "left").groupBy("entrada").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("apoyos"), F.coalesce(F.sum("c"), F.lit(0)).alias("caducados"))
+    state = F.when(F.col("apoyos") > 0, "aportada").when(F.col("caducados") > 0, "caducada").otherwise("ausente")
+    return g.select("entrada", state.alias("situacion"), "apoyos", "caducados")
