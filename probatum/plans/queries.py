@@ -57,7 +57,7 @@ RULES = (
 )
 
 
-#: A boundary between Unicode words, as the other dialect's knows ASCII only.
+#: A boundary between Unicode words: the other dialect's boundary is ASCII.
 UNICODE_BOUNDARY = {r"\bund\b": r"(^|[^\pL\pN_])und([^\pL\pN_]|$)"}
 
 
