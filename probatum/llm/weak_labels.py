@@ -106,10 +106,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def hashed() -> Column:
-    """Places of a document's features among DIMS weights."""
+    """Places of a document's features among DIMS weights, each once, so that no text has more than DIMS."""
     steps = [F.concat(F.lit(f"{m}~"), F.floor(F.log2(F.col(m) + 1.0) * 2).cast("string")) for m in ("n_words", "symbols", "bars", "upper", "bangs", "distinct", "stops", "length", "same_lines")]
-    both = F.concat(F.array(*steps), F.transform(F.slice(F.col("shapes"), 1, 2_000_000), lambda s: F.concat(F.lit("#"), s)))
-    return F.transform(both, lambda s: F.pmod(F.xxhash64(s), F.lit(DIMS)).cast("int"))
+    both = F.concat(F.array(*steps), F.transform("shapes", lambda s: F.concat(F.lit("#"), s)))
+    return F.array_distinct(F.transform(both, lambda s: F.pmod(F.xxhash64(s), F.lit(DIMS)).cast("int")))
 
 
 def fit(rows: list[tuple[list[int], float, float]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
