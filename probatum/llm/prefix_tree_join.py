@@ -10,8 +10,9 @@
    partition. A passage that many documents share gives no edge, as a whole part must be equal.
    Below t = 0.85 parts would be too small for that: there, signatures are 64 bands of 6 min-hashes, which
    miss a pair at 0.8 with a probability of (1 - 0.8^6)^64 < 4e-9.
-3. The components of these edges bound the join. A component is dealt into blocks by hash and each pair of
-   blocks is one unit of work, so memory and the longest task follow the block and not the component.
+3. The components of these edges bound the join. A component is dealt into blocks by hash, of so many sets and
+   so many shingles, and each pair of blocks is one unit of work, so memory and the longest task follow the
+   block and not the component, nor the length of its texts.
 4. In a unit, shingles get one global order (frequent in the unit first, then by hash) and the ordered sets
    of one block form a prefix tree, whose unary chains are single edges. The sets of the other block walk
    the tree all at once: a node holds the overlap of its path with each of them, shared by all sets below.
@@ -36,6 +37,9 @@ from .common import connected_components, cut
 from .hashing import mix, slices, word_hashes
 
 BLOCK = 256
+#: Shingles of a block (on average, and unless one set has more) and counters that walk a tree at once.
+SHINGLES = 1 << 22
+CELLS = 1 << 24
 RATIO = 1.25
 FLUSH = 2_000_000
 #: Below a threshold of EXACT, parts would hold too few shingles to tell documents apart.
@@ -182,38 +186,13 @@ def _candidates(width: int, num: int, den: int):
     return run
 
 
-def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: int):
-    """(index in sets, index in probes) of all pairs whose exact Jaccard similarity is at least num/den.
-
-    Overlaps are counted along the paths of a prefix tree over sets; see the module's text.
-    """
-    everything = np.concatenate([*sets, *probes])
-    if not len(sets) or not len(probes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    token, inverse, df = np.unique(everything, return_inverse=True, return_counts=True)
-    order = np.lexsort((token, -df))
-    rank = np.empty(len(token), np.int64)
-    rank[order] = np.arange(len(token))
-    ranks, cuts = rank[inverse], np.cumsum([len(s) for s in sets] + [len(p) for p in probes])
-    split = np.split(ranks, cuts[:-1])
-    tree = [np.sort(r) for r in split[: len(sets)]]
-    probe = split[len(sets) :]
-    shared = int((df > 1).sum())  # ranks beyond are in one set only and never match
+def _walk(tree: list[np.ndarray], length: np.ndarray, common: np.ndarray, shared: int, probe: list[np.ndarray], num: int, den: int):
+    """(place in tree, index in probe) of the links of some probes, which walk the tree together."""
     member = np.zeros((shared + 1, len(probe)), np.int32)
     for j, r in enumerate(probe):
         member[r[r < shared], j] = 1
     size_p = np.array([len(r) for r in probe], np.int64)
     passed = np.cumsum(member, 0, dtype=np.int32)  # of each probe, elements up to a rank
-    keys = [r.astype(">u4").tobytes() for r in tree]
-    order = sorted(range(len(tree)), key=keys.__getitem__)
-    tree = [tree[i] for i in order]
-    length = np.array([len(t) for t in tree], np.int64)
-    common = [0] * len(tree)
-    for k in range(1, len(tree)):
-        n = min(len(tree[k - 1]), len(tree[k]))
-        differ = np.flatnonzero(tree[k - 1][:n] != tree[k][:n])
-        common[k] = int(differ[0]) if len(differ) else n
-    common = np.array(common)
     found_t, found_p = [], []
     work = [(0, len(tree), 0, np.arange(len(probe)), np.zeros(len(probe), np.int64))]
     while work:
@@ -234,7 +213,7 @@ def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: i
         if not len(alive):
             continue
         if hi - lo == 1:
-            found_t.append(np.full(len(alive), order[lo]))
+            found_t.append(np.full(len(alive), lo))
             found_p.append(alive)
             continue
         begin = lo
@@ -246,6 +225,42 @@ def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: i
     return np.concatenate(found_t), np.concatenate(found_p)
 
 
+def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: int):
+    """(index in sets, index in probes) of all pairs whose exact Jaccard similarity is at least num/den.
+
+    Overlaps are counted along the paths of a prefix tree over sets; see the module's text.
+    """
+    everything = np.concatenate([*sets, *probes])
+    if not len(sets) or not len(probes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    token, inverse, df = np.unique(everything, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, -df))
+    rank = np.empty(len(token), np.int64)
+    rank[order] = np.arange(len(token))
+    ranks, cuts = rank[inverse], np.cumsum([len(s) for s in sets] + [len(p) for p in probes])
+    split = np.split(ranks, cuts[:-1])
+    tree = [np.sort(r) for r in split[: len(sets)]]
+    probe = split[len(sets) :]
+    shared = int((df > 1).sum())  # ranks beyond are in one set only and never match
+    keys = [r.astype(">u4").tobytes() for r in tree]
+    order = np.array(sorted(range(len(tree)), key=keys.__getitem__), np.int64)
+    tree = [tree[i] for i in order]
+    length = np.array([len(t) for t in tree], np.int64)
+    common = [0] * len(tree)
+    for k in range(1, len(tree)):
+        n = min(len(tree[k - 1]), len(tree[k]))
+        differ = np.flatnonzero(tree[k - 1][:n] != tree[k][:n])
+        common[k] = int(differ[0]) if len(differ) else n
+    common = np.array(common)
+    found_t, found_p = [], []
+    step = max(1, CELLS // (shared + 1))
+    for begin in range(0, len(probe), step):
+        t, p = _walk(tree, length, common, shared, probe[begin : begin + step], num, den)
+        found_t.append(order[t])
+        found_p.append(p + begin)
+    return np.concatenate(found_t), np.concatenate(found_p)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each of n reaches by links (a, b)."""
     label = np.arange(n)
@@ -320,7 +335,7 @@ def _bodies(width: int):
     return run
 
 
-def similarity_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+def similarity_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every document; links are Jaccard >= num/den."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if "text" in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     table = cut(slim.mapInArrow(_sets(width), "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
@@ -332,9 +347,10 @@ def similarity_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     comps = connected_components(edges).select(F.col("node").alias("d1"), F.col("label").alias("comp"))
 
     members = cut(classes.join(comps, "d1"), "members")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("of")).where("of > 1")
-    members = members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("of") / F.lit(block)).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("d2"), F.col("blocks")).cast("int")).drop("of", "n_shingles")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("of"), F.sum("n_shingles").alias("held")).where("of > 1")
+    blocks = F.least(F.greatest(F.ceil(F.col("of") / F.lit(block)), F.ceil(F.col("held") / F.lit(shingles))), F.col("of"))
+    members = members.join(sizes, "comp").withColumn("blocks", blocks.cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("d2"), F.col("blocks")).cast("int")).drop("of", "held", "n_shingles")
     # Members grow with the documents: a plan that broadcasts them while they are few would change with size.
     bodies = members.hint("merge").join(slim.withColumnRenamed("doc_id", "rep"), "rep").select("comp", "blocks", "block", "rep", "copies", "d1", "d2", "text").mapInArrow(_bodies(width), "comp long, blocks int, block int, rep long, copies long, d1 long, d2 long, body binary")
     units = bodies.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "x").alias("bi"), F.greatest("block", "x").alias("bj"), "block", "rep", "copies", "d1", "d2", "body")

@@ -180,7 +180,9 @@ def test_search_recall(spark):
     assert projection_search.nearest(e.limit(0)).count() == 0
 
 
-def test_tree_join_equals_brute_force():
+@pytest.mark.parametrize("cells", [1 << 24, 100])
+def test_tree_join_equals_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(prefix_tree_join, "CELLS", cells)  # few: probes walk the tree in turns
     rnd = random.Random(5)
     for _ in range(60):
         base = [rnd.sample(range(40), rnd.randint(5, 25)) for _ in range(4)]
@@ -191,8 +193,8 @@ def test_tree_join_equals_brute_force():
         assert set(zip(t.tolist(), p.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
-def test_similarity_groups_equal_brute_force(docs, width, num):
+@pytest.mark.parametrize(("width", "num", "shingles"), [(3, 90, 1 << 22), (3, 90, 200), (5, 80, 1 << 22)])
+def test_similarity_groups_equal_brute_force(docs, width, num, shingles):
     sets = {}
     for r in docs.collect():
         ws = words(low(r.text))
@@ -211,7 +213,7 @@ def test_similarity_groups_equal_brute_force(docs, width, num):
                 links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = prefix_tree_join.similarity_groups(docs, width, num, 100, block=4).collect()
+    got = prefix_tree_join.similarity_groups(docs, width, num, 100, block=4, shingles=shingles).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == {k: (len(s), find(k), links[k]) for k, s in sets.items()}
 
 
