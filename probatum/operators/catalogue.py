@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import reachable
+from .graph import closure
 
 #: Forms of an answer, who is asked, and the clauses that a cycle must lead back to.
 FORMATS = ("texto_corto", "texto_largo", "si_no", "fecha", "lista", "eleccion", "persona", "artefacto")
@@ -67,7 +67,7 @@ def management_problems(clauses: DataFrame, must_reach=MUST_REACH, depth: int =
     needs = clauses.select("id", F.explode("depende_de").alias("detalle")).distinct()
     known = clauses.select(F.col("id").alias("detalle"))
     one_sided = needs.join(known, "detalle", "left_semi").join(feeds.select(F.col("id").alias("detalle"), F.col("detalle").alias("id")), ["id", "detalle"], "left_anti")
-    reach = reachable(feeds.select(F.col("id").alias("a"), F.col("detalle").alias("b")), depth).select(F.col("a").alias("id"), F.col("b").alias("detalle"))
+    reach = closure(feeds.select(F.col("id").alias("a"), F.col("detalle").alias("b")), depth).select(F.col("a").alias("id"), F.col("b").alias("detalle"))
     must = clauses.sparkSession.createDataFrame(list(must_reach), "id string, detalle string")
     return _all(
         missing(feeds, clauses, "alimenta_inexistente"),

@@ -24,3 +24,20 @@ def reachable(edges: DataFrame, depth: int) -> DataFrame:
         front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
         seen = seen.unionByName(front.withColumn("pasos", F.lit(d)))
     return seen.groupBy("a", "b").agg(F.min("pasos").alias("pasos"))
+
+
+def closure(edges: DataFrame, depth: int) -> DataFrame:
+    """(a, b) of every path of one step or more, at least all of up to depth steps; for catalogues.
+
+    Every node also leads to itself, so that one table, joined with itself, holds all shorter paths: the plan
+    has as many joins as depth has binary digits.
+    """
+    step = edges.select("a", "b").distinct()
+    reach, k = step.unionByName(step.select("a", F.col("a").alias("b"))).unionByName(step.select(F.col("b").alias("a"), "b")).distinct(), 1
+
+    def then(left, right):
+        return left.select("a", F.col("b").alias("m")).join(right.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
+
+    while k < depth - 1:
+        reach, k = then(reach, reach), 2 * k
+    return then(step, reach)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from probatum.operators import access, catalogue
+from probatum.operators import access, catalogue, graph
 from probatum.sources import answers, logs
 
 
@@ -102,3 +102,10 @@ def test_access(spark):
     assert all(r.got == r.want for r in got.collect())
     names = spark.createDataFrame([("abc",), ("a-c",), ("ab",), ("-bc",), ("abc\n",), ("Abc",), (None,)], "t string")
     assert [r[0] for r in names.select(access.is_tenant(F.col("t"))).collect()] == [True, True, False, False, False, False, False]
+
+
+def test_closure_has_every_path_and_no_empty_one(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (8, 9), (9, 8)], "a int, b int")
+    line = {(a, b) for a in range(1, 7) for b in range(a + 1, 7)}
+    assert {tuple(r) for r in graph.closure(edges, 6).collect()} == line | {(8, 9), (9, 8), (8, 8), (9, 9)}
+    assert graph.closure(edges.limit(0), 6).count() == 0
