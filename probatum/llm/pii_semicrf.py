@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         # A match that starts later in this run of digits would go on in the same way.
         if at < len(text) and text[at] == "." and (m := _IP.match(text, m.start())):
             at = m.end()
-            if all(len(p) < 16 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split(".")):
                 out.append((m.start(), at, "ip"))
     for m in _CARD.finditer(text):
         d = digits_of(m[0]) if m.end() - m.start() < 60 else ""

@@ -256,6 +256,8 @@ def test_base_spans_equal_plain_patterns():
     for _ in range(5000):
         s = "".join(rnd.choice("0123459@.+-() a_1.2@@..") for _ in range(rnd.randint(0, 45)))
         assert pii_semicrf.base_spans(s) == plain(s)
+    for s in ("1.2.3." + "0" * 30 + "255", "0" * 5000 + ".0.0.0", "1.2.3." + "0" * 30 + "256", "9" * 4000 + ".1.1.1"):
+        assert pii_semicrf.base_spans(s) == ([(0, len(s), "ip")] if s.endswith(("255", ".0.0.0")) else [])
 
 
 def test_field_on_held_out_sentences():
