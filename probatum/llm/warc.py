@@ -10,7 +10,7 @@ serialize() frames records as WARC/1.0 and parse() reads them back.
 
 Defined cases: a null page has an empty payload and still gives both records; a null URL is an empty target
 URI; repeated rows give their records each; an empty table gives an empty result; broken markup is read as
-far as it goes.
+far as it goes (see dropped()).
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ SPACE = uuid.UUID("5d2b1c9e-6f0a-5c3e-9a77-0c6f3a1e2b44")
 DATE = "2024-01-01T00:00:00Z"
 RESPONSE = ("record_id", "target_uri", "date", "content_type", "headers", "payload")
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|nav|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_MARK = re.compile(r"<!--|<(/?)(script|style|title|noscript|template|nav|svg)(?=[\s/>])[^>]*>", re.I)
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+#: Elements whose content is text, up to their closing tag.
+_RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.I) for k in ("script", "style", "title")}
+_RAW_NEXT = {k: re.compile(rf"<(/?){k}(?=[\s/>])[^>]*>", re.I) for k in ("script", "style", "title")}
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|blockquote|pre|main|aside|form|dl|dt|dd|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -49,9 +53,59 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(10).join(parts))}>"
 
 
+def dropped(page: str) -> list[tuple[int, int]]:
+    """Disjoint spans of comments, scripts, styles, titles, navigation, images and templates, in order.
+
+    A comment, script or style without an end runs to the end of the page. Of other elements only those with
+    a closing tag go: an unclosed one leaves what follows in. A self-closed tag is empty, but a script, style or
+    title that meets its closing tag before another of its kind opens. A head has no text but such elements'.
+    """
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    inside: dict[str, int] = {}
+    at, titles = 0, True
+    while m := _MARK.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if not name:
+            end = _COMMENT_END.search(page, at)
+            at = end.end() if end else len(page)
+            spans.append((m.start(), at))
+        elif name in _RAW_END:
+            if m[1] or (name == "title" and not titles):
+                continue
+            if m[0].endswith("/>"):
+                end = _RAW_NEXT[name].search(page, at)
+                if not end or not end[1]:
+                    continue
+            else:
+                end = _RAW_END[name].search(page, at)
+            if not end and name == "title":
+                titles = False
+                continue
+            at = end.end() if end else len(page)
+            spans.append((m.start(), at))
+        elif not m[1]:
+            if not m[0].endswith("/>"):
+                stack.append((name, m.start()))
+                inside[name] = inside.get(name, 0) + 1
+        elif inside.get(name):
+            last = ""
+            while last != name:
+                last, start = stack.pop()
+                inside[last] -= 1
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, at))
+    return spans
+
+
 def plain_text(page: str) -> str:
     """Text outside scripts, styles, heads, navigation and comments; block elements end lines."""
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page))))
+    parts, at = [], 0
+    for a, b in dropped(page):
+        parts.append(page[at:a])
+        at = b
+    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", " ".join([*parts, page[at:]]))))
     lines = (_BLANK.sub(" ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 

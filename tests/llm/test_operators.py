@@ -115,6 +115,29 @@ def test_warc_round_trip(spark):
     assert warc.derive(warc.responses(odd)).count() == 2 and warc.derive(warc.responses(odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><p>body text</p></body></html>", "body text"),
+        ("<html><head><title>t</title><style>s{}</style><p>body text</p>", "body text"),
+        ("<head><title>t</title><script>'</head>'</script></head><header>top</header>", "top"),
+        ("<p>a</p><nav-bar>m</nav-bar><p>body text</p>", "a\nm\nbody text"),
+        ("<p>a</p><svg-icon name='x'></svg-icon><p>b</p>", "a\nb"),
+        ("<p>a<svg class='i'/>b</p><p>c</p>", "ab\nc"),
+        ("<p>a</p><nav>m<p>b</p>", "a\nm\nb"),
+        ("<nav>m<p>b</p><nav>n</nav><p>c</p>", "m\nb\nc"),
+        ("<p>a</p><nav>m<svg></nav><p>b</p><svg>s</svg><p>c</p>", "a\nb\nc"),
+        ("<nav>m<nav>n</nav>o</nav><p>a</p>", "a"),
+        ("<p>a</p><template>t<p>b</p>", "a\nt\nb"),
+        ("<script src='x'/><p>a</p><script>x</script><p>b</p>", "a\nb"),
+        ("<p>a</p><script>x</script foo><p>b</p><script>y<p>z</p>", "a\nb"),
+        ("<p>a</p><!--><p>b</p><!-- <nav> --><p>c</p><!-- d", "a\nb\nc"),
+    ],
+)
+def test_warc_text_of_unbalanced_pages(page, text):
+    assert [re.sub(r"\s*\n\s*", "\n", warc.plain_text(page)), warc.plain_text(page + " ")] == [text, text]
+
+
 def test_kneser_ney_equals_brute_force(docs):
     rows = docs.collect()
     toks = lambda t: [*words(low(t)), None]
