@@ -7,11 +7,13 @@
    how rows are dealt out.
 3. Upper limits are median + 4 * (third - first quartile) + a floor per measure, taken from the
    (lang, source) sketch, or from the language's or the whole corpus's where that has too few documents.
+   No limit exceeds that of its language (of LEAST_DOCS documents at least) or of the corpus by sketches in
+   which a group weighs no more than LEAST_DOCS documents, so a large group of junk can't lift its own limit.
 4. Documents are joined with their limits (nulls in lang or source form groups of their own).
 
 Defined cases: null text is the empty text (fails the base rule); an empty table gives an empty
 result; repeated rows are judged one by one; a table without lang or source has one null group;
-further columns are neither read nor returned.
+further columns are neither read nor returned; a corpus of one group has nothing to bound it by.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WINDOW = 8
 #: What a limit lies above median + 4 quartile ranges at least: parts per thousand.
 FLOORS = {"m_symbols": 40, "m_upper": 150, "m_bangs": 100, "m_dup_lines": 500, "m_repeats": 290}
 LEAST_DOCS = 50
+#: Weight of a document in the bounding sketches: integers, so that sums don't depend on their order.
+UNIT = 1_000_000
 
 
 def _let(value, body):
@@ -100,28 +104,37 @@ def limits(sketches: DataFrame) -> DataFrame:
     sketches.createOrReplaceTempView("probatum_sketches")
     quantiles = spark.sql(
         """
-        WITH s AS (SELECT grouping_id() AS level, lang, source, measure, value, sum(n) AS n
-                   FROM probatum_sketches GROUP BY GROUPING SETS ((lang, source, measure, value), (lang, measure, value), (measure, value))),
+        WITH g AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure) AS held FROM probatum_sketches),
+        s AS (SELECT grouping_id() AS level, lang, source, measure, value, sum(n) AS n, sum(n * %(unit)d * least(held, %(least)d) DIV held) AS w
+              FROM g GROUP BY GROUPING SETS ((lang, source, measure, value), (lang, measure, value), (measure, value))),
         c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY value) AS up,
-                     sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s)
+                     sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
+                     sum(w) OVER (PARTITION BY level, lang, source, measure ORDER BY value) AS w_up,
+                     sum(w) OVER (PARTITION BY level, lang, source, measure) AS w_total FROM s)
         SELECT level, lang, source, measure, max(total) AS total,
                min(CASE WHEN 4 * up >= total THEN value END) AS q1,
                min(CASE WHEN 2 * up >= total THEN value END) AS q2,
-               min(CASE WHEN 4 * up >= 3 * total THEN value END) AS q3
-        FROM c GROUP BY level, lang, source, measure"""
+               min(CASE WHEN 4 * up >= 3 * total THEN value END) AS q3,
+               min(CASE WHEN 4 * w_up >= w_total THEN value END) AS w1,
+               min(CASE WHEN 2 * w_up >= w_total THEN value END) AS w2,
+               min(CASE WHEN 4 * w_up >= 3 * w_total THEN value END) AS w3
+        FROM c GROUP BY level, lang, source, measure""" % {"unit": UNIT, "least": LEAST_DOCS}
     )
     quantiles = cut(quantiles, "quantiles")
     floor = reduce(lambda e, x: e.when(F.col("measure") == x[0], F.lit(x[1])), FLOORS.items(), F.when(F.lit(False), F.lit(0)))
-    bounded = quantiles.withColumn("top", F.col("q2") + 4 * (F.col("q3") - F.col("q1")) + floor)
-    wide = bounded.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("measure") == m, F.col("top"))).alias(f"l_{m}") for m in FLOORS])
-    own = wide.where("level = 0").drop("level")
-    lang = wide.where("level = 4").select(F.col("lang").alias("g_lang"), F.col("total").alias("g_total"), *[F.col(f"l_{m}").alias(f"g_{m}") for m in FLOORS])
-    every = wide.where("level = 12").select(*[F.col(f"l_{m}").alias(f"a_{m}") for m in FLOORS])
+    tops = quantiles.withColumn("top", F.col("q2") + 4 * (F.col("q3") - F.col("q1")) + floor).withColumn("bound", F.col("w2") + 4 * (F.col("w3") - F.col("w1")) + floor)
+    per = lambda column, name: [F.max(F.when(F.col("measure") == m, F.col(column))).alias(f"{name}_{m}") for m in FLOORS]
+    wide = tops.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *per("top", "l"), *per("bound", "b"))
+    own = wide.where("level = 0").select("lang", "source", "total", *[f"l_{m}" for m in FLOORS])
+    lang = wide.where("level = 4").select(F.col("lang").alias("g_lang"), F.col("total").alias("g_total"), *[F.col(f"l_{m}").alias(f"g_{m}") for m in FLOORS], *[F.col(f"b_{m}").alias(f"gb_{m}") for m in FLOORS])
+    every = wide.where("level = 12").select(*[F.col(f"l_{m}").alias(f"a_{m}") for m in FLOORS], *[F.col(f"b_{m}").alias(f"ab_{m}") for m in FLOORS])
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("g_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
-    return joined.select(
-        "lang", "source",
-        *[F.when(F.col("total") >= LEAST_DOCS, F.col(f"l_{m}")).when(F.col("g_total") >= LEAST_DOCS, F.col(f"g_{m}")).otherwise(F.col(f"a_{m}")).alias(f"l_{m}") for m in FLOORS],
-    )
+
+    def limit(m):
+        found = F.when(F.col("total") >= LEAST_DOCS, F.col(f"l_{m}")).when(F.col("g_total") >= LEAST_DOCS, F.col(f"g_{m}")).otherwise(F.col(f"a_{m}"))
+        return F.least(found, F.when(F.col("g_total") >= LEAST_DOCS, F.col(f"gb_{m}")), F.col(f"ab_{m}"))  # nulls don't count
+
+    return joined.select("lang", "source", *[limit(m).alias(f"l_{m}") for m in FLOORS])
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -302,3 +302,16 @@ def test_rules_equal_brute_force(docs):
         lines = [x for x in t.split("\n") if words(x)]
         assert (r.n_words, r.n_repeat_words, r.n_dup_lines) == (len(ws), len(covered), len(lines) - len(set(lines)))
         assert r.base_failed == (len(ws) < 20 or 100 * len(covered) > 30 * len(ws)) and not (r.kept and r.base_failed)
+
+
+@pytest.mark.parametrize("share", [0, 10, 26, 40, 60])
+def test_rules_of_a_hot_source(spark, share):
+    rnd = random.Random(share)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    clean = lambda: " ".join([*[word() for _ in range(40)], "#" * rnd.randint(0, 4)])
+    junk = lambda: " ".join(word() + "##" for _ in range(40))
+    rows = [(i, junk() if i % 100 < share else clean(), "en", "hot") for i in range(600)]
+    rows += [(1000 + i, clean(), "en", f"s{i % 3}") for i in range(180)] + [(2000 + i, clean(), "de", "hot") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dropped = {r.doc_id for r in adaptive_rules.judge(docs).where("not kept").collect()}
+    assert dropped == {i for i in range(600) if i % 100 < share}
