@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by its workers.
+"""Interpolated modified Kneser-Ney model of any order from two, counted in Spark and memory-mapped by its workers.
 
 1. Words are counted per partition and merged per shard of the hash space. The sorted word hashes are the
    vocabulary file; a word's place in it is its id.
@@ -12,8 +12,8 @@
 
 Files live in the shared folder (spark.checkpoint.dir). Where that is a mounted path, workers map it in
 place; for another file system the finished files are sent to the workers with SparkContext.addFile. Counted
-blocks travel as sorted, byte-transposed, compressed differences. The order is two: sorted hash arrays of
-trigrams over texts of mostly new words would take more disk than the tool's budget allows (see README).
+blocks travel as sorted, byte-transposed, compressed differences. The query's order is three, which takes
+more disk than the tool's budget allows (see README).
 
 Defined cases: null texts are empty and hold one token, the end; repeated rows count each time; without
 training rows every token has probability 1/(V+1) = 1; further columns aren't read.
@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, cut_at, delete, scratch
 from .hashing import mix, slices, word_hashes
 
 END = np.uint64(1)  # no word hash: checked where words are hashed
@@ -234,6 +234,8 @@ class Model:
     d2: list
     d1: list
     unigram_rest: float
+    #: (bounds, discounts) of orders two and up; empty for a model of order two.
+    levels: tuple = ()
 
     @property
     def bigrams(self) -> int:
@@ -297,6 +299,221 @@ class Scorer:
         return np.where(known, np.maximum(c - d, 0) / total + gamma / total * low, low)
 
 
+# --- orders above two --------------------------------------------------------------------------------
+
+
+class Level:
+    """The n-grams of one order: keys (place of the n-gram without its last word, last word's id) by shard."""
+
+    def __init__(self, files: Files, order: int, bounds: list):
+        self.bounds, name = np.array(bounds), "keys" if order == 2 else f"keys{order}"
+        self.full = np.flatnonzero(np.diff(self.bounds))
+        self.keys = {s: files.map(f"{name}-{s}", np.uint64) for s in self.full}
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of n-grams; -1 for unknown ones."""
+        u, back = np.unique(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64), return_inverse=True)
+        of, got = key_shard(u, len(self.bounds) - 1), np.full(len(u), -1, np.int64)
+        for s in self.full:
+            at = np.flatnonzero(of == s)
+            if len(at):
+                k = np.minimum(np.searchsorted(self.keys[s], u[at]), len(self.keys[s]) - 1)
+                got[at] = np.where(self.keys[s][k] == u[at], k + self.bounds[s], -1)
+        return got[back]
+
+    def key(self, places: np.ndarray) -> np.ndarray:
+        out, of = np.zeros(len(places), np.uint64), np.searchsorted(self.bounds, places, "right") - 1
+        for s in np.unique(of):
+            at = np.flatnonzero(of == s)
+            out[at] = self.keys[s][places[at] - self.bounds[s]]
+        return out
+
+
+def suffixes(levels: dict[int, Level], order: int, keys: np.ndarray) -> np.ndarray:
+    """Places of n-grams without their first word, one order below; of bigrams, the last word."""
+    word = keys & np.uint64(0xFFFFFFFF)
+    if order == 2:
+        return word.astype(np.int64)
+    u, back = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
+    return levels[order - 1].find(suffixes(levels, order - 1, levels[order - 1].key(u))[back], word)
+
+
+def places(levels: dict[int, Level], ids: np.ndarray, at: np.ndarray, v: int):
+    """(order, context, place) of the n-gram that ends at each token, from order two up; -1 where there is none.
+
+    The start of a document counts as one word; nothing stands before it.
+    """
+    context = np.concatenate([[v], ids[:-1]]) if len(ids) else ids.copy()
+    context[at[:-1]] = v
+    for order, level in levels.items():
+        place = np.full(len(ids), -1, np.int64)
+        known = (context >= 0) & (context != v + 1) & (ids < v) if order == 2 else (context >= 0) & (ids < v)
+        place[known] = level.find(context[known], ids[known])
+        yield order, context, place
+        context = np.concatenate([[-1], place[:-1]]) if len(ids) else ids.copy()
+        context[at[:-1]] = -1
+
+
+def _ranges(n: int, shards: int) -> list[int]:
+    return [-(-t * n // shards) for t in range(shards + 1)]
+
+
+def _by_range(k: np.ndarray, c: np.ndarray, n: int, shards: int, shift: int = 0):
+    of = (k >> np.uint64(shift)) * np.uint64(shards) // np.uint64(n)
+    return [("range", int(t), 0, *pack_block(k[of == t], c[of == t]), None) for t in np.unique(of)]
+
+
+#: In a context's byte: its row is in the table of those with more than 7 n-grams of count 1, 3 of count 2 or any of 3.
+MORE = 255
+ROWS = ["name", "part", "n", "keys", "counts", "coc"]
+ROWS_TYPE = "name string, part int, n long, keys binary, counts binary, coc array<long>"
+
+
+def extend(text: DataFrame, m: Model, order: int) -> Model:
+    """A model of a higher order over the same texts.
+
+    Each order's n-grams are counted by the place of their context in the order below. Orders below the highest
+    take how many words stand before an n-gram in place of its count; nothing stands before one that begins a
+    document, so it keeps its count.
+    """
+    spark, files, shards, folder = text.sparkSession, m.files, m.shards, _local(m.files.path)
+    if folder is None:
+        raise ValueError("orders above two need a mounted shared folder")
+    bounds = {2: m.bounds}
+    if not m.bounds[-1]:
+        return m
+    for k in range(3, order + 1):
+        if bounds[k - 1][-1] >= 1 << 32:
+            raise ValueError(f"more than 2**32 {k - 1}-grams: a half of a key holds 32 bits")
+        known = dict(bounds)
+
+        def grams():
+            levels = {j: Level(files, j, b) for j, b in known.items()}
+            words = Scorer.__new__(Scorer)
+            words.words, words.m = files.map("words", np.uint64), m
+
+            def look(texts):
+                h, at = documents_tokens(texts)
+                ids = words.ids(h)
+                for _, _, last in places(levels, ids, at, m.v):
+                    pass
+                context = np.concatenate([[-1], last[:-1]]) if len(ids) else ids.copy()
+                context[at[:-1]] = -1
+                here = context >= 0
+                return context[here].astype(np.uint64) << np.uint64(32) | ids[here].astype(np.uint64)
+
+            return look
+
+        def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            keys, counts = _merged(pdf)
+            _put(folder, f"keys{k}-{key[0]}", keys)
+            _put(folder, f"times{k}-{key[0]}", np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            coc = np.bincount(np.minimum(counts, np.uint64(5)).astype(np.int64), minlength=6).tolist()
+            found, c = tally(suffixes({j: Level(files, j, b) for j, b in known.items()}, k, keys).astype(np.uint64))
+            return pd.DataFrame([("keys", key[0], len(keys), b"", b"", coc), *_by_range(found, c, known[k - 1][-1], shards)], columns=ROWS)
+
+        merged, path = cut_at(text.mapInArrow(_counting(shards, key_shard, grams), BLOCKS).groupBy("shard").applyInPandas(merge, ROWS_TYPE), f"grams{k}")
+        n = {r.part: r.n for r in merged.where("name = 'keys'").select("part", "n").collect()}  # a row for each shard
+        bounds[k] = [0]
+        for s in range(shards):
+            bounds[k].append(bounds[k][-1] + n.get(s, 0))
+        low = _ranges(bounds[k - 1][-1], shards)
+
+        def before(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            keys, counts = _merged(pdf)
+            out = np.zeros(low[key[0] + 1] - low[key[0]], np.uint32)
+            out[keys.astype(np.int64) - low[key[0]]] = counts
+            return pd.DataFrame([("before", key[0], out.tobytes())], columns=["name", "part", "body"])
+
+        bodies = merged.where("name = 'range'").groupBy("part").applyInPandas(before, "name string, part int, body binary")
+        _save(spark, bodies.withColumn("name", F.lit(f"before{k - 1}")), files, {f"before{k - 1}": 4 * bounds[k - 1][-1]}, {(f"before{k - 1}", t): 4 * low[t] for t in range(shards)})
+        delete(spark, path)
+
+    levels = []
+    for k in range(2, order + 1):
+        contexts = m.v + 1 if k == 2 else bounds[k - 1][-1]
+        low = _ranges(contexts, shards)
+
+        def sums(batches):
+            for pdf in batches:
+                for s in pdf["id"].tolist():
+                    if bounds[k][s + 1] == bounds[k][s]:
+                        continue
+                    tail = "" if k == 2 else k
+                    keys, c = files.map(f"keys{tail}-{s}", np.uint64), files.map(f"times{tail}-{s}", np.uint32)
+                    if k < order:
+                        b = files.map(f"before{k}", np.uint32)[bounds[k][s] : bounds[k][s + 1]]
+                        c = np.where(b > 0, b, c)
+                        _put(folder, f"times{tail}-{s}", c)  # a task that runs again finds and writes the same
+                    c = c.astype(np.uint64)
+                    left = (keys >> np.uint64(32)) << np.uint64(2)
+                    codes = tally(np.concatenate([left | np.minimum(c, np.uint64(3)) - np.uint64(1), left | np.uint64(3)]), np.concatenate([np.ones(len(c), np.uint64), c]))
+                    coc = np.bincount(np.minimum(c, np.uint64(5)).astype(np.int64), minlength=6).tolist()
+                    yield pd.DataFrame([("coc", s, len(keys), b"", b"", coc), *_by_range(*codes, contexts, shards, 2)], columns=ROWS)
+
+        def merge_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            keys, counts = _merged(pdf)
+            out = np.zeros((low[key[0] + 1] - low[key[0]], 4), np.uint32)
+            out[(keys >> np.uint64(2)).astype(np.int64) - low[key[0]], (keys & np.uint64(3)).astype(np.int64)] = np.minimum(counts, np.uint64(0xFFFFFFFF))
+            more = (out[:, 0] > 7) | (out[:, 1] > 3) | (out[:, 2] > 0)
+            _put(folder, f"more{k}-{key[0]}", np.flatnonzero(more) + low[key[0]])
+            _put(folder, f"rows{k}-{key[0]}", out[more])
+            codes = np.where(more, MORE, out[:, 0] | out[:, 1] << 3).astype(np.uint8)
+            return pd.DataFrame([("sums", key[0], codes.tobytes())], columns=["name", "part", "body"])
+
+        counted, path = cut_at(spark.range(0, shards, 1, shards).mapInPandas(sums, ROWS_TYPE), f"sums{k}")
+        coc = [sum(x) for x in zip(*[r.coc for r in counted.where("name = 'coc'").select("coc").collect()], strict=True)] or [0] * 6
+        bodies = counted.where("name = 'range'").groupBy("part").applyInPandas(merge_sums, "name string, part int, body binary")
+        _save(spark, bodies.withColumn("name", F.lit(f"sums{k}")), files, {f"sums{k}": contexts}, {(f"sums{k}", t): low[t] for t in range(shards)})
+        delete(spark, path)
+        if k < order:
+            os.remove(f"{folder}/before{k}")
+        levels.append((bounds[k], discounts(coc[1:5])))
+    return Model(files, shards, m.v, m.n, m.starts, m.bounds, m.d2, m.d1, m.unigram_rest, tuple(levels))
+
+
+class Chain:
+    """Probabilities of a model of a higher order: the recursion over all of its orders."""
+
+    def __init__(self, low: Scorer):
+        self.low, m = low, low.m
+        self.levels = {k: Level(m.files, k, b) for k, (b, _) in enumerate(m.levels, 2)}
+        self.sums = {k: m.files.map(f"sums{k}", np.uint8) for k in self.levels}
+        self.times = {k: {s: m.files.map(f"times{'' if k == 2 else k}-{s}", np.uint32) for s in level.full} for k, level in self.levels.items()}
+
+    def begun(self, k: int, contexts: np.ndarray) -> np.ndarray:
+        """How many n-grams of count 1, 2, 3 and more contexts begin, and the sum of their counts."""
+        u, back = np.unique(contexts, return_inverse=True)
+        code = self.sums[k][u].astype(np.int64)
+        out = np.stack([code & 7, code >> 3, np.zeros_like(code), (code & 7) + 2 * (code >> 3)], 1).astype(np.float64)
+        more = np.flatnonzero(code == MORE)
+        of = u[more] * self.low.m.shards // max(len(self.sums[k]), 1)
+        for t in np.unique(of):
+            at = more[of == t]
+            f = self.low.m.files
+            out[at] = f.map(f"rows{k}-{t}", np.uint32).reshape(-1, 4)[np.searchsorted(f.map(f"more{k}-{t}", np.int64), u[at])]
+        return out[back]
+
+    def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        m = self.low.m
+        p = self.low.unigram(ids)
+        for k, context, place in places(self.levels, ids, at, m.v):
+            known = (context >= 0) & (context < len(self.sums[k]))
+            b = np.zeros((len(ids), 4))
+            b[known] = self.begun(k, context[known])
+            c = np.zeros(len(ids))
+            bounds = self.levels[k].bounds
+            found = np.flatnonzero(place >= 0)
+            of = np.searchsorted(bounds, place[found], "right") - 1
+            for s in np.unique(of):
+                here = found[of == s]
+                c[here] = self.times[k][s][place[here] - bounds[s]]
+            d = np.array([0.0, *m.levels[k - 2][1]])
+            total = np.maximum(b[:, 3], 1)
+            p = np.where(b[:, 3] > 0, np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / total + b[:, :3] @ d[1:] / total * p, p)
+        return p
+
+
 def training(docs: DataFrame, held=HELD_OUT) -> DataFrame:
     return docs.where(~_held_out(held))
 
@@ -305,8 +522,10 @@ def _held_out(held):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(held[0])) == held[1], F.lit(False))
 
 
-def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS) -> Model:
+def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -> Model:
     """Count texts (column text) and write the model's files."""
+    if order < 2:
+        raise ValueError("an order is at least two")
     spark = docs.sparkSession
     text = docs.select((F.col("text") if "text" in docs.columns else F.lit(None)).cast("string").alias("text"))
     files = Files(scratch(spark, "kn"))
@@ -400,7 +619,8 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS) -> Model:
     files.publish(spark)
     d1 = discounts(coc1[1:5])
     rest = sum(d * x for d, x in zip(d1, (coc1[1], coc1[2], sum(coc1[3:])), strict=True)) / bounds[-1] if bounds[-1] else 1.0
-    return Model(files, shards, v, n, n_docs, bounds, discounts(coc2[1:5]), d1, rest)
+    model = Model(files, shards, v, n, n_docs, bounds, discounts(coc2[1:5]), d1, rest)
+    return extend(text, model, order) if order > 2 else model
 
 
 def score(docs: DataFrame, model: Model, held=HELD_OUT) -> DataFrame:
@@ -410,6 +630,7 @@ def score(docs: DataFrame, model: Model, held=HELD_OUT) -> DataFrame:
 
     def run(batches):
         s = model.open()
+        chain = Chain(s) if model.levels else None
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 h, at = documents_tokens(batch.column("text"))
@@ -419,7 +640,7 @@ def score(docs: DataFrame, model: Model, held=HELD_OUT) -> DataFrame:
                 c = np.where(ids < model.v, s.counts[np.minimum(ids, model.v - 1)], 0).astype(np.float64) if model.v else np.zeros(len(ids))
                 first = at[:-1]
                 base = np.add.reduceat(np.log10((c + 1) / (model.n + model.v + 1)), first)
-                full = np.add.reduceat(np.log10(s.bigram(left, ids)), first)
+                full = np.add.reduceat(np.log10(chain.probabilities(ids, at) if chain else s.bigram(left, ids)), first)
                 known = np.add.reduceat((c > 0).astype(np.int64), first)
                 n = np.diff(at)
                 cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.n, np.int64)), pa.array(base), pa.array(full), pa.array(10 ** (-full / n))]
@@ -428,5 +649,5 @@ def score(docs: DataFrame, model: Model, held=HELD_OUT) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
-    return score(docs, train(training(docs)))
+def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
+    return score(docs, train(training(docs), order=order))

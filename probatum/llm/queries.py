@@ -21,7 +21,7 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.train_and_score(read(spark, sf_dir, "documents"))
+    return kneser_ney.train_and_score(read(spark, sf_dir, "documents"), 3)
 
 
 def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,43 @@ def test_kneser_ney_equals_brute_force(docs):
     assert sums[1] > sums[0]
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_higher_orders_equals_brute_force(docs, awkward, order):
+    rows = docs.limit(80).collect()
+    part = docs.where(docs.doc_id.isin([r.doc_id for r in rows]))
+    toks = lambda t: [0, *words(low(t)), None]
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 7 == 2
+    train = [toks(r.text) for r in rows if not held(r)]
+    raw = {k: collections.Counter(tuple(d[i : i + k]) for d in train for i in range(len(d) - k + 1)) for k in range(1, order + 1)}
+    used = {order: raw[order]}
+    for k in range(1, order):
+        used[k] = collections.Counter(g[1:] for g in raw[k + 1])
+        used[k].update({g: c for g, c in raw[k].items() if k > 1 and g[0] == 0})
+    v = len(used[1])
+    d = {k: [0, *kneser_ney.discounts([collections.Counter(c.values())[i] for i in (1, 2, 3, 4)])] for k, c in used.items()}
+    total, begun = collections.Counter(), collections.defaultdict(list)
+    for k, c in used.items():
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            begun[k, g[:-1]].append(d[k][min(n, 3)])
+
+    def p(context, w):
+        k = len(context) + 1
+        below = p(context[1:], w) if context else 1 / (v + 1)
+        if not total[k, context]:
+            return below
+        n = used[k].get((*context, w), 0)
+        return max(n - d[k][min(n, 3)], 0) / total[k, context] + sum(begun[k, context]) / total[k, context] * below
+
+    context = max((g[:-1] for g in raw[order]), key=lambda g: total[order, g])
+    assert abs(sum(p(context, g[0]) for g in used[1]) + p(context, "#unseen#") - 1) < 1e-9
+    texts = {r.doc_id: toks(r.text) for r in rows}
+    for g in kneser_ney.score(part, kneser_ney.train(kneser_ney.training(part), words_per_shard=5000, order=order)).collect():
+        t = texts[g.doc_id]
+        assert abs(g.score - sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))) < 1e-6
+    assert len(kneser_ney.train_and_score(awkward, order).collect()) == len(AWKWARD) and kneser_ney.train_and_score(awkward.limit(0), order).count() == 0
+
+
 def test_weak_labels_find_junk(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     y = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
