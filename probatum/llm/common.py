@@ -87,7 +87,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star. Each side of a star is a minimum per node with map-side
     combining, joined back, so a node with very many neighbours is never gathered into a list. Every
-    round is written to the shared folder and the round before it deleted.
+    round is written to the shared folder and the round before it deleted. A graph that hasn't settled after
+    the last round is an error.
     """
     spark = edges.sparkSession
 
@@ -109,4 +110,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after, new_path = cut_at(pairs(small.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
         delete(spark, path)
         now, path = after, new_path
+    else:
+        raise RuntimeError(f"connected components have not settled after {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -352,3 +352,12 @@ def test_rules_of_a_hot_source(spark, share):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     dropped = {r.doc_id for r in adaptive_rules.judge(docs).where("not kept").collect()}
     assert dropped == {i for i in range(600) if i % 100 < share}
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    from probatum.llm.common import connected_components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.label for r in connected_components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(edges, 2)
