@@ -1,19 +1,22 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-1. One pass over the texts gives integer measures for every document.
+1. One pass over the texts gives counts for every document and rates per thousand of them.
 2. A quantile sketch per (lang, source, measure) counts values cut to six significant bits, so a
    quantile is off by at most one part in 32. Sketches merge by adding counts: the sketch of a
    language, and of everything, come from those of its sources, and the result doesn't depend on
-   how rows are dealt out.
-3. Upper limits are median + 4 * (third - first quartile) + a floor per measure, taken from the
-   (lang, source) sketch, or from the language's or the whole corpus's where that has too few documents.
-   No limit exceeds that of its language (of LEAST_DOCS documents at least) or of the corpus by sketches in
-   which a group weighs no more than LEAST_DOCS documents, so a large group of junk can't lift its own limit.
+   how rows are dealt out. Documents that fail the base rule are out of them.
+3. A measure's limit is where its main body ends: from the first quartile up, percentile by percentile, to
+   the last one (the 99th at most) before a jump. A jump is more than the relative MARGIN and what EVENTS
+   events make of a median document of the group, whose size comes from sketches too. The limit is that
+   percentile plus MARGIN; beyond it go documents with more than EVENTS events over it. So junk sets no
+   limit unless it is three quarters of a group, and no cutoff is the same for all groups.
+   (A percentile of a group of fewer than LEAST_DOCS documents means little: its language's sketch, or the
+   whole corpus's, takes its place.)
 4. Documents are joined with their limits (nulls in lang or source form groups of their own).
 
 Defined cases: null text is the empty text (fails the base rule); an empty table gives an empty
-result; repeated rows are judged one by one; a table without lang or source has one null group;
-further columns are neither read nor returned; a corpus of one group has nothing to bound it by.
+result; repeated rows are judged one by one; a table without lang or source has one null group; documents
+of a corpus in which none passes the base rule have no limits; further columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,16 +25,19 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: What a limit lies above median + 4 quartile ranges at least: parts per thousand.
-FLOORS = {"m_symbols": 40, "m_upper": 150, "m_bangs": 100, "m_dup_lines": 500, "m_repeats": 290}
+#: measure: (its count, what the count is measured by, what one event adds to the count).
+MEASURES = {"m_symbols": ("n_symbols", "word_chars", 1), "m_upper": ("n_upper", "word_chars", 1), "m_bangs": ("n_bangs", "n_words", 1), "m_dup_lines": ("n_dup_lines", "n_lines", 1), "m_repeats": ("n_repeat_words", "n_words", 2 * WINDOW)}
+SIZES = ("word_chars", "n_words", "n_lines")
+#: A half: (2 + 1) / 2 in whole numbers.
+MARGIN = (3, 2)
+EVENTS = 4
 LEAST_DOCS = 50
-#: Weight of a document in the bounding sketches: integers, so that sums don't depend on their order.
-UNIT = 1_000_000
 
 
 def _let(value, body):
@@ -86,65 +92,66 @@ def measures(docs: DataFrame) -> DataFrame:
         counted.withColumn("n_dup_lines", F.col("lines.dup").cast("long"))
         .withColumn("n_lines", F.col("lines.n").cast("long"))
         .drop("lines")
-        .withColumns({"m_symbols": rate("n_symbols", "word_chars"), "m_upper": rate("n_upper", "word_chars"), "m_bangs": rate("n_bangs", "n_words"), "m_dup_lines": rate("n_dup_lines", "n_lines"), "m_repeats": rate("n_repeat_words", "n_words")})
+        .withColumns({m: rate(count, by) for m, (count, by, _) in MEASURES.items()})
+        .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
 
 
 def sketch(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, value, n): mergeable counts of values cut to six significant bits."""
-    pairs = ", ".join(f"'{m}', {m}" for m in FLOORS)
-    long = measured.selectExpr("lang", "source", f"stack({len(FLOORS)}, {pairs}) as (measure, v)")
+    pairs = ", ".join(f"'{m}', {m}" for m in (*MEASURES, *SIZES))
+    long = measured.where("not base_failed").selectExpr("lang", "source", f"stack({len(MEASURES) + len(SIZES)}, {pairs}) as (measure, v)")
     low = "greatest(length(bin(v)) - 6, 0)"
     return long.withColumn("value", F.expr(f"shiftleft(shiftright(v, {low}), {low})")).groupBy("lang", "source", "measure", "value").agg(F.count("*").alias("n"))
 
 
-def limits(sketches: DataFrame) -> DataFrame:
-    """(lang, source, l_<measure>...): limits of each group, from merged sketches where a group is small."""
-    spark = sketches.sparkSession
-    sketches.createOrReplaceTempView("probatum_sketches")
-    quantiles = spark.sql(
-        """
-        WITH g AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure) AS held FROM probatum_sketches),
-        s AS (SELECT grouping_id() AS level, lang, source, measure, value, sum(n) AS n, sum(n * %(unit)d * least(held, %(least)d) DIV held) AS w
-              FROM g GROUP BY GROUPING SETS ((lang, source, measure, value), (lang, measure, value), (measure, value))),
-        c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY value) AS up,
-                     sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
-                     sum(w) OVER (PARTITION BY level, lang, source, measure ORDER BY value) AS w_up,
-                     sum(w) OVER (PARTITION BY level, lang, source, measure) AS w_total FROM s)
-        SELECT level, lang, source, measure, max(total) AS total,
-               min(CASE WHEN 4 * up >= total THEN value END) AS q1,
-               min(CASE WHEN 2 * up >= total THEN value END) AS q2,
-               min(CASE WHEN 4 * up >= 3 * total THEN value END) AS q3,
-               min(CASE WHEN 4 * w_up >= w_total THEN value END) AS w1,
-               min(CASE WHEN 2 * w_up >= w_total THEN value END) AS w2,
-               min(CASE WHEN 4 * w_up >= 3 * w_total THEN value END) AS w3
-        FROM c GROUP BY level, lang, source, measure""" % {"unit": UNIT, "least": LEAST_DOCS}
+def merged(sketches: DataFrame) -> DataFrame:
+    """Sketches of (lang, source) as level 0, of languages as level 1 and of everything as level 2."""
+    lang = sketches.groupBy("lang", "measure", "value").agg(F.sum("n").alias("n"))
+    every = lang.groupBy("measure", "value").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("string")
+    return (
+        sketches.select(F.lit(0).alias("level"), "lang", "source", "measure", "value", "n")
+        .unionByName(lang.select(F.lit(1).alias("level"), "lang", none.alias("source"), "measure", "value", "n"))
+        .unionByName(every.select(F.lit(2).alias("level"), none.alias("lang"), none.alias("source"), "measure", "value", "n"))
     )
-    quantiles = cut(quantiles, "quantiles")
-    floor = reduce(lambda e, x: e.when(F.col("measure") == x[0], F.lit(x[1])), FLOORS.items(), F.when(F.lit(False), F.lit(0)))
-    tops = quantiles.withColumn("top", F.col("q2") + 4 * (F.col("q3") - F.col("q1")) + floor).withColumn("bound", F.col("w2") + 4 * (F.col("w3") - F.col("w1")) + floor)
-    per = lambda column, name: [F.max(F.when(F.col("measure") == m, F.col(column))).alias(f"{name}_{m}") for m in FLOORS]
-    wide = tops.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *per("top", "l"), *per("bound", "b"))
-    own = wide.where("level = 0").select("lang", "source", "total", *[f"l_{m}" for m in FLOORS])
-    lang = wide.where("level = 4").select(F.col("lang").alias("g_lang"), F.col("total").alias("g_total"), *[F.col(f"l_{m}").alias(f"g_{m}") for m in FLOORS], *[F.col(f"b_{m}").alias(f"gb_{m}") for m in FLOORS])
-    every = wide.where("level = 12").select(*[F.col(f"l_{m}").alias(f"a_{m}") for m in FLOORS], *[F.col(f"b_{m}").alias(f"ab_{m}") for m in FLOORS])
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("g_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
 
-    def limit(m):
-        found = F.when(F.col("total") >= LEAST_DOCS, F.col(f"l_{m}")).when(F.col("g_total") >= LEAST_DOCS, F.col(f"g_{m}")).otherwise(F.col(f"a_{m}"))
-        return F.least(found, F.when(F.col("g_total") >= LEAST_DOCS, F.col(f"gb_{m}")), F.col(f"ab_{m}"))  # nulls don't count
 
-    return joined.select("lang", "source", *[limit(m).alias(f"l_{m}") for m in FLOORS])
+def limits(sketches: DataFrame) -> DataFrame:
+    """(lang, source, l_<measure>...): the percentile at which each measure's main body ends, for every group."""
+    group = Window.partitionBy("level", "lang", "source", "measure")
+    cells = merged(sketches).withColumn("total", F.sum("n").over(group)).withColumn("up", F.sum("n").over(group.orderBy("value")))
+    # Percentiles that fall into a cell: above first, up to last.
+    cells = cells.withColumn("first", F.expr("100 * (up - n) div total")).withColumn("last", F.expr("100 * up div total"))
+    cells = cut(cells, "cells")  # a row for each cell of a sketch
+    sizes = cells.where(F.col("measure").isin(*SIZES) & (F.col("first") < 50) & (F.col("last") >= 50))
+    sizes = sizes.groupBy(F.col("level").alias("z_level"), F.col("lang").alias("z_lang"), F.col("source").alias("z_source")).agg(*[F.max(F.when(F.col("measure") == z, F.col("value"))).alias(f"z_{z}") for z in SIZES])
+    held = cells.where(~F.col("measure").isin(*SIZES)).where("last > first and last >= 25 and first < 99")
+    held = held.join(sizes, (F.col("level") == F.col("z_level")) & F.col("lang").eqNullSafe(F.col("z_lang")) & F.col("source").eqNullSafe(F.col("z_source")))
+    of = lambda column: reduce(lambda e, m: e.when(F.col("measure") == m, column(m)), MEASURES, F.when(F.lit(False), F.lit(0)))
+    size, event = F.greatest(of(lambda m: F.col(f"z_{MEASURES[m][1]}")), F.lit(1)), of(lambda m: F.lit(MEASURES[m][2]))
+    after = F.lead("value").over(group.orderBy("value"))
+    jump = (MARGIN[1] * size * F.col("after") > MARGIN[0] * size * F.col("value") + MARGIN[1] * EVENTS * 1000 * event) | F.col("after").isNull()
+    ends = held.withColumn("after", after).where(jump)
+    wide = ends.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("measure") == m, F.col("value"))).alias(f"l_{m}") for m in MEASURES])
+    wide = cut(wide, "limits")
+    named = lambda level, prefix: [F.col("total").alias(f"{prefix}_total"), *[F.col(f"l_{m}").alias(f"{prefix}_{m}") for m in MEASURES]]
+    own = wide.where("level = 0").select("lang", "source", *named(0, "o"))
+    lang = wide.where("level = 1").select(F.col("lang").alias("g_lang"), *named(1, "g"))
+    every = wide.where("level = 2").select(*named(2, "a"))
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("g_lang"))).join(F.broadcast(every), F.lit(True))  # one row
+    pick = lambda m: F.when(F.col("o_total") >= LEAST_DOCS, F.col(f"o_{m}")).when(F.col("g_total") >= LEAST_DOCS, F.col(f"g_{m}")).otherwise(F.col(f"a_{m}"))
+    return joined.select("lang", "source", *[pick(m).alias(f"l_{m}") for m in MEASURES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Measures, base verdict and kept for every document."""
+    """Counts, rates, base verdict, limits and kept for every document."""
     measured = cut(measures(docs), "measures")
     found = limits(sketch(measured)).withColumnsRenamed({"lang": "x_lang", "source": "x_source"})
     joined = measured.join(found, F.col("lang").eqNullSafe(F.col("x_lang")) & F.col("source").eqNullSafe(F.col("x_source")), "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    beyond = reduce(lambda a, b: a | b, [F.col(m) > F.col(f"l_{m}") for m in FLOORS])
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(beyond, F.lit(False))).drop("x_lang", "x_source")
+    beyond = [MARGIN[1] * 1000 * (F.col(count) - EVENTS * event) > MARGIN[0] * F.col(f"l_{m}") * F.col(by) for m, (count, by, event) in MEASURES.items()]
+    failed = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in beyond])
+    return joined.withColumn("kept", ~F.col("base_failed") & ~failed).drop("x_lang", "x_source")
 
 
-__all__ = ["judge", "limits", "measures", "repeat_words", "sketch"]
+__all__ = ["judge", "limits", "measures", "merged", "repeat_words", "sketch"]

@@ -91,21 +91,24 @@ ORACLE: dict[str, str] = {
                      length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
                      length(t) - length(translate(t, '!', '')) AS n_bangs, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.c, 0) AS n_repeat_words
               FROM w LEFT JOIN cov USING (doc_id)),
-        r AS (SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS m1, n_upper * 1000 // greatest(word_chars, 1) AS m2, n_bangs * 1000 // greatest(n_words, 1) AS m3,
-                     n_dup_lines * 1000 // greatest(n_lines, 1) AS m4, n_repeat_words * 1000 // greatest(n_words, 1) AS m5 FROM m),
-        u AS (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS k, unnest([m1, m2, m3, m4, m5])::BIGINT AS v FROM r),
-        f AS (SELECT lang, source, k, CASE WHEN v < 32 THEN v ELSE (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) END AS v FROM u),
-        q0 AS (SELECT lang, source, k, count(*) AS n, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.5) AS b, quantile_disc(v, 0.75) AS c FROM f GROUP BY ALL),
-        q1 AS (SELECT lang, k, count(*) AS n, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.5) AS b, quantile_disc(v, 0.75) AS c FROM f GROUP BY ALL),
-        q2 AS (SELECT k, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.5) AS b, quantile_disc(v, 0.75) AS c FROM f GROUP BY ALL),
-        fl AS (SELECT unnest([1, 2, 3, 4, 5]) AS k, unnest([40, 150, 100, 500, 290]) AS floor),
-        lim AS (SELECT q0.lang, q0.source, q0.k, floor + CASE WHEN q0.n >= 50 THEN q0.b + 4 * (q0.c - q0.a) WHEN q1.n >= 50 THEN q1.b + 4 * (q1.c - q1.a) ELSE q2.b + 4 * (q2.c - q2.a) END AS top
-                FROM q0 JOIN q1 ON q0.k = q1.k AND q0.lang IS NOT DISTINCT FROM q1.lang JOIN q2 ON q0.k = q2.k JOIN fl ON fl.k = q0.k),
-        p AS (SELECT lang, source, max(top) FILTER (k = 1) AS l1, max(top) FILTER (k = 2) AS l2, max(top) FILTER (k = 3) AS l3, max(top) FILTER (k = 4) AS l4, max(top) FILTER (k = 5) AS l5 FROM lim GROUP BY ALL)
-        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-               (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND m1 <= l1 AND m2 <= l2 AND m3 <= l3 AND m4 <= l4 AND m5 <= l5 AS kept
-        FROM r JOIN p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source""",
+        r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+        u AS (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS k, unnest([n_symbols * 1000 // greatest(word_chars, 1), n_upper * 1000 // greatest(word_chars, 1), n_bangs * 1000 // greatest(n_words, 1),
+                     n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1)])::BIGINT AS v, unnest([word_chars, word_chars, n_words, n_lines, n_words])::BIGINT AS z FROM r WHERE NOT base_failed),
+        f AS (SELECT lang, source, k, CASE WHEN v < 32 THEN v ELSE (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) END AS v,
+                     CASE WHEN z < 32 THEN z ELSE (z >> greatest(length(bin(z)) - 6, 0)) << greatest(length(bin(z)) - 6, 0) END AS z FROM u),
+        h AS (SELECT 0 AS level, lang, source, k, list(v ORDER BY v) AS vs, list(z ORDER BY z) AS zs FROM f GROUP BY ALL UNION ALL
+              SELECT 1, lang, NULL, k, list(v ORDER BY v), list(z ORDER BY z) FROM f GROUP BY ALL UNION ALL
+              SELECT 2, NULL, NULL, k, list(v ORDER BY v), list(z ORDER BY z) FROM f GROUP BY ALL),
+        c AS (SELECT level, lang, source, k, len(vs) AS n, greatest(zs[(len(zs) + 1) // 2], 1) AS size, CASE WHEN k = 5 THEN 64 ELSE 4 END * 1000 AS spare, list_transform(range(25, 100), lambda p: vs[(p * len(vs) + 99) // 100]) AS qs FROM h),
+        e AS (SELECT level, lang, source, k, n, list_min(list_transform(list_filter(range(1, 76), lambda i: i = 75 OR 2 * size * qs[i + 1] > 3 * size * qs[i] + 2 * spare), lambda i: qs[i])) AS stop FROM c),
+        p AS (SELECT a.lang, a.source, max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 1) AS l1, max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 2) AS l2,
+                     max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 3) AS l3, max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 4) AS l4,
+                     max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 5) AS l5
+              FROM e a JOIN e b ON a.level = 0 AND b.level = 1 AND a.k = b.k AND a.lang IS NOT DISTINCT FROM b.lang JOIN e c ON c.level = 2 AND c.k = a.k GROUP BY a.lang, a.source)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(2000 * (n_symbols - 4) > 3 * l1 * word_chars, false) AND NOT coalesce(2000 * (n_upper - 4) > 3 * l2 * word_chars, false) AND NOT coalesce(2000 * (n_bangs - 4) > 3 * l3 * n_words, false)
+               AND NOT coalesce(2000 * (n_dup_lines - 4) > 3 * l4 * n_lines, false) AND NOT coalesce(2000 * (n_repeat_words - 64) > 3 * l5 * n_words, false) AS kept
+        FROM r LEFT JOIN p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source""",
 }
 
 

@@ -328,17 +328,51 @@ def test_field_on_held_out_sentences():
     assert right > 0.97 * (right + missed) and right > 0.97 * (right + wrong)
 
 
-def test_rules_equal_brute_force(docs):
-    for r in adaptive_rules.judge(docs).collect():
-        t = next(x.text for x in docs.where(f"doc_id = {r.doc_id}").collect()) if r.doc_id < 12 else None
-        if t is None:
-            continue
-        ws = words(t)
+def plain_rules(rows):
+    """doc_id: (counts, base_failed, kept), by lists and sorting."""
+    cutv = lambda v: v if v < 32 else v >> v.bit_length() - 6 << v.bit_length() - 6
+    facts = {}
+    for doc_id, text, lang, source in rows:
+        t, ws = text or "", words(text)
         grams = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
-        covered = {p for i in range(len(ws) - 7) if grams[tuple(ws[i : i + 8])] > 1 for p in range(i, i + 8)}
-        lines = [x for x in t.split("\n") if words(x)]
-        assert (r.n_words, r.n_repeat_words, r.n_dup_lines) == (len(ws), len(covered), len(lines) - len(set(lines)))
-        assert r.base_failed == (len(ws) < 20 or 100 * len(covered) > 30 * len(ws)) and not (r.kept and r.base_failed)
+        covered = len({p for i in range(len(ws) - 7) if grams[tuple(ws[i : i + 8])] > 1 for p in range(i, i + 8)})
+        lines, chars = [x for x in t.split("\n") if words(x)], sum(map(len, ws))
+        counts = [(sum(t.count(c) for c in "#*$%&|<>"), chars, 1), (len(re.findall("[A-Z]", t)), chars, 1), (t.count("!"), len(ws), 1), (len(lines) - len(set(lines)), len(lines), 1), (covered, len(ws), 16)]
+        facts[doc_id] = (lang, source, counts, len(ws) < 20 or 100 * covered > 30 * len(ws), len(ws))
+    passed = [f for f in facts.values() if not f[3]]
+    out = {}
+    for doc_id, (lang, source, counts, failed, n) in facts.items():
+        own, tongue = [f for f in passed if f[:2] == (lang, source)], [f for f in passed if f[0] == lang]
+        group, ok = own if len(own) >= 50 else tongue if len(tongue) >= 50 else passed, not failed
+        for k, (count, by, event) in enumerate(counts if own else []):
+            rates = sorted(cutv(f[2][k][0] * 1000 // max(f[2][k][1], 1)) for f in group)
+            size = max(sorted(cutv(f[2][k][1]) for f in group)[(len(group) + 1) // 2 - 1], 1)
+            at = [rates[-(-p * len(rates) // 100) - 1] for p in range(25, 100)]
+            stop = next((x for x, y in zip(at, at[1:]) if y > 1.5 * x + 4000 * event / size), at[-1])
+            ok &= not 1000 * (count - 4 * event) > 1.5 * stop * by
+        out[doc_id] = (n, counts[0][0], counts[3][0], counts[4][0], failed, ok)
+    return out
+
+
+def test_rules_equal_brute_force(docs, awkward):
+    for table in (docs, awkward):
+        want = plain_rules([(r.doc_id, r.text, r.lang, r.source) for r in table.collect()])
+        got = {r.doc_id: (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in adaptive_rules.judge(table).collect()}
+        assert got == want
+
+
+def test_sources_set_their_own_limits(spark):
+    """The same text is kept in a source of code and dropped from one of prose."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: " ".join([*[word() for _ in range(40)], "#" * n])
+    rows = [(i, text(rnd.randint(0, 3)), "en", "prose") for i in range(200)] + [(1000 + i, text(rnd.randint(20, 32)), "en", "code") for i in range(200)]
+    same = text(24)
+    rows += [(5000, same, "en", "prose"), (5001, same, "en", "code")]
+    got = {r.doc_id: r for r in adaptive_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[5000].kept, got[5001].kept) == (False, True)
+    assert {k for k, r in got.items() if not r.kept} == {5000}
+    assert got[5000].l_m_symbols < got[5001].l_m_symbols
 
 
 @pytest.mark.parametrize("share", [0, 10, 26, 40, 60])
