@@ -29,7 +29,7 @@ def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection_search.nearest(read(spark, sf_dir, "embeddings"), 20, 20)
+    return projection_search.nearest(read(spark, sf_dir, "embeddings"), 20, 20).drop("verified")
 
 
 def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
