@@ -1,16 +1,19 @@
 """Quality classifier without labels: voting heuristics, expectation-maximisation, a hashed linear scorer.
 
-1. Labellers vote junk (0), good (1) or abstain (-1) on measures of a document. Votes overlap and disagree.
+1. Labellers vote junk (0), good (1) or abstain (-1) on measures of a document. Votes overlap, disagree and err:
+   most kinds of junk are seen by several labellers, some of which are loose.
 2. Documents are counted by vote pattern (at most 3^labellers rows). Expectation-maximisation over these
-   counts, which is the same as over all documents, estimates each labeller's outcome rates in either class
-   and the share of good documents; a pattern's posterior is its label.
+   counts, which is the same as over all documents, estimates for either class how often each labeller
+   that votes says junk, and the share of good documents; a pattern's posterior is its label. An abstention
+   speaks for neither class. Nothing is pinned: a labeller's accuracy follows from its agreement with the others.
 3. A linear scorer on hashed features (distinct word shapes and steps of the measures) is fitted to these
    posteriors on a bounded sample: SAMPLE documents with the least hashes and as many of those with a junk
    vote, weighted back to their shares. All documents are scored, within the JVM.
 4. A document is kept if its score is at least 0.5.
 
-Defined cases: a null text is empty and judged as such; repeated rows are judged one by one; with no rows
-nothing is fitted; with only one class all posteriors agree; further columns are carried by keep() only.
+Defined cases: a null text is empty and judged as such; repeated rows are judged one by one, and rows that tie for the
+sample's last places are equal in all that is fitted; with no rows nothing is fitted; with only one class all posteriors
+agree; further columns, whatever their names, are carried by keep() only.
 """
 
 from __future__ import annotations
@@ -26,18 +29,19 @@ from .common import cut, text_of, words
 #: Bound of the rows that the scorer is fitted on, for each of its two strata.
 SAMPLE = 8_000
 DIMS = 4_096
-#: Labellers are set so that a junk vote falls on at most this share of good documents; estimates may only be lower.
-#: Without the bound, the likelihood is highest for classes that follow votes which always come together.
-FALSE_ALARM = 5e-4
+#: Pseudo-documents of each class and labeller, and the share of junk votes among them.
+PRIOR, JUNK_VOTES = 10.0, (0.2, 0.02)
 
 
 def _rate(a: Column, b: Column, by: int = 1000) -> Column:
     return F.floor(a * by / F.greatest(b, F.lit(1))).cast("long")
 
 
-def measures(docs: DataFrame, *keep: str) -> DataFrame:
+def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id and measures of every document; with all its columns in a struct doc, if whole."""
     text = text_of(docs)
-    base = docs.select("doc_id", *keep, text.alias("t"), words(text).alias("w"))
+    keep = ["doc"] if whole else []
+    base = docs.select("doc_id", *([F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] if whole else []), text.alias("t"), words(text).alias("w"))
     without = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
     n = F.size("w")
     chars = F.length(F.translate("t", " \t\n\x0b\x0c\r", ""))
@@ -52,6 +56,7 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         _rate(without("!?"), n).alias("bangs"),
         _rate(F.size(F.array_distinct("w")), n).alias("distinct"),
         _rate(without("."), n).alias("stops"),
+        _rate(F.size(F.filter("w", lambda x: F.length(x) == 1)), n).alias("single"),
         _rate(chars, n, 10).alias("length"),
         F.transform(F.array(lines), lambda x: _rate(F.size(x) - F.size(F.array_distinct(x)), F.size(x)))[0].alias("same_lines"),
         F.array_distinct(F.transform(F.array_distinct(words(shaped)), lambda s: F.substring(s, 1, 12))).alias("shapes"),
@@ -63,12 +68,15 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 LABELLERS = (
     ("symbols", "symbols > 60", "symbols < 15"),
     ("bars", "bars > 150", "bars < 20"),
+    ("single", "n_words >= 10 and single > 180", "single < 100"),
     ("upper", "upper > 400", "upper < 150"),
+    ("capitals", "n_words >= 10 and upper > 60", "upper < 40"),
     ("bangs", "bangs > 200", "bangs < 40"),
     ("distinct", "n_words >= 20 and distinct * sqrt(n_words) < 2200", "distinct * sqrt(n_words) > 3000"),
+    ("variety", "n_words >= 20 and distinct * sqrt(n_words) < 6000", "n_words >= 20 and distinct * sqrt(n_words) > 8000"),
     ("same_lines", "same_lines > 500", "same_lines < 250"),
-    ("stops", "n_words >= 30 and stops = 0", "stops between 20 and 400"),
-    ("length", "length > 140 or length < 15", "length between 25 and 100"),
+    ("stops", "n_words >= 30 and stops < 20", "stops between 20 and 400"),
+    ("length", "n_words >= 10 and (length > 65 or length < 40)", "length between 43 and 60"),
     ("words", "n_words < 3", "n_words >= 8"),
 )
 
@@ -77,27 +85,20 @@ def votes() -> Column:
     return F.array(*[F.expr(f"CASE WHEN {junk} THEN 0 WHEN {good} THEN 1 ELSE -1 END") for _, junk, good in LABELLERS])
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100):
-    """(posterior of good per pattern, share of good, outcome rates [class, labeller, junk / good / abstain]).
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500):
+    """(posterior of good per pattern, share of good, rates [class, labeller] of junk among a labeller's votes).
 
-    Starts from 'any junk vote is junk'; a vote for a class may not speak against it and
-    an abstention speaks for neither, so classes keep their meaning.
+    Classes are junk (0) and good (1); estimation starts from 'good has no junk vote' and moves on from there.
     """
-    outcome = np.where(patterns < 0, 2, patterns)
-    one_hot = np.stack([outcome == o for o in range(3)], 2).astype(float)
-    junk, good = (patterns == 0).sum(1), (patterns == 1).sum(1)
-    p = np.where(junk > 0, 1e-3, 0.5 + 0.45 * good / max(1, patterns.shape[1]))
-    share, rates = 0.5, np.full((2, patterns.shape[1], 3), 1 / 3)
+    junk, good = (patterns == 0).astype(float), (patterns == 1).astype(float)
+    p = np.where(junk.any(1), 0.02, 0.98) if len(patterns) else np.zeros(0)
+    share, rates = 0.5, np.tile(np.array(JUNK_VOTES)[:, None], patterns.shape[1])
     for _ in range(rounds):
-        share = float(np.clip((p @ counts + 1) / (counts.sum() + 2), 1e-4, 1 - 1e-4))
-        for c, w in ((0, counts * (1 - p)), (1, counts * p)):
-            rates[c] = np.einsum("n,nlo->lo", w, one_hot) + 0.5
-            rates[c] /= rates[c].sum(1, keepdims=True)
-        rates[1][:, 0] = np.minimum(rates[1][:, 0], FALSE_ALARM)
-        low = np.log(rates)
-        odds = low[1] - low[0]
-        odds[:, 0], odds[:, 1], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 1], 0), 0
-        z = np.log(share / (1 - share)) + np.einsum("nlo,lo->n", one_hot, odds)
+        w = np.stack([counts * (1 - p), counts * p])
+        share = float((w[1].sum() + 1) / (w.sum() + 2))
+        said = w @ junk
+        rates = (said + PRIOR * np.array(JUNK_VOTES)[:, None]) / (said + w @ good + PRIOR)
+        z = np.log(share / (1 - share)) + junk @ np.log(rates[1] / rates[0]) + good @ np.log((1 - rates[1]) / (1 - rates[0]))
         new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         moved, p = np.abs(new - p).max(initial=0), new
         if moved < 1e-9:
@@ -105,9 +106,15 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return p, share, rates
 
 
+def accuracies(patterns: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of each labeller's votes, the share that agrees with the posteriors."""
+    right = (counts * p) @ (patterns == 1) + (counts * (1 - p)) @ (patterns == 0)
+    return right / np.maximum(counts @ (patterns >= 0), 1)
+
+
 def hashed() -> Column:
     """Places of a document's features among DIMS weights, each once, so that no text has more than DIMS."""
-    steps = [F.concat(F.lit(f"{m}~"), F.floor(F.log2(F.col(m) + 1.0) * 2).cast("string")) for m in ("n_words", "symbols", "bars", "upper", "bangs", "distinct", "stops", "length", "same_lines")]
+    steps = [F.concat(F.lit(f"{m}~"), F.floor(F.log2(F.col(m) + 1.0) * 2).cast("string")) for m in ("n_words", "symbols", "bars", "upper", "bangs", "distinct", "stops", "single", "length", "same_lines")]
     both = F.concat(F.array(*steps), F.transform("shapes", lambda s: F.concat(F.lit("#"), s)))
     return F.array_distinct(F.transform(both, lambda s: F.pmod(F.xxhash64(s), F.lit(DIMS)).cast("int")))
 
@@ -133,11 +140,10 @@ def fit(rows: list[tuple[list[int], float, float]], rounds: int = 60, rate: floa
     return w, float(b)
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, votes, posterior, score and kept for every document."""
-    measured = measures(docs, *keep).withColumn("votes", votes()).withColumn("places", hashed())
-    rows = cut(measured.select("doc_id", *keep, "votes", "places"), "votes")
-    counted = rows.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^9 patterns
+def _scored(docs: DataFrame, sample: int, whole: bool = False) -> DataFrame:
+    measured = measures(docs, whole).withColumn("votes", votes()).withColumn("places", hashed())
+    rows = cut(measured.select("doc_id", *(["doc"] if whole else []), "votes", "places"), "votes")
+    counted = rows.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^12 patterns
     patterns = np.array([r.votes for r in counted], np.int64).reshape(len(counted), len(LABELLERS))
     p, _, _ = expectation_maximisation(patterns, np.array([r.n for r in counted], float))
     label = {tuple(r.votes): float(x) for r, x in zip(counted, p, strict=True)}
@@ -146,15 +152,16 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ())
     part = rows.select("votes", "places", F.xxhash64(F.lit(3), "doc_id").alias("h"))
     data = []
     for sub, n in ((part.where(~F.array_contains("votes", 0)), total - doubted), (part.where(F.array_contains("votes", 0)), doubted)):
-        got = sub.orderBy("h").limit(sample).collect()
+        got = sub.orderBy("h", "votes", "places").limit(sample).collect()
         data += [(r.places, label[tuple(r.votes)], n / max(len(got), 1)) for r in got]
     w, b = fit(data)
-    return score(rows, w, b).join(F.broadcast(_labels(docs, label)), "votes") if label else score(rows, w, b).withColumn("posterior", F.lit(None).cast("double"))
+    table = docs.sparkSession.createDataFrame([(list(k), v) for k, v in label.items()], "votes array<int>, posterior double")
+    return score(rows, w, b).join(F.broadcast(table), "votes")  # at most 3^12 patterns
 
 
-def _labels(docs: DataFrame, label: dict) -> DataFrame:
-    """Posterior of each pattern: at most 3^9 rows."""
-    return docs.sparkSession.createDataFrame([(list(k), v) for k, v in label.items()], "votes array<int>, posterior double")
+def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, votes, posterior, score and kept for every document."""
+    return _scored(docs, sample).select("votes", "doc_id", "score", "kept", "posterior")
 
 
 def score(rows: DataFrame, w: np.ndarray, b: float) -> DataFrame:
@@ -164,11 +171,6 @@ def score(rows: DataFrame, w: np.ndarray, b: float) -> DataFrame:
     return rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("kept", F.col("score") >= 0.5).drop("places")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with their columns.
-
-    The verdict of a document follows from its text alone, so rows are matched by doc_id and text hash.
-    """
-    key = F.xxhash64(text_of(docs))
-    good = classify(docs.withColumn("probatum_key", key), keep=("probatum_key",)).where("kept").select(F.col("doc_id").alias("k_id"), F.col("probatum_key").alias("k_key")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("k_id")) & (key == F.col("k_key")), "left_semi")
+def keep(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents that the classifier keeps, with their columns; they travel with their votes, so nothing is joined."""
+    return _scored(docs, sample, True).where("kept").select("doc.*")

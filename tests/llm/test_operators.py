@@ -215,13 +215,32 @@ def test_kneser_ney_of_higher_orders_equals_brute_force(docs, awkward, order):
     assert len(kneser_ney.train_and_score(awkward, order).collect()) == len(AWKWARD) and kneser_ney.train_and_score(awkward.limit(0), order).count() == 0
 
 
+def test_estimated_accuracies_of_erring_labellers():
+    """Overlapping labellers of known rates: estimates come near them, and posteriors beat 'any junk vote is junk'."""
+    rnd = np.random.default_rng(2)
+    good = rnd.random(40_000) < 0.8
+    on_junk, on_good = np.array([0.9, 0.7, 0.5, 0.8, 0.4, 0.6, 0.3]), np.array([0.02, 0.1, 0.01, 0.2, 0.05, 0.01, 0.15])
+    says = rnd.random((len(good), 7)) < np.where(good[:, None], on_good, on_junk)
+    votes = np.where(rnd.random(says.shape) < 0.2, -1, np.where(says, 0, 1))
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p, share, rates = weak_labels.expectation_maximisation(patterns, counts.astype(float))
+    assert abs(share - 0.8) < 0.01 and np.abs(rates - np.stack([on_junk, on_good])).max() < 0.03
+    any_junk = (votes == 0).any(1)
+    assert ((p[back.ravel()] >= 0.5) == good).mean() > 0.96 > 0.8 > (any_junk == ~good).mean()
+    true = np.array([(((votes[:, k] == 1) & good) | ((votes[:, k] == 0) & ~good)).sum() / (votes[:, k] >= 0).sum() for k in range(7)])
+    assert np.abs(weak_labels.accuracies(patterns, counts, p) - true).max() < 0.01
+
+
 def test_weak_labels_find_junk(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     y = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    got = {r.doc_id: r.kept for r in weak_labels.classify(d).collect()}
+    rows = {r.doc_id: r for r in weak_labels.classify(d).collect()}
     good, bad = [k for k, q in y.items() if q], [k for k, q in y.items() if not q]
-    assert sum(got[k] for k in good) > 0.97 * len(good)
-    assert sum(not got[k] for k in bad) > 0.9 * len(bad)
+    assert sum(rows[k].kept for k in good) > 0.97 * len(good)
+    assert sum(not rows[k].kept for k in bad) > 0.9 * len(bad)
+    # Junk votes alone decide less well than what is estimated from them, and the scorer follows the posteriors.
+    assert sum(0 not in rows[k].votes for k in good) < sum(rows[k].posterior >= 0.5 for k in good)
+    assert sum((r.posterior >= 0.5) == r.kept for r in rows.values()) > 0.97 * len(rows)
 
 
 def near_rows(spark, rows, **options):
