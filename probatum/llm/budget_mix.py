@@ -7,12 +7,15 @@
    every length, rounded down; what is left is fitted by a bounded-knapsack dynamic programme over the
    spare documents of each length (a bitset of reachable sums), after the longest lengths that fit have
    brought it below a fixed window.
-4. Of each length, the number of documents decided on is selected by a seeded hash. Documents are first
-   counted by hash bucket, so only the bucket in which the cut falls is ranked, and a length that holds a
-   third of all rows is never ranked in one task.
+4. Of each length, the number of documents decided on is selected by a seeded hash of id, size and text: up to a
+   hash, which is found from counts by the hash's first byte and a ranking of the one bucket in which the cut falls. Documents are
+   then decided one by one by their length's row of the plan, which is broadcast up to BROADCAST rows and joined on a
+   salted key beyond, so a length that holds a third of all rows is never in one task and texts aren't shuffled.
+   Where the cut falls among equal rows, these are numbered by partition.
 
 Defined cases: null texts have size 0 and are never taken; equal rows are interchangeable; an empty table
-gives an empty result; a table without a source column has one null source.
+gives an empty result; a table without a source column has one null source; further columns may have any name. The
+driver holds a row for each source.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from .common import cut, n_words, text_of
 
 CAP = 3
 WINDOW = 1 << 16
-BUCKETS = 1024
 SEED = 17
+#: Rows of a plan (some 60 bytes each) that are broadcast, and the salts of a key beyond.
+BROADCAST = 400_000
+SALTS = 32
 
 
 def targets(sizes: dict, cap: int = CAP) -> dict:
@@ -89,70 +94,89 @@ def plan_source(lengths: list[int], counts: list[int], target: float) -> tuple[i
     return whole, [a + b for a, b in zip(even, more, strict=True)]
 
 
-def sized(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, source, size, a seeded hash and its bucket for every document, with the columns asked for."""
+KEY = ["mix_source", "mix_size"]
+
+
+def sized(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, a seeded hash and the row's partition for every document; with all columns in a struct doc, if whole."""
     source = (F.col("source") if "source" in docs.columns else F.lit(None)).cast("string")
-    got = docs.select("doc_id", source.alias("mix_source"), n_words(text_of(docs)).alias("mix_size"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    return got.withColumn("mix_hash", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("mix_size"))).withColumn("mix_bucket", F.pmod("mix_hash", F.lit(BUCKETS)).cast("int"))
+    kept = F.struct(*[F.col(c) for c in docs.columns]) if whole else F.lit(0)
+    got = docs.select("doc_id", source.alias("mix_source"), n_words(text_of(docs)).alias("mix_size"), F.xxhash64(text_of(docs)).alias("mix_text"), kept.alias("doc"))
+    return got.select("doc_id", *KEY, F.xxhash64(F.lit(SEED), "doc_id", "mix_size", "mix_text").alias("mix_hash"), F.spark_partition_id().alias("mix_part"), "doc")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies and taken for every document."""
+def _by_key(rows: DataFrame, plan: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with the plan's row of their source and size; mix_hash salts the key of a large plan."""
+    plan = plan.withColumnsRenamed({"mix_source": "p_source", "mix_size": "p_size"})
+    on = F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_size") == F.col("p_size"))
+    if few:
+        return rows.join(F.broadcast(plan), on, how).drop("p_source", "p_size")  # BROADCAST rows at most
+    plan = plan.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(plan, on & (F.pmod("mix_hash", F.lit(SALTS)) == F.col("p_salt")), how).drop("p_source", "p_size", "p_salt")
+
+
+def _decided(docs: DataFrame, whole: bool = False, broadcast: int = BROADCAST) -> DataFrame:
+    """sized() rows with source_size, target and copies."""
     spark = docs.sparkSession
-    rows = cut(sized(docs), "sized")
-    hist = cut(rows.groupBy("mix_source", "mix_size").agg(F.count("*").alias("n")), "histogram")
+    rows = cut(sized(docs, whole), "sized")
+    hist = cut(rows.groupBy(*KEY).agg(F.count("*").alias("n")), "histogram")
+    few = hist.count() <= broadcast
     # One row for each source.
     per = hist.groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("n")).alias("source_size")).toPandas()
     sizes = {None if pd.isna(s) else s: int(n) for s, n in zip(per["mix_source"], per["source_size"], strict=True)}
     goal = targets(sizes) if sizes else {}
-    schema = "mix_source string, source_size long, target double"
-    goals = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], schema)
+    goals = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "s string, source_size long, target double")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("mix_size")
         live = pdf[pdf["mix_size"] > 0]
         whole, extra = plan_source([int(x) for x in live["mix_size"]], [int(x) for x in live["n"]], float(pdf["target"].iloc[0]))
-        return pd.DataFrame({"mix_source": live["mix_source"], "mix_size": live["mix_size"], "whole": whole, "extra": extra, "n": live["n"]})
+        taken = dict(zip(live["mix_size"], extra, strict=True))
+        return pdf.assign(whole=[whole if z else 0 for z in pdf["mix_size"]], extra=[taken.get(z, 0) for z in pdf["mix_size"]])
 
     # A source has a row for each length here, not for each document.
-    joined = hist.join(goals.withColumnRenamed("mix_source", "s"), F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
-    plans = cut(joined.groupBy("mix_source").applyInPandas(plan, "mix_source string, mix_size long, whole int, extra long, n long"), "plan")
-
-    bucketed = rows.groupBy("mix_source", "mix_size", "mix_bucket").agg(F.count("*").alias("b_n"))
-    part = plans.where("extra > 0 and extra < n").select(F.col("mix_source").alias("s"), F.col("mix_size").alias("z"), "extra")
-    upto = Window.partitionBy("mix_source", "mix_size").orderBy("mix_bucket")
-    cuts = (
-        bucketed.join(part, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_size") == F.col("z")))
-        .withColumn("up", F.sum("b_n").over(upto))  # as many rows as buckets
-        .where("up >= extra and up - b_n < extra")
-        .select("s", "z", F.col("mix_bucket").alias("cut_bucket"), (F.col("extra") - F.col("up") + F.col("b_n")).alias("of_bucket"))
-    )
-    plans = plans.join(cuts, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_size") == F.col("z")), "left").drop("s", "z")
-    plans = plans.withColumnsRenamed({"mix_source": "p_source", "mix_size": "p_size"})
-    full = rows.join(plans, F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_size") == F.col("p_size")), "left").drop("p_source", "p_size")
-    full = full.withColumn("at_cut", F.col("cut_bucket").isNotNull() & (F.col("mix_bucket") == F.col("cut_bucket")))
-    ranked = Window.partitionBy("mix_source", "mix_size", "mix_bucket").orderBy("mix_hash", "doc_id")
-    edge = full.where("at_cut").withColumn("one", (F.row_number().over(ranked) <= F.col("of_bucket")).cast("int"))
-    plain = full.where("not at_cut").withColumn("one", F.when(F.col("cut_bucket").isNotNull(), F.col("mix_bucket") < F.col("cut_bucket")).otherwise(F.coalesce(F.col("extra") > 0, F.lit(False))).cast("int"))
-    both = plain.unionByName(edge).withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.col("one"))
-    wide = both.join(F.broadcast(goals.withColumnRenamed("mix_source", "s")), F.col("mix_source").eqNullSafe(F.col("s"))) if len(sizes) <= 10_000 else both.join(goals.withColumnRenamed("mix_source", "s"), F.col("mix_source").eqNullSafe(F.col("s")))
-    return wide.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source").alias("source"), "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("mix_size")).cast("long").alias("taken"))
-
-
-def apply(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it.
-
-    Copies are decided per (doc_id, size); repeated rows of one doc_id and size get theirs in turn.
-    """
-    decided = mix(docs).groupBy("doc_id", "size").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    keyed = docs.withColumn("mix_size", n_words(text_of(docs)))
-    decided = decided.withColumnsRenamed({"doc_id": "mix_id", "size": "mix_s"})
-    joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_size") == F.col("mix_s")))
-    # Of repeated rows, each gets the same whole share, and the first ones what is left.
-    turn = Window.partitionBy("mix_id", "mix_s").orderBy(F.xxhash64(text_of(docs)))
-    single = joined.where("mix_rows = 1").withColumn("mix_n", F.col("mix_copies"))
-    several = joined.where("mix_rows > 1").withColumn("mix_n", F.floor(F.col("mix_copies") / F.col("mix_rows")) + (F.row_number().over(turn) <= F.col("mix_copies") % F.col("mix_rows")).cast("int"))
-    return single.unionByName(several).where("mix_n > 0").withColumn("mix_k", F.explode(F.sequence(F.lit(1), F.col("mix_n").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    joined = hist.join(goals, F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
+    plans = cut(joined.groupBy("mix_source").applyInPandas(plan, "mix_source string, mix_size long, n long, source_size long, target double, whole int, extra long"), "plan")
+
+    part = plans.where("extra > 0 and extra < n").select(*KEY, "extra")
+    slim = rows.select(*KEY, "mix_hash", F.shiftright("mix_hash", 56).alias("bucket"))
+    counts = slim.groupBy(*KEY, "bucket").agg(F.count("*").alias("b_n"))
+    by_bucket, by_hash = (Window.partitionBy(*KEY).orderBy(c) for c in ("bucket", "mix_hash"))
+    falls = _by_key(counts.withColumn("mix_hash", F.col("bucket")), part, few).withColumn("up", F.sum("b_n").over(by_bucket))  # 256 rows at most
+    falls = falls.where("up >= extra and up - b_n < extra").select(*KEY, F.col("bucket").alias("at"), (F.col("extra") - F.col("up") + F.col("b_n")).alias("of_bucket"))
+    edge = _by_key(slim, falls, few).where("bucket = at").groupBy(*KEY, "mix_hash").agg(F.count("*").alias("ties"), F.first("of_bucket").alias("of_bucket"))
+    edge = edge.withColumn("up", F.sum("ties").over(by_hash)).where("up >= of_bucket and up - ties < of_bucket")
+    cuts = edge.select(F.col("mix_source").alias("c_source"), F.col("mix_size").alias("c_size"), F.col("mix_hash").alias("cut_hash"), "ties", (F.col("of_bucket") - F.col("up") + F.col("ties")).alias("of_ties"))
+    plans = plans.join(cuts, F.col("mix_source").eqNullSafe(F.col("c_source")) & (F.col("mix_size") == F.col("c_size")), "left").drop("c_source", "c_size")
+    plans = cut(plans, "cuts")
+
+    full = _by_key(rows, plans, few)
+    one = F.when(F.col("extra") >= F.col("n"), F.col("n") > 0).when(F.col("extra") == 0, False).when(F.col("mix_hash") == F.col("cut_hash"), F.col("of_ties") == F.col("ties")).otherwise(F.col("mix_hash") < F.col("cut_hash"))
+    full = full.withColumn("one", one.cast("int"))
+    split = (F.col("mix_hash") == F.col("cut_hash")) & (F.col("of_ties") < F.col("ties"))
+    if plans.where("of_ties < ties").limit(1).count():
+        loose = full.where(split)
+        in_part = Window.partitionBy(*KEY, "mix_part").orderBy("mix_hash", F.xxhash64("doc"))
+        held = loose.groupBy(*KEY, "mix_part").agg(F.count("*").alias("c"))
+        before = held.withColumn("offset", F.sum("c").over(Window.partitionBy(*KEY).orderBy("mix_part")) - F.col("c"))  # a row for each partition
+        before = before.select(F.col("mix_source").alias("b_source"), F.col("mix_size").alias("b_size"), F.col("mix_part").alias("b_part"), "offset")
+        same = F.col("mix_source").eqNullSafe(F.col("b_source")) & (F.col("mix_size") == F.col("b_size")) & (F.col("mix_part") == F.col("b_part"))
+        placed = loose.withColumn("nth", F.row_number().over(in_part)).join(before, same)
+        placed = placed.withColumn("one", (F.col("nth") + F.col("offset") <= F.col("of_ties")).cast("int")).drop("nth", "b_source", "b_size", "b_part", "offset")
+        full = full.where(~F.coalesce(split, F.lit(False))).unionByName(placed)
+    return full.withColumn("copies", (F.col("whole") + F.col("one")).cast("long"))
+
+
+def mix(docs: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies and taken for every document."""
+    got = _decided(docs, broadcast=broadcast)
+    return got.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source").alias("source"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
+
+
+def apply(docs: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it."""
+    got = _decided(docs, True, broadcast).where("copies > 0")
+    return got.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 __all__ = ["apply", "fit", "mix", "plan_source", "targets"]

@@ -352,17 +352,54 @@ def test_fit_is_exact_near_the_budget():
         assert sum(t * x for t, x in zip(taken, lengths, strict=True)) == max(s for s in sums if s <= budget)
 
 
-def test_mix_meets_targets_and_repeats_itself(docs):
-    a, b = (sorted(map(tuple, budget_mix.mix(docs).collect())) for _ in range(2))
-    assert a == b
-    taken, goal = collections.Counter(), {}
-    for r in budget_mix.mix(docs).collect():
+def plain_targets(sizes):
+    """Shares by weight, sources at their limit taken out one after another."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, fixed = {s: i % 3 + 1 for i, s in enumerate(order)}, {}
+    while True:
+        left = sum(sizes.values()) - sum(fixed.values())
+        open_ = [s for s in order if s not in fixed]
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * sizes[s]]
+        if not over:
+            return {**fixed, **{s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}}
+        fixed.update({s: 3 * sizes[s] for s in over})
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_mix_meets_targets_and_repeats_itself(docs, broadcast):
+    a, b = (sorted(map(tuple, budget_mix.mix(docs, broadcast).collect())) for _ in range(2))
+    assert a == b and len(a) == docs.count()
+    taken, held, goal = collections.Counter(), collections.Counter(), {}
+    count = {r.doc_id: (len(words(r.text)), r.source) for r in docs.collect()}
+    for r in budget_mix.mix(docs, broadcast).collect():
         taken[r.source] += r.taken
+        held[r.source] += r.size
         goal[r.source] = r.target
-        assert 0 <= r.taken <= 3 * r.size
-    size = sum(r.size for r in budget_mix.mix(docs).collect())
-    assert abs(sum(goal.values()) - size) < 1e-3
-    assert all(abs(taken[s] - goal[s]) <= 100 + 0.05 * goal[s] for s in goal)
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size and (r.size, r.source) == count[r.doc_id]
+    assert all(abs(goal[s] - t) < 1e-6 * t + 1e-9 for s, t in plain_targets(held).items())
+    for s, t in goal.items():
+        lengths = [n for n, x in count.values() if x == s and n]
+        whole = min(3, int(t // held[s]))
+        rest, often = round(t - whole * held[s]), collections.Counter(lengths)
+        sums = {whole * held[s] + sum(x * (n * rest // held[s]) for x, n in often.items())}  # the same share of every length, then any sum
+        for x, n in often.items():
+            sums = {a + k * x for a in sums for k in range(n - n * rest // held[s] + 1)}
+        assert taken[s] == max(x for x in sums if x <= whole * held[s] + rest)
+
+
+def test_mix_splits_repeated_rows(spark):
+    """One length of one source holds most rows, all of them equal: the cut falls among them."""
+    rows = [(7, "a b c", "hot", i % 3, 1) for i in range(400)] + [(None, "a b", "hot", 0, 0) for _ in range(100)] + [(i, "x " * (i % 9), "other", 1, 1) for i in range(300)] + [(1, None, None, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size long, copies long").repartition(7)
+    for broadcast in (1 << 20, 0):
+        got = budget_mix.mix(docs, broadcast).collect()
+        by = collections.Counter()
+        for r in got:
+            by[r.source] += r.taken
+        assert len(got) == len(rows) and all(abs(by[r.source] - r.target) <= 1 for r in got if r.source)
+        out = budget_mix.apply(docs, broadcast)
+        assert out.columns == docs.columns
+        assert collections.Counter((r.doc_id, len(words(r.text))) for r in out.collect()) == sum((collections.Counter({(r.doc_id, r.size): r.copies}) for r in got), collections.Counter())
 
 
 def test_base_spans_equal_plain_patterns():
