@@ -8,10 +8,12 @@
    empty is left out, unless more than one part of the set is. Equal signatures give edges to the least
    class; each partition joins its own copies first, so a hot signature reaches the shuffle once for each
    partition. A passage that many documents share gives no edge, as a whole part must be equal.
-   Below t = 0.85 parts would be too small for that: there, signatures are 64 bands of 6 min-hashes, which
-   miss a pair at 0.8 with a probability of (1 - 0.8^6)^64 < 4e-9.
-3. The components of these edges bound the join. A component is dealt into blocks by hash, of so many sets and
-   so many shingles, and each pair of blocks is one unit of work, so memory and the longest task follow the
+   Below t = 0.85 parts hold so few shingles that passages shared by many documents chain them, which costs time
+   but no link: candidates="parts" still looks that way. Unless told so, signatures are then 64 bands of 6 min-hashes,
+   which miss a pair at 0.8 with a probability of (1 - 0.8^6)^64 < 4e-9.
+3. The components of these edges bound the join. A component is dealt into steps of size, of a factor 1/t, and
+   a step into blocks by hash, of so many sets and so many shingles. A pair of blocks of the same step or of neighbouring ones
+   is one unit of work; sets of other steps can't link. So memory and the longest task follow the
    block and not the component, nor the length of its texts.
 4. In a unit, shingles get one global order (frequent in the unit first, then by hash) and the ordered sets
    of one block form a prefix tree, whose unary chains are single edges. The sets of the other block walk
@@ -21,8 +23,10 @@
 5. Components of the links name the groups.
 
 Defined cases: a null text is empty; an empty set has no links and is its own component; rows with a null
-doc_id link with nothing and have a null component; repeated rows are copies of each other; an empty table
-gives an empty result; further columns are ignored.
+doc_id link with nothing and have a null component; repeated rows are copies of each other; rows that share a doc_id
+but not their text are documents of their own, each with the component of its text; an empty table
+gives an empty result; further columns, whatever their names, are ignored. Sets are told apart by 128 bits,
+components by 64.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql.window import Window
 from .common import connected_components, cut
 from .hashing import mix, slices, word_hashes
 
-BLOCK = 256
+BLOCK = 128
 #: Shingles of a block (on average, and unless one set has more) and counters that walk a tree at once.
 SHINGLES = 1 << 22
 CELLS = 1 << 24
@@ -142,7 +146,7 @@ def _sets(width: int):
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), width)
                 keys = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "h", "n_shingles", "d1", "d2"])
 
     return run
 
@@ -158,7 +162,7 @@ def _stars(sig: np.ndarray, node: np.ndarray):
     return sig[first], node[first], edge
 
 
-def _candidates(width: int, num: int, den: int):
+def _candidates(width: int, num: int, den: int, exact: bool):
     def emit(sig, node):
         s, n, e = _stars(np.concatenate(sig), np.concatenate(node))
         for at in range(0, len(s), 200_000):
@@ -169,7 +173,7 @@ def _candidates(width: int, num: int, den: int):
             yield pa.RecordBatch.from_arrays([pa.array(mix((e[:, 0] ^ e[:, 1] * 3).view(np.uint64)).view(np.int64)), pa.array(e[:, 0]), pa.array(e[:, 1])], ["sig", "node", "other"])
 
     def run(batches):
-        classes, exact, sig, node, held = Classes(num, den), num >= EXACT * den, [], [], 0
+        classes, sig, node, held = Classes(num, den), [], [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 for s in shingle_sets(batch.column("text"), width):
@@ -276,11 +280,10 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _join_units(num: int, den: int):
-    """Rows sorted by unit -> (d1, d2, rep, root, links) of each class with links in the unit."""
+    """Rows sorted by unit -> (d1, d2, root, links) of each class with links in the unit; root: d1 of a class it reaches."""
 
     def solve(rows):
-        rows = list({(r["d1"], r["d2"]): r for r in rows}.values())  # a doc_id may have come twice
-        rows.sort(key=lambda r: (r["rep"], r["d1"], r["d2"]))
+        rows.sort(key=lambda r: (r["d1"], r["d2"]))
         bi, bj = rows[0]["bi"], rows[0]["bj"]
         sets = [np.frombuffer(r["body"], np.uint64) for r in rows]
         left = np.array([i for i, r in enumerate(rows) if r["block"] == bi], np.int64)
@@ -293,22 +296,24 @@ def _join_units(num: int, den: int):
         copies = np.array([r["copies"] for r in rows], np.int64)
         links = np.bincount(a, weights=copies[b], minlength=len(rows)).astype(np.int64)
         root = _roots(len(rows), a, b)
-        return [(rows[i]["d1"], rows[i]["d2"], rows[i]["rep"], rows[root[i]]["rep"], int(links[i])) for i in np.flatnonzero(links)]
+        return [(rows[i]["d1"], rows[i]["d2"], rows[root[i]]["d1"], int(links[i])) for i in np.flatnonzero(links)]
 
     def out(found):
-        cols = list(zip(*found, strict=True)) if found else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d1", "d2", "rep", "root", "links"])
+        cols = list(zip(*found, strict=True)) if found else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d1", "d2", "root", "links"])
 
     def run(batches):
-        unit, rows, found = None, [], []
+        unit, rows, found, seen = None, [], [], set()
         for batch in batches:
             for r in batch.to_pylist():
                 key = (r["comp"], r["bi"], r["bj"])
-                if key != unit and rows:
-                    found += solve(rows)
-                    rows = []
-                unit = key
-                rows.append(r)
+                if key != unit:
+                    if rows:
+                        found += solve(rows)
+                    unit, rows, seen = key, [], set()
+                if (r["d1"], r["d2"]) not in seen:  # repeated rows come more than once
+                    seen.add((r["d1"], r["d2"]))
+                    rows.append(r)
             if len(found) > 10_000:
                 yield out(found)
                 found = []
@@ -320,7 +325,7 @@ def _join_units(num: int, den: int):
 
 
 def _bodies(width: int):
-    keep = ["comp", "blocks", "block", "rep", "copies", "d1", "d2"]
+    keep = ["comp", "low", "high", "block", "copies", "d1", "d2"]
 
     def run(batches):
         for whole in batches:
@@ -335,43 +340,68 @@ def _bodies(width: int):
     return run
 
 
-def similarity_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every document; links are Jaccard >= num/den."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if "text" in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    table = cut(slim.mapInArrow(_sets(width), "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
-    classes = table.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-
-    found = slim.where("doc_id is not null").mapInArrow(_candidates(width, num, den), "sig long, node long, other long")
+def _members(classes: DataFrame, comps: DataFrame, num: int, den: int, block: int, shingles: int) -> DataFrame:
+    """Classes with their component, block, and the first and last block that they have to meet."""
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num) * (1 + 1e-6))) if num < den else F.col("n_shingles")
+    members = cut(classes.join(comps, "d1").withColumn("step", step.cast("long")), "members")
+    sizes = members.groupBy("comp", "step").agg(F.count("*").alias("of"), F.sum("n_shingles").alias("held"))
+    blocks = F.least(F.greatest(F.ceil(F.col("of") / F.lit(block)), F.ceil(F.col("held") / F.lit(shingles))), F.col("of")).cast("int")
+    of, order = Window.partitionBy("comp"), Window.partitionBy("comp").orderBy("step")  # a row for each step of size
+    sizes = sizes.withColumn("blocks", blocks).withColumn("all", F.sum("of").over(of)).withColumn("begin", F.sum("blocks").over(order) - F.col("blocks"))
+    beside = lambda f: F.when(f("step").over(order) - F.col("step") == (1 if f is F.lead else -1), f("blocks").over(order)).otherwise(F.lit(0))
+    sizes = sizes.withColumn("low", F.col("begin") - F.coalesce(beside(F.lag), F.lit(0))).withColumn("high", F.col("begin") + F.col("blocks") - 1 + F.coalesce(beside(F.lead), F.lit(0)))
+    sizes = sizes.where(F.col("all") > 1).drop("of", "held", "all")
+    members = members.join(sizes, ["comp", "step"])
+    return members.select("comp", "low", "high", (F.col("begin") + F.pmod(F.xxhash64("d2"), "blocks")).cast("long").alias("block"), "rep", "rep_h", "copies", "d1", "d2")
+
+
+def _grouped(docs: DataFrame, width: int, num: int, den: int, block: int, shingles: int, candidates: str) -> DataFrame:
+    """doc_id, h (a hash of the text), d1, d2, n_shingles, component_id and n_links of every document."""
+    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    table = cut(slim.mapInArrow(_sets(width), "doc_id long, h long, n_shingles long, d1 long, d2 long"), "sets")
+    classes = table.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count("*").alias("copies"))
+    classes = classes.select("d1", "d2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.h").alias("rep_h"), "copies")
+
+    exact = candidates == "parts" or (candidates == "auto" and num >= EXACT * den)
+    found = slim.where("doc_id is not null").select("text").mapInArrow(_candidates(width, num, den, exact), "sig long, node long, other long")
     meet = F.min("node").over(Window.partitionBy("sig"))  # at most one row for each partition and signature
     edges = found.select("node", F.coalesce("other", meet).alias("to")).where(F.col("node") != F.col("to")).select(F.col("node").alias("a"), F.col("to").alias("b"))
     comps = connected_components(edges).select(F.col("node").alias("d1"), F.col("label").alias("comp"))
 
-    members = cut(classes.join(comps, "d1"), "members")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("of"), F.sum("n_shingles").alias("held")).where("of > 1")
-    blocks = F.least(F.greatest(F.ceil(F.col("of") / F.lit(block)), F.ceil(F.col("held") / F.lit(shingles))), F.col("of"))
-    members = members.join(sizes, "comp").withColumn("blocks", blocks.cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("d2"), F.col("blocks")).cast("int")).drop("of", "held", "n_shingles")
+    members = _members(classes, comps, num, den, block, shingles)
     # Members grow with the documents: a plan that broadcasts them while they are few would change with size.
-    bodies = members.hint("merge").join(slim.withColumnRenamed("doc_id", "rep"), "rep").select("comp", "blocks", "block", "rep", "copies", "d1", "d2", "text").mapInArrow(_bodies(width), "comp long, blocks int, block int, rep long, copies long, d1 long, d2 long, body binary")
-    units = bodies.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "x").alias("bi"), F.greatest("block", "x").alias("bj"), "block", "rep", "copies", "d1", "d2", "body")
+    bodies = members.hint("merge").join(slim.withColumnsRenamed({"doc_id": "rep", "h": "rep_h"}), ["rep", "rep_h"])
+    bodies = bodies.select("comp", "low", "high", "block", "copies", "d1", "d2", "text").mapInArrow(_bodies(width), "comp long, low long, high long, block long, copies long, d1 long, d2 long, body binary")
+    units = bodies.withColumn("x", F.explode(F.sequence("low", "high"))).select("comp", F.least("block", "x").alias("bi"), F.greatest("block", "x").alias("bj"), "block", "copies", "d1", "d2", "body")
     units = units.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    links = cut(units.mapInArrow(_join_units(num, den), "d1 long, d2 long, rep long, root long, links long"), "links")
+    links = cut(units.mapInArrow(_join_units(num, den), "d1 long, d2 long, root long, links long"), "links")
+
+    labels = connected_components(links.select(F.col("d1").alias("a"), F.col("root").alias("b")).where("a <> b")).select(F.col("node").alias("d1"), "label")
+    linked = classes.join(links.groupBy("d1", "d2").agg(F.sum("links").alias("links")), ["d1", "d2"], "left").join(labels, "d1", "left")
+    least = linked.where("label is not null").groupBy(F.col("label").alias("of_label")).agg(F.min("rep").alias("least"))
+    named = linked.join(least, F.col("label") == F.col("of_label"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("least", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    same = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return table.join(named, same, "left").select("doc_id", "h", "d1", "d2", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
-    labels = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "label")
-    per_class = links.groupBy("d1", "d2", "rep").agg(F.sum("links").alias("links")).drop("rep")
-    named = classes.join(per_class, ["d1", "d2"], "left").join(labels, "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    linked = named.where("links > 0").withColumnsRenamed({"d1": "c1", "d2": "c2"})
-    alone = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return table.join(linked, alone, "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+def similarity_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, shingles: int = SHINGLES, candidates: str = "auto") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every document; links are Jaccard >= num/den."""
+    return _grouped(docs, width, num, den, block, shingles, candidates).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without near duplicates: of each group, the rows of its least doc_id; one where rows repeat.
+def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, candidates: str = "auto") -> DataFrame:
+    """The documents without near duplicates: of each group, those of its least doc_id, each text once.
 
-    Documents with a null doc_id or without words stay.
+    Rows with a null doc_id stay, and of rows without words one for each doc_id. A row is known by its doc_id
+    and text, so another text under the same doc_id is judged by itself. Of rows that agree in both, or in doc_id and
+    shingles, one stays.
     """
-    groups = similarity_groups(docs, width, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("dup_id")).distinct()
-    rest = docs.join(groups, F.col("doc_id") == F.col("dup_id"), "left_anti")
-    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    first = rest.where("doc_id is not null").withColumn("probatum_nth", F.row_number().over(nth)).where("probatum_nth = 1").drop("probatum_nth")
-    return first.unionByName(rest.where("doc_id is null"))
+    groups = _grouped(docs, width, num, den, BLOCK, SHINGLES, candidates)
+    stay = groups.where("component_id = doc_id").groupBy("doc_id", "d1", "d2").agg(F.min("h").alias("s_h")).select(F.col("doc_id").alias("s_id"), "s_h").distinct()
+    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("r_id"), F.xxhash64(text).alias("r_h"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    nth = F.row_number().over(Window.partitionBy("r_id", "r_h").orderBy(F.xxhash64("doc")))
+    once = rows.where("r_id is not null").withColumn("nth", nth).where("nth = 1")  # before and after the shuffle
+    kept = once.join(stay.hint("merge"), (F.col("r_id") == F.col("s_id")) & (F.col("r_h") == F.col("s_h")), "left_semi")
+    return kept.select("doc.*").unionByName(rows.where("r_id is null").select("doc.*"))

@@ -314,8 +314,8 @@ def test_tree_join_equals_brute_force(monkeypatch, cells):
         assert set(zip(t.tolist(), p.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize(("width", "num", "shingles"), [(3, 90, 1 << 22), (3, 90, 200), (5, 80, 1 << 22)])
-def test_similarity_groups_equal_brute_force(docs, width, num, shingles):
+@pytest.mark.parametrize(("width", "num", "shingles", "candidates"), [(3, 90, 1 << 22, "auto"), (3, 90, 200, "auto"), (5, 80, 1 << 22, "auto"), (5, 80, 1 << 22, "parts"), (3, 60, 200, "parts")])
+def test_similarity_groups_equal_brute_force(docs, width, num, shingles, candidates):
     sets = {}
     for r in docs.collect():
         ws = words(low(r.text))
@@ -334,10 +334,22 @@ def test_similarity_groups_equal_brute_force(docs, width, num, shingles):
                 links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = prefix_tree_join.similarity_groups(docs, width, num, 100, block=4, shingles=shingles).collect()
+    got = prefix_tree_join.similarity_groups(docs, width, num, 100, block=4, shingles=shingles, candidates=candidates).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == {k: (len(s), find(k), links[k]) for k, s in sets.items()}
 
 
+def test_keep_first_of_texts_that_share_an_id(spark):
+    word = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    rows = [(7, word(1), "a"), (7, word(2), "a"), (7, word(1), "a"), (7, word(1).upper(), "b"), (9, word(1) + " z", "a"), (9, word(3), "a"), (12, word(2), "a"), (13, None, "a"), (13, "", "a"), (None, word(1), "a"), (None, word(1), "a"), (14, word(4), "a")]
+    docs = spark.createDataFrame([(i, t, s, *range(7)) for i, t, s in rows], "doc_id long, text string, source string, h long, d1 long, r_id long, s_h long, nth long, label long, dup_id long")
+    got = prefix_tree_join.keep_first(docs)
+    assert got.columns == docs.columns
+    kept = collections.Counter((r.doc_id, (r.text or "").lower()) for r in got.collect())
+    assert kept == {(7, word(1)): 1, (7, word(2)): 1, (9, word(3)): 1, (13, ""): 1, (None, word(1)): 2, (14, word(4)): 1}
+    by_row = collections.Counter((r.doc_id, r.component_id) for r in prefix_tree_join.similarity_groups(docs).collect())
+    assert by_row == {(7, 7): 4, (9, 7): 1, (9, 9): 1, (12, 7): 1, (13, 13): 2, (None, None): 2, (14, 14): 1}
+
+
 def test_fit_is_exact_near_the_budget():
     rnd = random.Random(6)
     for _ in range(50):
