@@ -141,10 +141,10 @@ class Shard:
             opened, more = opened + len(new), more * 2
             sizes = ends[new] - self.begins[new]
             fresh = np.arange(sizes.sum()) + np.repeat(self.begins[new] - np.cumsum(sizes) + sizes, sizes)
-            off = self.points[fresh] - point
+            off = self.points.take(fresh, 0) - point
             at, r2 = np.concatenate([rest, fresh]), np.concatenate([far, np.einsum("ij,ij->i", off, off)])
             sure = r2 < reach[order[opened]] if opened < len(order) else np.ones(len(r2), bool)
-            turn = np.argsort(r2[sure], kind="stable")
+            turn = np.argsort(r2[sure])
             yield r2[sure][turn], at[sure][turn]
             far, rest = r2[~sure], at[~sure]
 
@@ -171,7 +171,7 @@ def search(shard: Shard, name: int, q: np.ndarray, point: np.ndarray, k: int, kn
             if b <= a:
                 done = True
                 break
-            s = shard.x[at[a:b]] @ q
+            s = shard.x.take(at[a:b], 0) @ q
             verified += b - a
             good = (s >= kth - slack) & (at[a:b] != own)
             if good.any():
