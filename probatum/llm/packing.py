@@ -1,6 +1,7 @@
 """Optimal length buckets: a dynamic programme over the global histogram, then token-budget batches.
 
-1. Documents are counted by exact length; the histogram has one row for each distinct length.
+1. A document's length is its number of tokens by a byte-level vocabulary, whose path is a parameter. Documents are
+   counted by exact length; the histogram has one row for each distinct length.
 2. A dynamic programme chooses at most K bucket boundaries, each a length that occurs, so that the padding
    of all documents to their bucket's boundary is least. The largest length is always a boundary: nothing
    is cut off.
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, n_words, text_of
+from .common import cut
+from .token_attribution import VOCABULARY, totals
 
 BUCKETS = 8
 BUDGET = 65_536
@@ -62,10 +64,10 @@ def boundaries(lengths, counts, k: int = BUCKETS) -> list[int]:
     return [*reversed([*out, int(lengths[i - 1])])]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, share: int = SHARE) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, share: int = SHARE, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, rows_per_batch, batch, place and padding for every document."""
     spark = docs.sparkSession
-    rows = cut(docs.select("doc_id", n_words(text_of(docs)).alias("n_tokens")), "lengths")
+    rows = cut(totals(docs, vocabulary), "lengths")
     # One row for each distinct length.
     hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas()
     bounds = boundaries(hist["n_tokens"], hist["n"], buckets) if len(hist) else []

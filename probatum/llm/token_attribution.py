@@ -2,8 +2,9 @@
 
 1. A document is encoded once, as a whole, by a byte-level vocabulary. The byte lengths of its tokens add up
    to their offsets, which tile the text's UTF-8 bytes exactly.
-2. Sections tile the text too: here its lines, each with the line break that ends it; a list of
-   (name, start, end) in code points may be given instead, which may leave gaps.
+2. Sections are the text's lines, each with the line break that ends it (sections()), or the spans of a column
+   (sections_of()): structs (name, start, end) in code points, which may leave gaps. Of given spans that overlap, what the
+   earlier one holds is not the later one's; parts beyond the text are cut off.
 3. Both lists are sorted, so the interval join is one binary search per boundary.
 4. A token that crosses boundaries goes whole to one section: the one that holds most of its bytes, the
    earlier on a tie ("majority"), or the one that holds its first byte ("start"). A token that lies mostly
@@ -11,8 +12,8 @@
 
 The vocabulary's path is a parameter and must be readable by the workers.
 
-Defined cases: a null or empty text has no section and gives no row from sections(), and a row with 0 tokens
-from totals(); repeated rows give their sections each; an empty table gives an empty result; special tokens'
+Defined cases: a null or empty text has no section and gives no row from sections(), given spans of 0 tokens from
+sections_of(), and a row with 0 tokens from totals(); spans that are null or lack a bound are none; repeated rows give their sections each; an empty table gives an empty result; special tokens'
 strings are ordinary text.
 """
 
@@ -124,6 +125,40 @@ def sections(docs: DataFrame, path: str = VOCABULARY, rule: str = "majority") ->
     return slim.mapInArrow(run, f"doc_id {kind}, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
 
 
+def sections_of(docs: DataFrame, spans: str, path: str = VOCABULARY, rule: str = "majority") -> DataFrame:
+    """doc_id, name, start, end, n_tokens, n_crossing and doc_tokens of given spans; unassigned tokens under a null name, if any."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                out = []
+                for i, (text, given) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                    text = text or ""
+                    tokens = token_offsets(text, path) if text else np.zeros(1, np.int64)
+                    sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                    bytes_at = np.concatenate([[0], np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF))])
+                    named, end = [], 0
+                    for s in sorted((s for s in given or [] if s and None not in (s["start"], s["end"])), key=lambda s: (s["start"], s["end"])):
+                        a, b = (min(max(x, 0), len(text)) for x in (s["start"], s["end"]))
+                        named.append((s["name"], a, b, bytes_at[max(a, end)], bytes_at[max(b, a, end)]))
+                        end = max(b, end)
+                    starts, ends = (np.array([x[k] for x in named], np.int64) for k in (3, 4))
+                    live = np.flatnonzero(ends > starts)
+                    n, crossing = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
+                    n[live], crossing[live], loose = allocate(tokens, starts[live], ends[live], rule)
+                    out += [(i, name, a, b, int(n[k]), int(crossing[k]), len(tokens) - 1) for k, (name, a, b, _, _) in enumerate(named)]
+                    if loose:
+                        out.append((i, None, None, None, loose, 0, len(tokens) - 1))
+                if out:
+                    rows, names, *numbers = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in numbers]], ["doc_id", "name", "start", "end", "n_tokens", "n_crossing", "doc_tokens"])
+
+    text = (F.col("text") if "text" in docs.columns else F.lit(None)).cast("string").alias("text")
+    slim = docs.select("doc_id", text, F.col(spans).cast("array<struct<name: string, start: long, end: long>>").alias("spans"))
+    return slim.mapInArrow(run, f"doc_id {kind}, name string, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+
+
 def totals(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of every document."""
     kind = dict(docs.dtypes)["doc_id"]

@@ -75,6 +75,44 @@ def test_attribution_is_whole(docs):
     assert token_attribution.allocate(tokens, starts, ends, "start")[0].tolist() == [2, 1]
 
 
+@pytest.mark.parametrize("rule", ["majority", "start"])
+def test_attribution_equals_brute_force(docs, rule):
+    """Every token's bytes are counted by section, one by one."""
+    enc = token_attribution.encoder()[0]
+    want = collections.Counter()
+    for r in docs.limit(60).collect():
+        owner, n = [], 0
+        for ch in r.text or "":
+            owner += [n] * len(ch.encode())
+            n += ch == "\n"
+        at = 0
+        for token in enc.encode_ordinary(r.text or ""):
+            size = len(enc.decode_single_token_bytes(token))
+            held = collections.Counter(owner[at : at + size])
+            section = owner[at] if rule == "start" else min(held, key=lambda k: (-held[k], k))
+            want[r.doc_id, section, "n"] += 1
+            want[r.doc_id, section, "crossing"] += len(held) > 1
+            at += size
+    got = collections.Counter()
+    for r in token_attribution.sections(docs.where(docs.doc_id.isin(sorted({k[0] for k in want}))), rule=rule).collect():
+        got[r.doc_id, r.section, "n"] += r.n_tokens
+        got[r.doc_id, r.section, "crossing"] += r.n_crossing
+    assert +got == +want
+
+
+def test_given_sections_may_leave_gaps(spark):
+    """Spans of a table in code points: what lies mostly outside them is counted as unassigned."""
+    text = "Títle one\nbody body body\nfoot"
+    docs = spark.createDataFrame([(1, text, [("title", 0, 9), ("body", 10, 24)]), (2, text, []), (3, "", [("x", 0, 5)]), (4, None, None), (5, "abc", [("out", 9, 20), ("in", 0, 99), ("dup", 0, 1)])], "doc_id long, text string, spans array<struct<name: string, start: long, end: long>>")
+    got = {(r.doc_id, r.name): r for r in token_attribution.sections_of(docs, "spans").collect()}
+    enc = token_attribution.encoder()[0]
+    n = len(enc.encode_ordinary(text))
+    assert got[1, "title"].n_tokens + got[1, "body"].n_tokens + got[1, None].n_tokens == n == got[2, None].n_tokens
+    assert (got[1, "title"].start, got[1, "title"].end, got[1, "title"].doc_tokens) == (0, 9, n) and got[1, None].n_tokens > 0
+    assert got[5, "in"].n_tokens == len(enc.encode_ordinary("abc")) and got[5, "out"].n_tokens == got[5, "dup"].n_tokens == 0
+    assert {k[0] for k in got} == {1, 2, 3, 5} and got[3, "x"].n_tokens == 0
+
+
 def test_boundaries_are_optimal():
     rnd = random.Random(2)
     from itertools import combinations
@@ -87,17 +125,22 @@ def test_boundaries_are_optimal():
         assert cost(packing.boundaries(lengths, counts, 3)) == best
 
 
-def test_packing_fills_batches(docs):
+def test_packing_equals_plain_batches(docs):
+    """Lengths are tokens; buckets, padding and the fill of every batch follow from them."""
     rows = packing.pack(docs, 4, 5000, share=20).collect()
-    assert len(rows) == docs.count()
-    by = collections.defaultdict(set)
+    enc = token_attribution.encoder()[0]
+    n = {r.doc_id: len(enc.encode_ordinary(r.text or "")) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in rows} == n and len(rows) == len(n)
+    hist = collections.Counter(n.values())
+    bounds = packing.boundaries(list(hist), list(hist.values()), 4)
+    by = collections.defaultdict(list)
     for r in rows:
-        assert 0 <= r.padding and r.n_tokens <= r.bucket_length and r.place < r.rows_per_batch
-        assert (r.batch, r.place) not in by[r.bucket]
-        by[r.bucket].add((r.batch, r.place))
+        length = next(b for b in bounds if r.n_tokens <= b)
+        assert (r.bucket, r.bucket_length, r.padding, r.rows_per_batch) == (bounds.index(length), length, length - r.n_tokens, max(1, 5000 // max(length, 1)))
+        by[r.bucket].append((r.batch, r.place))
     for bucket, places in by.items():
-        per = next(r.rows_per_batch for r in rows if r.bucket == bucket)
-        assert len({b for b, _ in places}) == -(-len(places) // per)
+        per = max(1, 5000 // max(bounds[bucket], 1))
+        assert sorted(places) == [(k // per, k % per) for k in range(len(places))]
 
 
 def test_warc_round_trip(spark):
