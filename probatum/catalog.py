@@ -1,6 +1,6 @@
 """The registered queries and the SQL that each is held against."""
 
-from probatum.plans import documents, governance
+from probatum.plans import compliance, documents, governance
 from probatum.plans.queries import ORACLE, QUERIES, flagship
 
-__all__ = ["ORACLE", "QUERIES", "documents", "flagship", "governance"]
+__all__ = ["ORACLE", "QUERIES", "compliance", "documents", "flagship", "governance"]

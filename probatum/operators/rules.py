@@ -28,6 +28,14 @@ class RuleSpec:
     signatures: Sequence[str] = ()
     pair: Sequence[str] = ()
     requires_import: Sequence[str] = field(default_factory=tuple)
+    #: The package, and what it says of its rules.
+    pack: str = ""
+    version: str = "1"
+    obligation: str = ""
+    #: Content rules read code, or all text if documentation; guarded ones don't apply where only_in matches no file.
+    documentation: bool = False
+    guarded: bool = False
+    question: str | None = None
 
 
 #: Patterns of rules mean what Python's re means by them: Unicode classes, boundaries and case, lines end at a line feed.
@@ -47,8 +55,10 @@ def content_rules(files: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
 
     One scan and one aggregation for all rules. `contenido` and `fichero` want a match: one gives a signal
     on the first path, none a finding; for `contenido_prohibido` each match is a finding. A rule whose scope
-    holds no file does not apply.
+    holds no file does not apply. Other kinds need calls: see packs.evaluate.
     """
+    if other := [r.id for r in rules if r.kind not in ("fichero", "contenido", "contenido_prohibido")]:
+        raise ValueError(f"not rules over paths or texts: {other}")
     aggs = []
     for i, r in enumerate(rules):
         scope = in_scope(r)
@@ -73,15 +83,24 @@ def suffixes(dotted: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def call_matches(calls: DataFrame, signatures: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """(path, signature, n): calls whose last parts equal a signature's, as an equi-join on exploded suffixes."""
+def call_matches(calls: DataFrame, signatures: DataFrame, imports: DataFrame | None = None, required: DataFrame | None = None) -> DataFrame:
+    """(path, signature, n): calls whose last parts equal a signature's, as an equi-join on exploded suffixes.
+
+    required: (module) of which a file has to import one, looked up in imports (path, module).
+    """
     exploded = calls.select("path", "dotted", F.explode(suffixes(F.col("dotted"))).alias("signature"))
     hits = exploded.join(signatures, "signature")
-    if imports is not None:
-        hits = hits.join(imports.select("path").distinct(), "path", "left_semi")
+    if required is not None:
+        hits = hits.join(imports.join(required, "module", "left_semi").select("path"), "path", "left_semi")
     return hits.groupBy("path", "signature").agg(F.count("*").alias("n"))
 
 
+def call_scan(calls: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(path, line, col, dotted, signature) of every matching call."""
+    exploded = calls.select("path", "line", "col", "dotted", F.explode(suffixes(F.col("dotted"))).alias("signature"))
+    return exploded.join(signatures, "signature").select("path", "line", "col", "dotted", "signature")
+
+
 def without_pair(triggers: DataFrame, pairs: DataFrame) -> DataFrame:
     """Files with a trigger and no pair in the same file."""
     return triggers.select("path").distinct().join(pairs.select("path").distinct(), "path", "left_anti")
