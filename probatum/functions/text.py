@@ -42,6 +42,22 @@ def article_key(article: Column) -> Column:
     return F.struct(F.regexp_extract(article, r"^(\d+)", 1).cast("int").alias("numero"), F.regexp_extract(article, r"^\d+(.*)$", 1).alias("letra"))
 
 
+def clause_key(clause: Column) -> Column:
+    """4.2 < 4.10 < 10.1: the dotted numbers as integers."""
+    return F.transform(F.split(clause, r"\."), lambda x: x.cast("int"))
+
+
+def length_key(text: Column) -> Column:
+    """Short before long, then by text."""
+    return F.struct(F.length(text).alias("n"), text.alias("x"))
+
+
+def ordered(values: Column, key) -> Column:
+    """Values of an array in the order of a key; equal keys keep their order."""
+    placed = F.transform(values, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda s: s["x"])
+
+
 def canonical(*columns: str) -> Column:
     """JSON with sorted keys, nulls kept, and its content id."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

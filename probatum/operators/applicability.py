@@ -1,4 +1,4 @@
-"""Which obligations bind a profile on a date, in three-valued logic; and the same as a decision table."""
+"""Which obligations bind a profile on a date, in three-valued logic: as a ladder of expressions, and as a decision table of data."""
 
 from __future__ import annotations
 
@@ -62,3 +62,40 @@ def resolve(profiles: DataFrame, obligations: DataFrame, as_of: str) -> DataFram
     for test, state, name in ladder:
         situation, rule = situation.when(test, state), rule.when(test, name)
     return pairs.select("perfil_id", "obligacion_id", situation.otherwise("futura").alias("situacion"), rule.otherwise("FEC-020").alias("regla"), F.when(situation.otherwise("futura").isin("ata", "futura"), since).alias("desde"))
+
+
+#: The decision table: in this order, the first condition that is true gives situation and rule. cubre and fecha come from SCOPE_TABLE and dates.
+DECISIONS = (
+    ("fines_militares", "no_ata", "EXC-2-3"),
+    ("solo_investigacion", "no_ata", "EXC-2-6"),
+    ("es_codigo_abierto AND NOT es_alto_riesgo AND obligacion_id NOT IN ('AIA-005', 'AIA-050')", "no_ata", "EXC-2-12"),
+    ("size(roles) = 0", "indeterminada", "ROL-000"),
+    ("NOT arrays_overlap(roles, roles_obligados)", "no_ata", "ROL-010"),
+    ("cubre IS NULL", "indeterminada", "ALC-NULL"),
+    ("NOT cubre", "no_ata", "ALC"),
+    ("fecha IS NULL", "indeterminada", "FEC-030"),
+    ("fecha <= dia", "ata", "FEC-010"),
+    ("fecha > dia", "futura", "FEC-020"),
+)
+#: Scope, and the fields that must all be known and true.
+SCOPE_TABLE = (("todo_sistema", ()), ("alto_riesgo", ("es_alto_riesgo",)), ("alto_riesgo_sector_publico", ("es_alto_riesgo", "es_sector_publico")), ("modelo_uso_general", ("provee_modelo_uso_general",)), ("modelo_riesgo_sistemico", ("modelo_con_riesgo_sistemico",)))
+
+
+def decision_table(spark) -> DataFrame:
+    """(orden, condicion, situacion, regla): the table as rows, to be exported."""
+    return spark.createDataFrame([(i, *d) for i, d in enumerate(DECISIONS)], "orden int, condicion string, situacion string, regla string")
+
+
+def resolve_by_table(profiles: DataFrame, obligations: DataFrame, as_of: str) -> DataFrame:
+    """What resolve() gives, from the decision table: a second formulation that has to agree with the first on every profile."""
+    fields = F.create_map(*[x for a, fs in SCOPE_TABLE for x in (F.lit(a), F.array(*[F.col(f) for f in fs]).cast("array<boolean>"))])
+    rows = profiles.crossJoin(F.broadcast(obligations)).withColumn("needed", F.try_element_at(fields, F.col("alcance")))
+    rows = rows.withColumn("cubre", F.when(~F.exists("needed", lambda x: x.isNull()), F.forall("needed", lambda x: x)))
+    routes = F.coalesce(F.map_values("aplica_desde_por_via"), F.array().cast("array<date>"))
+    high = F.coalesce("es_alto_riesgo", F.lit(False))
+    own = F.coalesce(F.try_element_at("aplica_desde_por_via", F.col("via_anexo")), F.when(F.col("via_anexo").isNotNull(), F.col("aplica_desde")))
+    rows = rows.withColumn("fecha", F.when(F.size(routes) == 0, F.col("aplica_desde")).when(high, own).otherwise(F.array_min(routes))).withColumn("dia", F.lit(as_of).cast("date"))
+    met = F.array(*[F.when(F.expr(c), F.struct(F.lit(s).alias("situacion"), F.lit(r).alias("regla"))) for c, s, r in DECISIONS])
+    first = F.get(F.array_compact(met), F.lit(0))
+    got = rows.withColumn("v", first)
+    return got.select("perfil_id", "obligacion_id", "v.situacion", "v.regla", F.when(F.col("v.situacion").isin("ata", "futura"), F.col("fecha")).alias("desde"))

@@ -1,4 +1,8 @@
-"""The evidence log: latest record, state as of a moment, reconciliation, deduplication, chain checks."""
+"""The evidence log: appending and revoking, latest record, state as of a moment, reconciliation, chain checks.
+
+Log rows: n, tipo (observacion, revalidacion, revocacion), registro_id, control_id, sujeto_digest, contenido, cuando. Nothing is
+ever changed or deleted: every state is derived from the rows and a moment.
+"""
 
 from __future__ import annotations
 
@@ -22,20 +26,25 @@ def latest(log: DataFrame, key: str = "control_id", when: str = "observado_en",
     return log.groupBy(key).agg(best.alias("r")).select(key, "r.*")
 
 
-def state(as_of: Column) -> Column:
-    """Of joined rows (estado_declarado, revocada, confiable, sujeto_digest, digest_actual, observado_en, revalidado_en, frescura_dias)."""
-    seen = F.greatest("observado_en", "revalidado_en")
-    stale = F.col("frescura_dias").isNotNull() & (as_of > seen + F.make_dt_interval(F.col("frescura_dias")))
+def state_of(declared: Column, revoked: Column, trusted: Column, subject: Column, now: Column, seen_at: Column, again_at: Column, days: Column, as_of: Column) -> Column:
+    """The first that holds: not declared valid, revoked, untrusted (as what is unknown is), superseded, stale, valid."""
+    seen = F.greatest(seen_at, again_at)
+    stale = days.isNotNull() & (as_of > seen + F.make_dt_interval(days))
     return (
-        F.when(F.col("estado_declarado") != "valida", F.col("estado_declarado"))
-        .when(F.col("revocada"), "revocada")
-        .when(~F.col("confiable"), "no_fiable")
-        .when(F.col("digest_actual").isNotNull() & (F.col("digest_actual") != F.col("sujeto_digest")), "superada")
+        F.when(declared != "valida", declared)
+        .when(F.coalesce(revoked, F.lit(False)), "revocada")
+        .when(~F.coalesce(trusted, F.lit(False)), "no_fiable")
+        .when(now.isNotNull() & ~now.eqNullSafe(subject), "superada")
         .when(stale, "rancia")
         .otherwise("valida")
     )
 
 
+def state(as_of: Column) -> Column:
+    """Of joined rows (estado_declarado, revocada, confiable, sujeto_digest, digest_actual, observado_en, revalidado_en, frescura_dias)."""
+    return state_of(*[F.col(c) for c in ("estado_declarado", "revocada", "confiable", "sujeto_digest", "digest_actual", "observado_en", "revalidado_en", "frescura_dias")], as_of)
+
+
 def reconcile(latest_rows: DataFrame, expected: DataFrame | None, as_of: Column) -> DataFrame:
     """Verdict of each control: its state, out of scope, or without evidence.
 
@@ -64,7 +73,10 @@ def chain_breaks(log: DataFrame, tenant: str) -> DataFrame:
     """
     w = Window.partitionBy(tenant).orderBy("n")
     before, n_before = F.lag("sello").over(w), F.lag("n").over(w)
-    broken = (F.col("n") != F.coalesce(n_before + 1, F.lit(1))) | (F.col("previo") != F.coalesce(before, F.lit("genesis"))) | (F.col("sello") != F.col("sello_debido"))
+    place = F.col("n") != F.coalesce(n_before + 1, F.lit(1))
+    # A line without a seal or a predecessor proves nothing: it is a break, not an unknown.
+    follows = F.col("previo").isNotNull() & F.col("previo").eqNullSafe(F.when(F.row_number().over(w) == 1, "genesis").otherwise(before))
+    broken = F.coalesce(place, F.lit(True)) | ~follows | F.coalesce(F.col("sello") != F.col("sello_debido"), F.lit(True))
     marked = log.withColumn("rota", broken)
     return marked.withColumn("tachada", F.max(F.col("rota").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
 
@@ -73,3 +85,61 @@ def sufficiency(states: DataFrame, by: str) -> DataFrame:
     """suficiente only if every record is valid; valid ids stay either way."""
     g = states.groupBy(by).agg(F.count("estado").alias("registros"), F.count_if(F.col("estado") == "valida").alias("validas"))
     return g.withColumn("suficiencia", F.when((F.col("registros") > 0) & (F.col("registros") == F.col("validas")), "suficiente").otherwise("insuficiente")).withColumn("huecos", F.col("registros") - F.col("validas"))
+
+
+def keyed(records: DataFrame) -> DataFrame:
+    """Adds clave: what makes two records of a control the same, its subject and its content as canonical JSON."""
+    return records.withColumn("clave", F.sha2(F.concat_ws("\x1f", F.col("control_id").cast("string"), F.coalesce("sujeto_digest", F.lit("")), F.coalesce("contenido", F.lit(""))), 256))
+
+
+def append(log: DataFrame, records: DataFrame, offset: int) -> DataFrame:
+    """Rows to append for records (control_id, sujeto_digest, contenido, cuando, orden): observations of what is new, else revalidations.
+
+    Any earlier record of the same control, subject and content counts, also one earlier in the batch; a revalidation
+    names the last of them that was appended. offset: rows in the log.
+    """
+    seen = keyed(log.where("tipo = 'observacion'")).groupBy("clave").agg(F.max_by("registro_id", "n").alias("ya"))
+    fresh = keyed(records)
+    once = fresh.groupBy("clave").agg(F.min("orden").alias("primera"))
+    rows = fresh.join(once, "clave").join(seen, "clave", "left")
+    new = F.col("ya").isNull() & (F.col("orden") == F.col("primera"))
+    own = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", "clave", F.col("cuando").cast("string")), 256))
+    named = rows.withColumn("propio", own)
+    first = named.where(F.col("orden") == F.col("primera")).select("clave", F.col("propio").alias("primero"))
+    out = named.join(first, "clave").select(
+        (F.col("orden") + offset).alias("n"), F.when(new, "observacion").otherwise("revalidacion").alias("tipo"), F.coalesce("ya", "primero").alias("registro_id"),
+        "control_id", "sujeto_digest", "contenido", "cuando",
+    )
+    return out
+
+
+def revoke(log: DataFrame, revocations: DataFrame, offset: int) -> DataFrame:
+    """Rows to append for revocations (registro_id, motivo, quien, cuando, orden); of an unknown record, an error."""
+    known = log.where("tipo = 'observacion'").select("registro_id").distinct().withColumn("hay", F.lit(True))
+    checked = revocations.join(known, "registro_id", "left")
+    named = F.when(F.col("hay"), F.col("registro_id")).otherwise(F.raise_error(F.concat(F.lit("no such record: "), F.coalesce("registro_id", F.lit("null")))))
+    return checked.select((F.col("orden") + offset).alias("n"), F.lit("revocacion").alias("tipo"), named.alias("registro_id"), "motivo", "quien", "cuando")
+
+
+def records_of(log: DataFrame) -> DataFrame:
+    """Each observation with its latest revalidation (revalidado_en) and whether it is revoked."""
+    later = log.groupBy(F.col("registro_id").alias("r")).agg(F.max(F.when(F.col("tipo") == "revalidacion", F.col("cuando"))).alias("revalidado_en"), F.bool_or(F.col("tipo") == "revocacion").alias("revocada"))
+    seen = log.where("tipo = 'observacion'").join(later, F.col("registro_id") == F.col("r")).drop("r")
+    return seen.withColumnRenamed("cuando", "observado_en")
+
+
+def log_counts(log: DataFrame) -> DataFrame:
+    """One row: rows, records, distinct controls and subjects."""
+    seen = F.col("tipo") == "observacion"
+    return log.agg(F.count("*").alias("lineas"), F.count_if(seen).alias("registros"), F.countDistinct(F.when(seen, F.col("control_id"))).alias("controles"), F.countDistinct(F.when(seen, F.col("sujeto_digest"))).alias("sujetos"))
+
+
+def work_saved(reconciled: DataFrame) -> DataFrame:
+    """One row: controls whose evidence still counts, and those to be looked at again."""
+    return reconciled.agg(F.count_if(F.col("estado") == "valida").alias("con_evidencia"), F.count_if(F.col("accion") == "reobservar").alias("a_reobservar"))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """Adds integro: whether a record's id is the digest of its own content."""
+    due = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", "clave", F.col("cuando").cast("string")), 256))
+    return keyed(records).withColumn("integro", F.col("registro_id").eqNullSafe(due)).drop("clave")

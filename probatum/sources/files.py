@@ -17,31 +17,70 @@ DEPLOY_NAMES = ("dockerfile", "containerfile", "makefile", "procfile", "justfile
 SKIPPED = (".git", "__pycache__", ".venv", "node_modules")
 
 
+def _listing(root: str) -> tuple[list[str], list[str]]:
+    """(regular files, links that lead out) below root; skipped folders and linked ones are never entered."""
+    top, inside, outside = os.path.realpath(root), [], []
+    for folder, dirs, names in os.walk(root, followlinks=False):
+        links = [d for d in dirs if os.path.islink(os.path.join(folder, d))]
+        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and d not in links)
+        for x in [*names, *(d for d in links if d not in SKIPPED)]:
+            full = os.path.join(folder, x)
+            real = os.path.realpath(full)
+            if os.path.islink(full) and real != top and not real.startswith(top.rstrip("/") + "/"):
+                outside.append(os.path.relpath(full, root))
+            elif os.path.isfile(full):
+                inside.append(os.path.relpath(full, root))
+    return sorted(inside), sorted(outside)
+
+
+def _read(root: str):
+    def run(frames):
+        for f in frames:
+            bodies = []
+            for p in f["path"]:
+                try:
+                    with open(os.path.join(root, p), "rb") as g:
+                        bodies.append(g.read())
+                except OSError:
+                    bodies.append(None)
+            yield pd.DataFrame({"path": f["path"], "content": bodies})
+
+    return run
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, readable, text, error) of each file below root; a missing root is an error, not an empty table.
 
-    Links that lead out of root, and files that aren't UTF-8, come back as rows with an error.
+    Names are listed on the driver, contents are read by tasks, and only those that are text. Links that lead out of root, and
+    files that can't be read or aren't UTF-8, come back as rows with an error; nothing behind such a link is read. Linked folders
+    within root are read where they stand, not once more behind the link.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    top, outside = os.path.realpath(root), []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIPPED)
-        for x in [*names, *dirs]:
-            full = os.path.join(folder, x)
-            if os.path.islink(full) and os.path.commonpath([top, os.path.realpath(full)]) != top:
-                outside.append(os.path.relpath(full, root))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{os.path.abspath(root)}/", "")
-    rows = raw.select(path.alias("path"), "content").where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in SKIPPED])))
-    rows = rows.where(~F.col("path").isin(outside)) if outside else rows
+    inside, outside = _listing(root)
+    names = spark.createDataFrame([(p, True) for p in inside] + [(p, False) for p in outside], "path string, inside boolean")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    readable = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*SUFFIXES) | name.isin(*DEPLOY_NAMES)
+    wanted = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*SUFFIXES) | name.isin(*DEPLOY_NAMES)
+    listed = names.withColumn("readable", F.col("inside") & wanted)
+    parts = max(1, min(len(inside) // 200, 1000))
+    read = listed.where("readable").repartition(parts).mapInPandas(_read(os.path.abspath(root)), "path string, content binary")
     ok = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
-    found = rows.select("path", readable.alias("readable"), F.when(readable & ok, text).alias("text"), F.when(readable & ~ok, F.lit("no es UTF-8")).alias("error"))
-    lost = spark.createDataFrame([(p, False, None, "enlace fuera de la raiz") for p in outside], found.schema) if outside else None
-    return found.unionByName(lost) if lost is not None else found
+    why = F.when(F.col("content").isNull(), "no se pudo leer").when(~ok, "no es UTF-8")
+    found = read.select("path", F.lit(True).alias("readable"), F.when(ok, text).alias("text"), why.alias("error"))
+    rest = listed.where("not readable").select("path", F.lit(False).alias("readable"), F.lit(None).cast("string").alias("text"), F.when(~F.col("inside"), "enlace fuera de la raiz").alias("error"))
+    return found.unionByName(rest)
+
+
+#: Code suffixes: those that are read as text, but for prose (fixed values).
+PROSE = (".md", ".txt", ".rst")
+
+
+def projections(scanned: DataFrame) -> DataFrame:
+    """Adds code: text of code files, Python's without comments and docstrings; null for prose and deploy files, which have no suffix of code."""
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    is_code = suffix.isin(*SUFFIXES) & ~suffix.isin(*PROSE)
+    return scanned.withColumn("code", F.when(is_code & (suffix == ".py"), strip_prose(F.col("text"))).when(is_code, F.col("text")))
 
 
 def _dotted(node) -> str | None:
@@ -101,7 +140,19 @@ def python_facts(source: Column) -> Column:
     return F.pandas_udf(_python_facts, FACTS)(source)
 
 
+def _with_facts(files: DataFrame) -> DataFrame:
+    keys = [c for c in ("repo", "path") if c in files.columns]
+    return files.where(F.col("path").endswith(".py") & F.col("text").isNotNull()).select(*keys, python_facts(F.col("text")).alias("f"))
+
+
 def call_sites(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls: path, line, col, dotted), (imports: path, module) of Python files."""
-    facts = files.where(F.col("path").endswith(".py") & F.col("text").isNotNull()).select("path", python_facts(F.col("text")).alias("f"))
-    return facts.select("path", F.inline("f.calls")), facts.select("path", F.explode("f.imports").alias("module"))
+    """(calls: path, line, col, dotted), (imports: path, module) of Python files, under their repo, if any."""
+    facts = _with_facts(files)
+    keys = facts.columns[:-1]
+    return facts.select(*keys, F.inline("f.calls")), facts.select(*keys, F.explode("f.imports").alias("module"))
+
+
+def unparsed(files: DataFrame) -> DataFrame:
+    """(path, error) of Python files that don't parse: they count as unreadable."""
+    facts = _with_facts(files)
+    return facts.where("f.error is not null").select(*facts.columns[:-1], F.col("f.error").alias("error"))
