@@ -12,8 +12,8 @@
 
 Files live in the shared folder (spark.checkpoint.dir). Where that is a mounted path, workers map it in
 place; for another file system the finished files are sent to the workers with SparkContext.addFile. Counted
-blocks travel as sorted, byte-transposed, compressed differences. The query's order is three, which takes
-more disk than the tool's budget allows (see README).
+blocks travel as sorted, byte-transposed, compressed differences. A count takes one byte, and a row of a small
+table from 255 up. A finished step's shuffle files are let go before the next one starts.
 
 Defined cases: null texts are empty and hold one token, the end; repeated rows count each time; without
 training rows every token has probability 1/(V+1) = 1; further columns aren't read.
@@ -21,8 +21,10 @@ training rows every token has probability 1/(V+1) = 1; further columns aren't re
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,13 +34,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, cut_at, delete, scratch
+from .common import cut_at, delete, scratch
 from .hashing import mix, slices, word_hashes
 
 END = np.uint64(1)  # no word hash: checked where words are hashed
 HELD_OUT = (7, 2)
 FLUSH = 1_500_000
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 2_000_000
+#: Files that a worker keeps mapped.
+MAPS = 4_096
 
 
 # --- blocks of sorted keys with counts ---------------------------------------------------------------
@@ -103,14 +107,9 @@ BLOCKS = "shard int, keys binary, counts binary"
 
 def _emit(held: list, shards: int, shard_of):
     keys, counts = tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if len(held) > 1 else held[0]
-    of = shard_of(keys, shards).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[cuts[s] : cuts[s + 1]]
-        if len(at):
-            k, c = pack_block(keys[at], counts[at])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k], pa.binary()), pa.array([c], pa.binary())], ["shard", "keys", "counts"])
+    for s, at in _by_shard(shard_of(keys, shards).astype(np.int64)):
+        k, c = pack_block(keys[at], counts[at])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k], pa.binary()), pa.array([c], pa.binary())], ["shard", "keys", "counts"])
 
 
 def _counting(shards: int, shard_of, keys_of):
@@ -163,6 +162,19 @@ class Files:
         full = self.at(name)
         return np.memmap(full, dtype, "r") if os.path.getsize(full) else np.zeros(0, dtype)
 
+    def counts(self, name: str, at: np.ndarray | slice = slice(None), held: Maps | None = None) -> np.ndarray:
+        """Counts at some places of a file of put_counts()."""
+        look = held.get if held is not None else self.map
+        if _local(self.path) is None:
+            return look(name, np.uint32)[at].astype(np.int64)
+        c = look(name, np.uint8)[at].astype(np.int64)
+        full = np.flatnonzero(c == FULL)
+        if len(full):
+            more = look(f"{name}-more", np.int64).reshape(-1, 2)
+            place = np.arange(len(c)) if isinstance(at, slice) else at
+            c[full] = np.append(more[:, 1], FULL)[np.searchsorted(more[:, 0], place[full])]  # a task that runs again may meet a half-written pair
+        return c
+
     def publish(self, spark: SparkSession) -> None:
         """Only for shared folders that aren't mounted."""
         if _local(self.path) is None:
@@ -170,6 +182,46 @@ class Files:
             spark.sparkContext.addFile(self.path, recursive=True)
 
 
+class Maps:
+    """Files mapped when first needed; the least recently used are let go beyond MAPS."""
+
+    def __init__(self, files: Files):
+        self.files, self.open = files, OrderedDict()
+
+    def get(self, name: str, dtype) -> np.ndarray:
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            self.open[name] = self.files.map(name, dtype)
+            if len(self.open) > MAPS:
+                self.open.popitem(last=False)
+        return self.open[name]
+
+
+def _by_shard(of: np.ndarray):
+    """(shard, places) for each shard that occurs, after one sort."""
+    order = np.argsort(of, kind="stable")
+    which, first = np.unique(of[order], return_index=True)
+    for s, a, b in zip(which.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
+        yield s, order[a:b]
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of frames that nothing refers to are deleted once both sides have collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: A count of one byte that stands in the table of larger ones.
+FULL = 255
+
+
+def put_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    large = np.flatnonzero(counts >= FULL)
+    _put(folder, f"{name}-more", np.stack([large, counts[large].astype(np.int64)], 1))
+    _put(folder, name, np.minimum(counts, FULL).astype(np.uint8))
+
+
 def _put(folder: str, name: str, array: np.ndarray) -> None:
     """Under its name only when complete: a task that runs again, or beside another, writes the same file."""
     part = f"{folder}/.{name}-{os.urandom(6).hex()}"
@@ -254,9 +306,7 @@ class Scorer:
         self.counts = f.map("counts", np.uint64)
         stats = f.map("stats", np.int64).reshape(-1, 4)  # begun with count 1, 2, 3+; ended
         self.begun, self.ended = stats[:, :3], stats[:, 3]
-        full = [s for s in range(m.shards) if m.bounds[s + 1] > m.bounds[s]]
-        self.keys = {s: f.map(f"keys-{s}", np.uint64) for s in full}
-        self.times = {s: f.map(f"times-{s}", np.uint32) for s in full}
+        self.maps = Maps(f)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of known tokens; V + 1 for unknown ones."""
@@ -286,13 +336,13 @@ class Scorer:
         c = np.zeros(len(left))
         pair = known & (right < m.v)
         u, back = np.unique(left[pair].astype(np.uint64) << np.uint64(32) | right[pair].astype(np.uint64), return_inverse=True)
-        of, got = key_shard(u, m.shards), np.zeros(len(u))
-        for s in range(m.shards):
-            at = np.flatnonzero(of == s)
-            if len(at) and s in self.keys:
-                keys, times = self.keys[s], self.times[s]
+        got = np.zeros(len(u))
+        for s, at in _by_shard(key_shard(u, m.shards)):
+            if m.bounds[s + 1] > m.bounds[s]:
+                keys = self.maps.get(f"keys-{s}", np.uint64)
                 k = np.minimum(np.searchsorted(keys, u[at]), len(keys) - 1)
-                got[at] = np.where(keys[k] == u[at], times[k], 0)
+                hit = keys[k] == u[at]
+                got[at[hit]] = m.files.counts(f"times-{s}", k[hit], self.maps)
         c[pair] = got[back]
         d = np.array([0.0, *m.d2])[np.minimum(c, 3).astype(np.int64)]
         total = np.maximum(total, 1)
@@ -306,26 +356,26 @@ class Level:
     """The n-grams of one order: keys (place of the n-gram without its last word, last word's id) by shard."""
 
     def __init__(self, files: Files, order: int, bounds: list):
-        self.bounds, name = np.array(bounds), "keys" if order == 2 else f"keys{order}"
-        self.full = np.flatnonzero(np.diff(self.bounds))
-        self.keys = {s: files.map(f"{name}-{s}", np.uint64) for s in self.full}
+        self.bounds, self.name, self.maps = np.array(bounds), "keys" if order == 2 else f"keys{order}", Maps(files)
+
+    def keys(self, s: int) -> np.ndarray:
+        return self.maps.get(f"{self.name}-{s}", np.uint64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of n-grams; -1 for unknown ones."""
         u, back = np.unique(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64), return_inverse=True)
-        of, got = key_shard(u, len(self.bounds) - 1), np.full(len(u), -1, np.int64)
-        for s in self.full:
-            at = np.flatnonzero(of == s)
-            if len(at):
-                k = np.minimum(np.searchsorted(self.keys[s], u[at]), len(self.keys[s]) - 1)
-                got[at] = np.where(self.keys[s][k] == u[at], k + self.bounds[s], -1)
+        got = np.full(len(u), -1, np.int64)
+        for s, at in _by_shard(key_shard(u, len(self.bounds) - 1)):
+            if self.bounds[s + 1] > self.bounds[s]:
+                keys = self.keys(s)
+                k = np.minimum(np.searchsorted(keys, u[at]), len(keys) - 1)
+                got[at] = np.where(keys[k] == u[at], k + self.bounds[s], -1)
         return got[back]
 
     def key(self, places: np.ndarray) -> np.ndarray:
         out, of = np.zeros(len(places), np.uint64), np.searchsorted(self.bounds, places, "right") - 1
-        for s in np.unique(of):
-            at = np.flatnonzero(of == s)
-            out[at] = self.keys[s][places[at] - self.bounds[s]]
+        for s, at in _by_shard(of):
+            out[at] = self.keys(s)[places[at] - self.bounds[s]]
         return out
 
 
@@ -407,7 +457,7 @@ def extend(text: DataFrame, m: Model, order: int) -> Model:
         def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
             keys, counts = _merged(pdf)
             _put(folder, f"keys{k}-{key[0]}", keys)
-            _put(folder, f"times{k}-{key[0]}", np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            put_counts(folder, f"times{k}-{key[0]}", counts)
             coc = np.bincount(np.minimum(counts, np.uint64(5)).astype(np.int64), minlength=6).tolist()
             found, c = tally(suffixes({j: Level(files, j, b) for j, b in known.items()}, k, keys).astype(np.uint64))
             return pd.DataFrame([("keys", key[0], len(keys), b"", b"", coc), *_by_range(found, c, known[k - 1][-1], shards)], columns=ROWS)
@@ -427,7 +477,9 @@ def extend(text: DataFrame, m: Model, order: int) -> Model:
 
         bodies = merged.where("name = 'range'").groupBy("part").applyInPandas(before, "name string, part int, body binary")
         _save(spark, bodies.withColumn("name", F.lit(f"before{k - 1}")), files, {f"before{k - 1}": 4 * bounds[k - 1][-1]}, {(f"before{k - 1}", t): 4 * low[t] for t in range(shards)})
+        del merged, bodies
         delete(spark, path)
+        _let_go(spark)
 
     levels = []
     for k in range(2, order + 1):
@@ -440,11 +492,11 @@ def extend(text: DataFrame, m: Model, order: int) -> Model:
                     if bounds[k][s + 1] == bounds[k][s]:
                         continue
                     tail = "" if k == 2 else k
-                    keys, c = files.map(f"keys{tail}-{s}", np.uint64), files.map(f"times{tail}-{s}", np.uint32)
+                    keys, c = files.map(f"keys{tail}-{s}", np.uint64), files.counts(f"times{tail}-{s}")
                     if k < order:
                         b = files.map(f"before{k}", np.uint32)[bounds[k][s] : bounds[k][s + 1]]
                         c = np.where(b > 0, b, c)
-                        _put(folder, f"times{tail}-{s}", c)  # a task that runs again finds and writes the same
+                        put_counts(folder, f"times{tail}-{s}", c)  # a task that runs again finds and writes the same
                     c = c.astype(np.uint64)
                     left = (keys >> np.uint64(32)) << np.uint64(2)
                     codes = tally(np.concatenate([left | np.minimum(c, np.uint64(3)) - np.uint64(1), left | np.uint64(3)]), np.concatenate([np.ones(len(c), np.uint64), c]))
@@ -465,7 +517,9 @@ def extend(text: DataFrame, m: Model, order: int) -> Model:
         coc = [sum(x) for x in zip(*[r.coc for r in counted.where("name = 'coc'").select("coc").collect()], strict=True)] or [0] * 6
         bodies = counted.where("name = 'range'").groupBy("part").applyInPandas(merge_sums, "name string, part int, body binary")
         _save(spark, bodies.withColumn("name", F.lit(f"sums{k}")), files, {f"sums{k}": contexts}, {(f"sums{k}", t): low[t] for t in range(shards)})
+        del counted, bodies
         delete(spark, path)
+        _let_go(spark)
         if k < order:
             os.remove(f"{folder}/before{k}")
         levels.append((bounds[k], discounts(coc[1:5])))
@@ -479,7 +533,7 @@ class Chain:
         self.low, m = low, low.m
         self.levels = {k: Level(m.files, k, b) for k, (b, _) in enumerate(m.levels, 2)}
         self.sums = {k: m.files.map(f"sums{k}", np.uint8) for k in self.levels}
-        self.times = {k: {s: m.files.map(f"times{'' if k == 2 else k}-{s}", np.uint32) for s in level.full} for k, level in self.levels.items()}
+        self.maps = Maps(m.files)
 
     def begun(self, k: int, contexts: np.ndarray) -> np.ndarray:
         """How many n-grams of count 1, 2, 3 and more contexts begin, and the sum of their counts."""
@@ -488,10 +542,9 @@ class Chain:
         out = np.stack([code & 7, code >> 3, np.zeros_like(code), (code & 7) + 2 * (code >> 3)], 1).astype(np.float64)
         more = np.flatnonzero(code == MORE)
         of = u[more] * self.low.m.shards // max(len(self.sums[k]), 1)
-        for t in np.unique(of):
-            at = more[of == t]
-            f = self.low.m.files
-            out[at] = f.map(f"rows{k}-{t}", np.uint32).reshape(-1, 4)[np.searchsorted(f.map(f"more{k}-{t}", np.int64), u[at])]
+        for t, held in _by_shard(of):
+            at = more[held]
+            out[at] = self.maps.get(f"rows{k}-{t}", np.uint32).reshape(-1, 4)[np.searchsorted(self.maps.get(f"more{k}-{t}", np.int64), u[at])]
         return out[back]
 
     def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -505,9 +558,9 @@ class Chain:
             bounds = self.levels[k].bounds
             found = np.flatnonzero(place >= 0)
             of = np.searchsorted(bounds, place[found], "right") - 1
-            for s in np.unique(of):
-                here = found[of == s]
-                c[here] = self.times[k][s][place[here] - bounds[s]]
+            for s, at in _by_shard(of):
+                here = found[at]
+                c[here] = m.files.counts(f"times{'' if k == 2 else k}-{s}", place[here] - bounds[s], self.maps)
             d = np.array([0.0, *m.levels[k - 2][1]])
             total = np.maximum(b[:, 3], 1)
             p = np.where(b[:, 3] > 0, np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / total + b[:, :3] @ d[1:] / total * p, p)
@@ -542,7 +595,7 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
         keys, counts = _merged(pdf)
         return pd.DataFrame([(key[0], len(keys), int(counts.sum()), keys.tobytes(), counts.tobytes())], columns=["shard", "n", "total", "keys", "counts"])
 
-    vocab = cut(blocks.groupBy("shard").applyInPandas(merge_words, "shard int, n long, total long, keys binary, counts binary"), "vocabulary")
+    vocab, vocab_path = cut_at(blocks.groupBy("shard").applyInPandas(merge_words, "shard int, n long, total long, keys binary, counts binary"), "vocabulary")
     sizes = {r.shard: (r.n, r.total) for r in vocab.select("shard", "n", "total").collect()}  # a row for each shard
     v, n = sum(x for x, _ in sizes.values()), sum(x for _, x in sizes.values())
     if v >= 1 << 32:
@@ -554,6 +607,9 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
     parts = vocab.select(F.lit("words").alias("name"), F.col("shard").alias("part"), F.col("keys").alias("body")).unionByName(vocab.select(F.lit("counts").alias("name"), F.col("shard").alias("part"), F.col("counts").alias("body")))
     _save(spark, parts, files, {"words": 8 * v, "counts": 8 * v}, first)
     files.publish(spark)
+    del blocks, vocab, parts
+    delete(spark, vocab_path)
+    _let_go(spark)
 
     def pairs():
         scorer = Scorer.__new__(Scorer)
@@ -576,7 +632,7 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
         coc = np.bincount(np.minimum(counts, np.uint64(5)).astype(np.int64), minlength=6).tolist()
         if folder is not None:  # a shard's arrays don't pass through the JVM
             _put(folder, f"keys-{key[0]}", keys)
-            _put(folder, f"times-{key[0]}", times)
+            put_counts(folder, f"times-{key[0]}", counts)
             rows = [("keys", key[0], len(keys), b"", b"", coc)]
         else:
             rows = [("keys", key[0], len(keys), keys.tobytes(), times.tobytes(), coc)]
@@ -592,7 +648,7 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
         return pd.DataFrame(rows, columns=["name", "part", "n", "keys", "counts", "coc"])
 
     counted = text.mapInArrow(_counting(shards, key_shard, pairs), BLOCKS)
-    merged = cut(counted.groupBy("shard").applyInPandas(merge_pairs, "name string, part int, n long, keys binary, counts binary, coc array<long>"), "bigrams")
+    merged, merged_path = cut_at(counted.groupBy("shard").applyInPandas(merge_pairs, "name string, part int, n long, keys binary, counts binary, coc array<long>"), "bigrams")
     held = {r.part: r for r in merged.where("name = 'keys'").select("part", "n", "coc").collect()}  # a row for each shard
     bounds = [0]
     for s in range(shards):
@@ -613,10 +669,14 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
         out[(keys >> np.uint64(2)).astype(np.int64) - low[t], (keys & np.uint64(3)).astype(np.int64)] = counts
         return pd.DataFrame([(t, out.tobytes(), np.bincount(np.minimum(out[:, 3], 5), minlength=6).tolist())], columns=["part", "body", "coc"])
 
-    stats = cut(merged.where("name = 'stats'").groupBy("part").applyInPandas(merge_stats, "part int, body binary, coc array<long>"), "stats")
+    stats, stats_path = cut_at(merged.where("name = 'stats'").groupBy("part").applyInPandas(merge_stats, "part int, body binary, coc array<long>"), "stats")
     _save(spark, stats.select(F.lit("stats").alias("name"), "part", "body"), files, {"stats": 32 * (v + 1)}, {("stats", t): 32 * low[t] for t in range(shards)})
     coc1 = [sum(x) for x in zip(*[r.coc for r in stats.select("coc").collect()], strict=True)] or [0] * 6
     files.publish(spark)
+    del counted, merged, stats
+    delete(spark, merged_path)
+    delete(spark, stats_path)
+    _let_go(spark)
     d1 = discounts(coc1[1:5])
     rest = sum(d * x for d, x in zip(d1, (coc1[1], coc1[2], sum(coc1[3:])), strict=True)) / bounds[-1] if bounds[-1] else 1.0
     model = Model(files, shards, v, n, n_docs, bounds, discounts(coc2[1:5]), d1, rest)
