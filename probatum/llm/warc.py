@@ -2,15 +2,16 @@
 
 A response row holds its record id, target URI, date, content type, HTTP header block and payload. Each gives
 two records: `metadata`, a JSON document of the HTTP headers, title, language and links, and `conversion`,
-the page's plain text. Both carry WARC-Refers-To (the response's record id), the source's target URI and
-date, and their own block digest; the response's payload digest travels as source_digest. Record ids are
-version-5 UUIDs of the response's id and the record type, so a task that runs again writes the same.
+the page's plain text. Both carry WARC-Refers-To (the response's record id) with the source's target URI and
+date, the source's header block, and their own block digest; the response's payload digest travels as source_digest.
+Record ids are version-5 UUIDs, of a response's page id, URL and payload, and of the response's id and a record's type,
+so a task that runs again writes the same and pages of unlike content never share one.
 
-serialize() frames records as WARC/1.0 and parse() reads them back.
+serialize() frames records as WARC/1.0 and parse() reads them back. Pages are read in time linear in their length.
 
 Defined cases: a null page has an empty payload and still gives both records; a null URL is an empty target
-URI; repeated rows give their records each; an empty table gives an empty result; broken markup is read as
-far as it goes (see dropped()).
+URI; repeated rows give their records each, under the same ids; an empty table gives an empty result; further columns aren't
+read; broken markup is read as far as it goes (see dropped()).
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ _RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.I) for k in ("script", "
 _RAW_NEXT = {k: re.compile(rf"<(/?){k}(?=[\s/>])[^>]*>", re.I) for k in ("script", "style", "title")}
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|blockquote|pre|main|aside|form|dl|dt|dd|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_OPEN = {k: re.compile(rf"<{k}(?=[\s/>])[^>]*>", re.I) for k in ("title", "html", "a")}
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_LINK = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -63,8 +65,8 @@ def dropped(page: str) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     inside: dict[str, int] = {}
-    at, titles = 0, True
-    while m := _MARK.search(page, at):
+    at, titles, last = 0, True, page.rfind(">") + 1  # beyond the last one no tag is complete, and none is looked for
+    while m := _MARK.search(page, at, last):
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             end = _COMMENT_END.search(page, at)
@@ -89,14 +91,15 @@ def dropped(page: str) -> list[tuple[int, int]]:
                 stack.append((name, m.start()))
                 inside[name] = inside.get(name, 0) + 1
         elif inside.get(name):
-            last = ""
-            while last != name:
-                last, start = stack.pop()
-                inside[last] -= 1
+            top = ""
+            while top != name:
+                top, start = stack.pop()
+                inside[top] -= 1
             while spans and spans[-1][0] > start:
                 spans.pop()
             spans.append((start, at))
-    return spans
+    open_ = page.find("<!--", max(at, last))
+    return [*spans, (open_, len(page))] if open_ >= 0 else spans
 
 
 def plain_text(page: str) -> str:
@@ -105,15 +108,23 @@ def plain_text(page: str) -> str:
     for a, b in dropped(page):
         parts.append(page[at:a])
         at = b
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", " ".join([*parts, page[at:]]))))
+    joined = " ".join([*parts, page[at:]])
+    last = joined.rfind(">") + 1
+    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", joined[:last])) + joined[last:])
     lines = (_BLANK.sub(" ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def page_facts(page: str) -> dict:
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = list(dict.fromkeys(html.unescape(a or b or c) for a, b, c in _LINK.findall(page)))
-    return {"title": _BLANK.sub(" ", html.unescape(title[1])).strip() if title else None, "lang": lang[1] if lang else None, "links": links}
+    """Title, language and distinct links in order. Tags are found first and attributes within them, so that no text is read twice."""
+    last = page.rfind(">") + 1
+    tags = lambda k: (m[0] for m in _OPEN[k].finditer(page, 0, last))
+    title = _OPEN["title"].search(page, 0, last)
+    end = title and _TITLE_END.search(page, title.end())
+    lang = next(filter(None, map(_LANG.search, tags("html"))), None)
+    hrefs = (m.groups() for m in filter(None, map(_LINK.search, tags("a"))))
+    links = list(dict.fromkeys(html.unescape(next(x for x in found if x is not None)) for found in hrefs))
+    return {"title": _BLANK.sub(" ", html.unescape(page[title.end() : end.start()])).strip() if end else None, "lang": lang[1] if lang else None, "links": links}
 
 
 def header_fields(block: str) -> dict:
@@ -130,13 +141,16 @@ def responses(pages: DataFrame) -> DataFrame:
     """Response rows of a table (page_id, url, html)."""
     page = F.coalesce(F.col("html"), F.lit(""))
     uri = F.coalesce(F.col("url"), F.lit(""))
-    name = F.sha2(F.concat_ws("\n", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri), 256)
-    urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.substring(name, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    name = F.concat_ws("\n", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, F.sha2(page, 256))
+    hashed = F.sha1(F.concat(F.unhex(F.lit(SPACE.hex)), name.cast("binary")))
+    variant = F.translate(F.substring(hashed, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    part = lambda a, n: F.substring(hashed, a, n)
+    urn = F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(page).cast("string"), F.lit("\r\n\r\n"))
     return pages.select("page_id", urn.alias("record_id"), uri.alias("target_uri"), F.lit(DATE).alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), headers.alias("headers"), page.alias("payload"))
 
 
-DERIVED = ("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest", "block")
+DERIVED = ("page_id", "record_type", "record_id", "refers_to", "refers_to_target_uri", "refers_to_date", "source_headers", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest", "block")
 
 
 def derive(rows: DataFrame) -> DataFrame:
@@ -153,9 +167,9 @@ def derive(rows: DataFrame) -> DataFrame:
                     facts = {"source": r["record_id"], "uri": r["target_uri"], "payload_digest": source, "http": header_fields(r["headers"] or ""), **page_facts(payload)}
                     for what, mime, text in (("metadata", "application/json", json.dumps(facts, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", plain_text(payload))):
                         block = text.encode()
-                        out.append((r["page_id"], what, record_id(what, r["record_id"]), r["record_id"], r["target_uri"], r["date"], mime, len(block), digest(block), source, text))
+                        out.append((r["page_id"], what, record_id(what, r["record_id"]), r["record_id"], r["target_uri"], r["date"], r["headers"], r["target_uri"], r["date"], mime, len(block), digest(block), source, text))
                 cols = list(zip(*out, strict=True)) if out else [[]] * len(DERIVED)
-                types = [batch.schema.field("page_id").type, *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3]
+                types = [batch.schema.field("page_id").type, *[pa.string()] * 9, pa.int64(), *[pa.string()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], list(DERIVED))
 
     text = ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in DERIVED[1:])
@@ -165,7 +179,7 @@ def derive(rows: DataFrame) -> DataFrame:
 def serialize(record: dict) -> bytes:
     """One WARC/1.0 record: named fields, then the block."""
     block = record["block"].encode()
-    fields = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"]), ("WARC-Block-Digest", record["block_digest"]), ("WARC-Source-Payload-Digest", record.get("source_digest")), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
+    fields = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Refers-To-Target-URI", record.get("refers_to_target_uri")), ("WARC-Refers-To-Date", record.get("refers_to_date")), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"]), ("WARC-Block-Digest", record["block_digest"]), ("WARC-Source-Payload-Digest", record.get("source_digest")), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
     head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
     return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 

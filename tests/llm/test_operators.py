@@ -158,6 +158,41 @@ def test_warc_round_trip(spark):
     assert warc.derive(warc.responses(odd)).count() == 2 and warc.derive(warc.responses(odd.limit(0))).count() == 0
 
 
+def test_warc_records_of_content(spark, tmp_path):
+    """Ids follow content, clashing columns don't matter, and written records read back as they were."""
+    import gzip
+    import uuid
+
+    rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>b</p>", "x"), (1, "u", "<p>a</p>", "y"), (2, None, "<title>T &amp; U</title><html lang=es><a class=c href='/x'>l</a><a href=/x>m</a><a href=\"z?a&amp;b\">", "x"), (3, "v", "é" * 2_000_000, "x")]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, record_id string, payload string, block string")
+    source = {r.record_id: r for r in warc.responses(pages).collect()}
+    assert len(source) == 4 and all(uuid.UUID(k[10:-1]).version == 5 for k in source)
+    out = warc.derive(warc.responses(pages))
+    got = out.collect()
+    assert len(got) == 10 and len({r.record_id for r in got}) == 8
+    for r in got:
+        of = source[r.refers_to]
+        assert (r.refers_to_target_uri, r.refers_to_date, r.source_headers) == (of.target_uri, of.date, of.headers)
+        assert r.record_id == warc.record_id(r.record_type, r.refers_to) and r.content_length == len(r.block.encode())
+    facts = warc.page_facts(rows[3][2])
+    assert facts == {"title": "T & U", "lang": "es", "links": ["/x", "z?a&b"]}
+    warc.write_warc(out, str(tmp_path / "w"))
+    back = [next(warc.parse(gzip.decompress(r.record))) for r in spark.read.parquet(str(tmp_path / "w")).collect()]
+    assert sorted((f["WARC-Record-ID"], b.decode()) for f, b in back) == sorted((r.record_id, r.block) for r in got)
+    assert all(f["WARC-Refers-To-Target-URI"] == source[f["WARC-Refers-To"]].target_uri for f, _ in back)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a>", "<nav ", "<nav>", "<script ", "<script/>", "<title>", "<title ", "<!--", "<", "</nav>", "<p ", "&", "<html lang", "<a href=", "<svg><nav></svg>"])
+def test_warc_reads_odd_pages_in_linear_time(piece):
+    import time
+
+    for page in (piece * 300_000, piece * 300_000 + ">", "<p>" + piece * 300_000 + "</a></title></script>"):
+        began = time.perf_counter()
+        warc.plain_text(page)
+        warc.page_facts(page)
+        assert time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
