@@ -59,12 +59,13 @@ def content_rules(files: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
     """
     if other := [r.id for r in rules if r.kind not in ("fichero", "contenido", "contenido_prohibido")]:
         raise ValueError(f"not rules over paths or texts: {other}")
-    aggs = []
+    marks, aggs = [], []  # a pattern is tested once a file, and the marks are counted
     for i, r in enumerate(rules):
         scope = in_scope(r)
         hit = scope & (any_match(F.col("path"), r.patterns, ON_PATHS) if r.kind == "fichero" else any_match(F.col("text"), r.patterns))
-        aggs += [F.count_if(hit).alias(f"n{i}"), F.min(F.when(hit, F.col("path"))).alias(f"p{i}"), F.count_if(scope).alias(f"s{i}")]
-    wide = files.agg(*aggs)
+        marks += [hit.alias(f"h{i}"), scope.alias(f"e{i}")]
+        aggs += [F.count_if(f"h{i}").alias(f"n{i}"), F.min(F.when(F.col(f"h{i}"), F.col("path"))).alias(f"p{i}"), F.count_if(f"e{i}").alias(f"s{i}")]
+    wide = files.select("path", *marks).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(r.id).alias("regla_id"), F.lit(r.kind).alias("tipo"), F.lit(r.severity).alias("severidad"), F.col(f"n{i}").alias("casan"), F.col(f"p{i}").alias("primero"), F.col(f"s{i}").alias("en_ambito")) for i, r in enumerate(rules)])
     out = wide.select(F.inline(rows))
     wanted = F.col("tipo") != "contenido_prohibido"

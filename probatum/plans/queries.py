@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.functions import text as tx
-from probatum.operators import applicability, evidence, graph, ladders, nonconformity, rules
+from probatum.operators import applicability, evidence, exports, graph, ladders, nonconformity, rules
 from probatum.sources import pushes
 from probatum.streaming.pushes import decisions_batch
 
@@ -169,8 +169,9 @@ def role_overlap_join(spark, sf_dir):
 @query("SELECT l_suppkey AS obligacion, l_partkey % 50 AS control, count(DISTINCT l_orderkey) AS lineas FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY ALL")
 def crosswalk_both_ways(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
-    j = l.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy(F.col("l_suppkey").alias("obligacion"), (F.col("l_partkey") % 50).alias("control")).agg(F.countDistinct("l_orderkey").alias("lineas"))
+    j = l.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    once = j.select(F.col("l_suppkey").alias("obligacion"), (F.col("l_partkey") % 50).alias("control"), "l_orderkey").distinct()
+    return once.groupBy("obligacion", "control").agg(F.count("*").alias("lineas"))
 
 
 # --- evidence ------------------------------------------------------------------------------------------
@@ -313,8 +314,9 @@ def answer_admissibility(spark, sf_dir):
 
 @query("""SELECT p_partkey AS control, count(*) FILTER (WHERE l_returnflag = 'R') AS atan, CASE WHEN p_partkey % 9 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'incluido' ELSE 'excluido' END WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN 'derivado' WHEN count(*) FILTER (WHERE l_returnflag = 'A') > 0 THEN 'derivado_sin_resolver' ELSE 'pendiente' END AS inclusion FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""")
 def soa_inclusion(spark, sf_dir):
-    j = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left")
-    g = j.groupBy(F.col("p_partkey").alias("control")).agg(F.count_if(F.col("l_returnflag") == "R").alias("atan"), F.count_if(F.col("l_returnflag") == "A").alias("abiertas"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
+    j = table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left")
+    g = j.select(F.col("p_partkey").alias("control"), F.coalesce("r", F.lit(0)).cast("long").alias("atan"), F.coalesce("a", F.lit(0)).alias("abiertas"))
     decision = F.when(F.col("control") % 9 == 0, F.col("control") % 2 == 0)
     return g.select("control", "atan", ladders.inclusion(decision, F.col("atan"), F.col("abiertas")).alias("inclusion"))
 
@@ -422,8 +424,7 @@ def modules_by_root(spark, sf_dir):
 @query(f"SELECT 'R-SECRETO' AS rule_id, 'error' AS level, path AS uri FROM {FILES} WHERE regexp_matches(text, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(text, 'password=') OR regexp_matches(text, 'token = \"[0-9a-f]{{40}}\"')")
 def sarif_rows(spark, sf_dir):
     found = rules.forbidden_findings(files(spark, sf_dir), RULES[3])
-    level = F.when(F.col("severidad") == "alta", "error").when(F.col("severidad") == "media", "warning").otherwise("note")
-    return found.select(F.col("regla_id").alias("rule_id"), level.alias("level"), F.col("localizacion").alias("uri"))
+    return found.select(F.col("regla_id").alias("rule_id"), exports.level(F.col("severidad")).alias("level"), F.col("localizacion").alias("uri"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'github' WHEN event_id % 3 = 1 THEN 'gitlab' ELSE 'bitbucket' END AS provider, sha1(event_id::VARCHAR) AS sha, CASE event_id % 3 WHEN 0 THEN event_id % 5 <> 0 WHEN 1 THEN event_id % 2 = 1 ELSE false END AS complete FROM events""")

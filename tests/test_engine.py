@@ -43,7 +43,24 @@ def test_merkle_root_promotes_odd_nodes(spark):
     rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "i long, d string")
     assert merkle.root(rows, "i", "d") == want
     assert merkle.root(rows.limit(0), "i", "d") == merkle.EMPTY
-    assert merkle.proof(rows, "i", "d", 2) == [(h(b"\1" + leaves[0] + leaves[1]).hex(), True)] or len(merkle.proof(rows, "i", "d", 2)) == 1
+    assert merkle.proof(rows, "i", "d", 2) == [(h(b"\1" + leaves[0] + leaves[1]).hex(), True)]
+    assert merkle.proof(rows, "i", "d", 0) == [(leaves[1].hex(), False), (leaves[2].hex(), False)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 1023, 1025, 2600])
+def test_merkle_proofs_of_many_leaves(spark, n):
+    import hashlib
+
+    h = lambda b: hashlib.sha256(b).digest()
+    level = [h(b"\0" + str(k).encode()) for k in range(n)]
+    while len(level) > 1:
+        level = [h(b"\1" + level[k] + level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+    rows = spark.range(n).select(F.col("id").alias("i"), F.col("id").cast("string").alias("d"))
+    top = merkle.root(rows, "i", "d")
+    assert top == level[0].hex()
+    for at in {0, n // 2, n - 1}:
+        path = merkle.proof(rows, "i", "d", at)
+        assert merkle.verify(str(at).encode(), path, top) and not merkle.verify(b"x", path, top)
 
 
 def test_reachability_ends_on_cycles(spark):
