@@ -1,6 +1,6 @@
 """The registered queries and the SQL that each is held against."""
 
-from probatum.plans import compliance, documents, governance, people
+from probatum.plans import checks, compliance, documents, governance, people
 from probatum.plans.queries import ORACLE, QUERIES, flagship
 
-__all__ = ["ORACLE", "QUERIES", "compliance", "documents", "flagship", "governance", "people"]
+__all__ = ["ORACLE", "QUERIES", "checks", "compliance", "documents", "flagship", "governance", "people"]

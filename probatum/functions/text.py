@@ -73,3 +73,14 @@ def merkle_leaf(data: Column) -> Column:
 
 def merkle_node(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
+
+
+def csp_sources(html: Column, tag: str) -> Column:
+    """'sha256-...' of each inline block of a tag, in order, each once."""
+    blocks = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    return F.array_distinct(F.transform(blocks, lambda b: F.concat(F.lit("'sha256-"), F.base64(F.unhex(F.sha2(b, 256))), F.lit("'"))))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """A text with {name} replaced by values; a null value becomes nothing."""
+    return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), F.coalesce(kv[1].cast("string"), F.lit(""))), values.items(), template)

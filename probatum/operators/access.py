@@ -42,3 +42,12 @@ def may(roles: Column, verb: Column) -> Column:
 
 def is_tenant(name: Column) -> Column:
     return F.coalesce(name.rlike(TENANT) & (F.length(name) == F.length(F.regexp_replace(name, "[\r\n]", ""))), F.lit(False))
+
+
+def is_identifier(name: Column) -> Column:
+    """What may become a file's name, part of an address and a ticket's key: refused otherwise, never cleaned."""
+    return F.coalesce(name.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,63}\z"), F.lit(False))
+
+
+def is_commit(sha: Column) -> Column:
+    return F.coalesce(sha.rlike(r"\A[0-9a-f]{40}\z"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ladders
@@ -65,3 +65,18 @@ def marking_outcomes(generators: DataFrame, artefacts: DataFrame) -> DataFrame:
     n = F.when(run == "completada", F.coalesce("h", F.lit(0))).otherwise(0).cast("long")
     enough = F.when((run == "no_aplicable") | (n > 0), None).when(some("d"), "indeterminada").when(~some("ok"), "indeterminada").when(some("preguntas"), "insuficiente").otherwise("suficiente")
     return g.select("repo", run.alias("ejecucion"), enough.alias("suficiencia"), n.alias("hallazgos"), ladders.result(run, n, enough).alias("resultado"))
+
+
+#: Steps of a publication pipeline that are known; one erases metadata on purpose (fixed values).
+STEPS = ("recomprimir_jpeg_85", "recomprimir_jpeg_60", "redimensionar_mitad", "recortar_10", "rotar_90", "a_jpeg", "a_png", "quitar_metadatos")
+ERASES = "quitar_metadatos"
+
+
+def durability(steps: Column) -> Column:
+    """PIPE-BORRA, PIPE-FRAGIL, sin_decidir or null for the steps of a pipeline.
+
+    Each step writes the image anew. Where metadata are carried over, a mark dies only in the step that erases them; where they
+    aren't, in any. It dies even when carried over: PIPE-BORRA; only otherwise: PIPE-FRAGIL. An unknown step decides nothing.
+    """
+    unknown = F.size(F.array_except(steps, F.array(*[F.lit(s) for s in STEPS]))) > 0
+    return F.when(F.coalesce(F.size(steps), F.lit(0)) <= 0, None).when(unknown, "sin_decidir").when(F.array_contains(steps, ERASES), "PIPE-BORRA").otherwise("PIPE-FRAGIL")

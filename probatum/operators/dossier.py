@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ladders
@@ -73,3 +73,35 @@ def line_filter(lines: DataFrame, findings: bool = False, questions: bool = Fals
     names = [c for c, t in lines.dtypes if t == "string"]
     held = F.contains(F.lower(F.concat_ws(" ", *names)), F.lit(contains.lower()))
     return lines.where((F.col("hallazgos") > 0) | F.lit(not findings)).where((F.col("preguntas") > 0) | F.lit(not questions)).where(held | F.lit(not contains))
+
+
+def layer_problems() -> Column:
+    """What contradicts itself in a result's layers; none means that it may be published.
+
+    Columns: ejecucion, motivo, leidos, ilegibles, limites, hallazgos, senales, suficiencia, motivo_suficiencia, falta, apoyos, resultado.
+    """
+    due = ladders.result(F.col("ejecucion"), F.col("hallazgos"), F.col("suficiencia"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return F.array_compact(F.array(
+        F.when((F.col("ejecucion") != "completada") & blank("motivo"), "ejecucion_sin_motivo"),
+        F.when((F.col("ejecucion") == "completada") & (F.col("leidos") == 0) & (F.col("ilegibles") == 0), "completada_sin_leer"),
+        F.when(F.col("limites") == 0, "observacion_sin_limites"),
+        F.when((F.col("suficiencia") == "suficiente") & (F.col("falta") > 0), "suficiente_con_faltas"),
+        F.when((F.col("suficiencia") == "suficiente") & (F.col("apoyos") == 0), "suficiente_sin_apoyo"),
+        F.when((F.col("suficiencia") == "insuficiente") & (F.col("falta") == 0), "insuficiente_sin_falta"),
+        F.when(F.col("suficiencia").isin("indeterminada", "no_exigible") & blank("motivo_suficiencia"), "suficiencia_sin_motivo"),
+        F.when(~due.eqNullSafe(F.col("resultado")), "resultado_que_no_proyecta"),
+        F.when((F.col("resultado") == "sin_hallazgos") & (F.col("senales") == 0), "limpio_sin_alcance"),
+    ))
+
+
+def digests(sufficiencies: DataFrame) -> DataFrame:
+    """(caso, sobre): one digest of a case's sufficiencies in the order of their requirements, a catalogue."""
+    parts = F.array_sort(F.collect_list(F.struct("requisito_id", "estado")))
+    return sufficiencies.groupBy("caso").agg(F.sha2(F.array_join(F.transform(parts, lambda x: F.concat_ws("=", x["requisito_id"], x["estado"])), "\n"), 256).alias("sobre"))
+
+
+def bound(decisions: DataFrame, sufficiencies: DataFrame) -> DataFrame:
+    """decisions (decision_id, caso, sobre) with sigue_atada: whether they still speak of the sufficiencies (caso, requisito_id, estado) there are."""
+    now = digests(sufficiencies).withColumnRenamed("sobre", "hoy")
+    return decisions.join(now, "caso", "left").withColumn("sigue_atada", F.col("sobre").eqNullSafe(F.col("hoy"))).drop("hoy")

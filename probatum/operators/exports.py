@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probatum.functions.text import markdown_cell
 from probatum.operators.rules import WHOLE_REPOSITORY
 
 SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -49,3 +50,20 @@ def sarif_document(findings: DataFrame, unreadable: DataFrame, tool: str, versio
         F.array_join("n", ","),
     )
     return results.crossJoin(rules).crossJoin(lost).select(text.alias("sarif"))  # three tables of one row
+
+
+def markdown(rows: DataFrame, key: str, order: str, columns: tuple[str, ...]) -> DataFrame:
+    """(key, documento): a Markdown table for each key, its cells escaped and cut, rows in order; a catalogue's rows, not a corpus's."""
+    cells = [markdown_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
+    g = rows.select(key, F.struct(F.col(order).alias("o"), line.alias("x")).alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return g.select(key, F.concat(F.lit(head), F.array_join(F.transform("rs", lambda r: r["x"]), "\n")).alias("documento"))
+
+
+def document(rows: DataFrame, schema: str, key: str, order: str, name: str) -> DataFrame:
+    """(key, documento): one JSON document for each key, {"esquema": ..., key: ..., name: [rows in order]}; a catalogue's rows."""
+    fields = [c for c in rows.columns if c != key]
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("x")))).alias("rs"))
+    body = F.struct(F.lit(schema).alias("esquema"), F.col(key), F.transform("rs", lambda r: r["x"]).alias(name))
+    return g.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("documento"))
