@@ -20,6 +20,7 @@ strings are ordinary text.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space in the pattern's sense (fixed values), so much of it that the pattern's matcher may give up.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str = VOCABULARY):
     """(encoding, byte length of each token)"""
@@ -48,10 +53,19 @@ def encoder(path: str = VOCABULARY):
 
 
 def token_offsets(text: str, path: str = VOCABULARY) -> np.ndarray:
-    """Byte offsets of token boundaries, from 0 to the text's length."""
+    """Byte offsets of token boundaries, from 0 to the text's length.
+
+    Very long runs of white space are encoded as the single pieces that the pattern makes of them: all but the last
+    character before a word, all of it at the end.
+    """
     enc, lengths = encoder(path)
-    ids = np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int64)
-    return np.concatenate([[0], np.cumsum(lengths[ids])])
+    parts, at = [], 0
+    for m in _BLANK.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        parts += [enc.encode_to_numpy(text[at : m.start()], disallowed_special=()), enc._encode_single_piece(text[m.start() : end])]
+        at = end
+    parts.append(enc.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate([[0], *[lengths[np.asarray(x, np.int64)] for x in parts]]).cumsum()
 
 
 def allocate(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, np.ndarray, int]:

@@ -13,8 +13,10 @@ import pytest
 from probatum.llm import adaptive_rules, budget_mix, hashing, kneser_ney, packing, pii_semicrf, prefix_tree_join, projection_search, token_attribution, warc, weak_labels
 
 SF = "/root/testdata/sf0.001"
-AWKWARD = [(1, None, None, None, 5), (2, "", "en", "a", None), (2, "", "en", "a", None), (3, "one", None, "a", 3), (4, "x " * 30000, "en", None, 9), (5, "Uno dos\ntres  x@y.com +1 (555) 222-3333", "es", "b", 1), (6, "a b c d e f g h i", "en", "a", 1), (7, "a b c d e f g h i", "en", "a", 1)]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, votes long, size long, bucket long, h long"
+AWKWARD = [(1, None, None, None, 5), (2, "", "en", "a", None), (2, "", "en", "a", None), (3, "one", None, "a", 3), (4, "x " * 30000, "en", None, 9), (5, "Uno dos\ntres  x@y.com +1 (555) 222-3333", "es", "b", 1), (6, "a b c d e f g h i", "en", "a", 1), (7, "a b c d e f g h i", "en", "a", 1), (None, "no id at all", "en", "a", 1), (None, "no id at all", "en", "a", 1), (6, "another text under six", "en", "b", 2), (8, "é1 " * 1_700_000, "fr", "b", 2), (9, " " * 600_000 + "z", "en", "a", 2)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use for columns of their own.
+CLASH = "votes size bucket h t w lines level measure value total first last n up after x_lang x_source l_m_symbols base_failed kept n_words doc places score posterior shapes mix_source mix_size mix_hash mix_part mix_text copies whole one extra p_size r_id r_h s_id s_h nth d1 d2 rep rep_h label links component_id n_shingles n_tokens share k offset batch place bucket_length spans section start end name held_out probatum_key k_id dup_id".split()
 
 
 def words(t):
@@ -32,17 +34,44 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    return spark.createDataFrame([(*r, 1, 2, 3, 4) for r in AWKWARD], SCHEMA)
+    return spark.createDataFrame([(*r, *CLASH) for r in AWKWARD], f"{SCHEMA}, " + ", ".join(f"{c} string" for c in CLASH)).cache()
 
 
 RUNS = {"sections": token_attribution.sections, "pack": packing.pack, "kn": kneser_ney.train_and_score, "weak": weak_labels.classify, "keep": weak_labels.keep, "join": prefix_tree_join.similarity_groups, "first": prefix_tree_join.keep_first, "mix": budget_mix.mix, "apply": budget_mix.apply, "pii": pii_semicrf.find, "redact": pii_semicrf.redact, "rules": adaptive_rules.judge}
 
 
+def ids(rows):
+    return sorted((r.doc_id for r in rows), key=str)
+
+
 @pytest.mark.parametrize("name", RUNS)
 def test_awkward_and_empty_tables(awkward, name):
+    """Nulls, repeated rows, one id with two texts, a text of 5 MB, blanks only, columns of clashing names."""
     rows = RUNS[name](awkward).collect()
+    every = sorted((r[0] for r in AWKWARD), key=str)
     if name in ("pack", "kn", "weak", "join", "mix", "pii", "redact", "rules"):
-        assert sorted(r.doc_id for r in rows) == sorted(r[0] for r in AWKWARD)
+        assert ids(rows) == every
+    n = collections.Counter((r[0], len(words(r[1]))) for r in AWKWARD)
+    if name == "kn":
+        assert collections.Counter((r.doc_id, r.n_tokens - 1) for r in rows) == n
+    if name == "mix":
+        assert collections.Counter((r.doc_id, r.size) for r in rows) == n
+    if name == "rules":
+        assert collections.Counter((r.doc_id, r.n_words) for r in rows) == n
+    if name == "pack":
+        enc = token_attribution.encoder()[0]
+        short = lambda t: t if t and len(t) < 100_000 else ""
+        assert {(r.doc_id, r.n_tokens) for r in rows} >= {(r[0], len(enc.encode_ordinary(short(r[1])))) for r in AWKWARD if short(r[1])}
+    if name == "join":
+        assert {(r.doc_id, r.component_id) for r in rows} == {(r[0], 6 if r[1] == "a b c d e f g h i" else r[0]) for r in AWKWARD}
+    if name == "first":
+        assert ids(rows) == sorted((None, None, 1, 2, 3, 4, 5, 6, 6, 8, 9), key=str)
+    if name == "pii":
+        assert {r.doc_id: (r.n_email, r.n_phone) for r in rows if r.n_email} == {5: (1, 1)}
+    if name == "redact":
+        assert next(r.text for r in rows if r.doc_id == 5) == "Uno dos\ntres  [EMAIL] [PHONE]"
+    if name in ("keep", "first", "apply", "redact"):
+        assert RUNS[name](awkward).columns == awkward.columns and all(list(r[5:]) == CLASH for r in rows)
     assert RUNS[name](awkward.limit(0)).collect() == []
 
 
@@ -508,6 +537,71 @@ def test_base_spans_equal_plain_patterns():
         assert pii_semicrf.base_spans(s) == ([(0, len(s), "ip")] if s.endswith(("255", ".0.0.0")) else [])
 
 
+def test_long_blanks_are_encoded_as_the_pattern_does(monkeypatch):
+    enc, lengths = token_attribution.encoder()
+    monkeypatch.setattr(token_attribution, "_BLANK", re.compile(token_attribution._BLANK.pattern.replace("10000", "2")))
+    rnd = random.Random(1)
+    for _ in range(1000):
+        t = "".join(rnd.choice(["a", "b ", " ", "\n", "\t ", "'s", "1", "é", "\xa0", "\u2003", "!", "\x1c"]) for _ in range(rnd.randint(0, 30)))
+        want = np.concatenate([[0], np.cumsum(lengths[np.asarray(enc.encode_ordinary(t), np.int64)])]) if t else [0]
+        assert token_attribution.token_offsets(t).tolist() == [int(x) for x in want]
+
+
+def test_decoding_equals_all_segmentations():
+    """The dynamic programme against every way of cutting short islands into entities and single atoms."""
+    w, rnd, n, found = pii_semicrf.weights(), random.Random(4), 0, 0
+    pieces = ["1", "23", "555", "4111", ".", "-", " ", "(", ")", "+", "@", "ab", "x", "[", "at", "]", "com", "10"]
+    islands = [i for t, _ in pii_semicrf.sentences(7, 200) for _, i, _, _ in pii_semicrf.islands(t)] + ["".join(rnd.choice(pieces) for _ in range(rnd.randint(2, 9))) for _ in range(600)]
+    for island in islands:
+        atoms, ends = pii_semicrf.candidates(island, "call ", ". ")
+        if not ends or len(atoms) > 13:
+            continue
+        at, starts = [0], collections.defaultdict(list)
+        for a in atoms:
+            at.append(at[-1] + len(a))
+        for j, i, e, kind, _, score in pii_semicrf._segments(atoms, ends, w):
+            starts[i].append((j, e, kind, score))
+
+        def best(i, e):
+            if i == len(atoms):
+                return 0.0, []
+            options = []
+            for j, entity, kind, score in starts[i]:
+                rest, spans = best(j, entity)
+                options.append((score + (w.get("adjacent", 0.0) if entity and e else 0.0) + rest, [(at[i], at[j], kind), *spans] if entity else spans))
+            return max(options, key=lambda x: x[0])
+
+        score, spans = best(0, 0)
+        got = pii_semicrf.decode(island, "call ", ". ", w)
+        n, found = n + 1, found + len(spans)
+        if got != spans:  # only another way of the same score
+            chosen, total, e, i = {(a, b): k for a, b, k in got}, 0.0, 0, 0
+            while i < len(atoms):
+                j, entity, kind, s = next(x for x in starts[i] if (x[1] and chosen.get((at[i], at[x[0]])) == x[2]) or (not x[1] and not any(a == at[i] for a, _ in chosen)))
+                total += s + (w.get("adjacent", 0.0) if entity and e else 0.0)
+                i, e = j, entity
+            assert abs(total - score) < 1e-9
+    assert n > 300 and found > 100
+
+
+#: Lines as the documents have them, and some like them, labelled by hand.
+LABELLED = [
+    ("les elle, 70.23.22.57 élle", ["70.23.22.57"]), ("treê de 2123465659789240 en", []), ("Apache License, Version 2.0. All", []), ("menten de la, +1 (743) 555-3824 é", ["+1 (743) 555-3824"]),
+    ("thonnd hein.19@mail5.example.com it", ["hein.19@mail5.example.com"]), ("Public License, version 3.\nthe", []), ("!! ARE!! THE!! 233.233.171.252!! H", ["233.233.171.252"]), ('token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" en', []),
+    ("ramiar, 4465758382889437 4465758382889437 ó", ["4465758382889437", "4465758382889437"]), ("%%% +1 (499) 555-6503%%% o", ["+1 (499) 555-6503"]), ("$$$ 4785380592391139$$$ d", ["4785380592391139"]), ("un%%% re.46@mail8.example.com&&& t", ["re.46@mail8.example.com"]),
+    ("in 1999 and 2004, 12 of 300", []), ("call (212) 555-0142 now", ["(212) 555-0142"]), ("write to ann [at] mail [dot] com today", ["ann [at] mail [dot] com"]), ("on 2024-05-17 at 10:30", []), ("chapter 3.14 and 2.71", []), ("sum 1,200,300 of 45", []),
+]
+
+
+def test_field_on_hand_labelled_lines():
+    w, right, wrong, missed = pii_semicrf.weights(), 0, 0, 0
+    for text, want in LABELLED:
+        got = collections.Counter(text[a:b] for a, b, _ in pii_semicrf.all_spans(text, w)[1])
+        want = collections.Counter(want)
+        right, wrong, missed = right + sum((got & want).values()), wrong + sum((got - want).values()), missed + sum((want - got).values())
+    assert (right, wrong, missed) == (11, 0, 0), (right, wrong, missed)
+
+
 def test_field_on_held_out_sentences():
     w, right, wrong, missed = pii_semicrf.weights(), 0, 0, 0
     for text, gold in pii_semicrf.sentences(99, 300):
