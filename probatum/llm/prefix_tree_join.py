@@ -45,6 +45,8 @@ BLOCK = 128
 SHINGLES = 1 << 22
 CELLS = 1 << 24
 RATIO = 1.25
+#: Classes with links (32 bytes each) that are broadcast.
+BROADCAST = 1_000_000
 FLUSH = 2_000_000
 #: Below a threshold of EXACT, parts would hold too few shingles to tell documents apart.
 EXACT = 0.85
@@ -381,6 +383,9 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int, block: int, shingl
     linked = classes.join(links.groupBy("d1", "d2").agg(F.sum("links").alias("links")), ["d1", "d2"], "left").join(labels, "d1", "left")
     least = linked.where("label is not null").groupBy(F.col("label").alias("of_label")).agg(F.min("rep").alias("least"))
     named = linked.join(least, F.col("label") == F.col("of_label"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("least", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    named = cut(named, "groups")
+    if named.count() <= BROADCAST:
+        named = F.broadcast(named)  # then no class, however many copies it has, is gathered; beyond, joins split skewed partitions
     same = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return table.join(named, same, "left").select("doc_id", "h", "d1", "d2", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
