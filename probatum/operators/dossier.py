@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import ladders
 
@@ -105,3 +106,19 @@ def bound(decisions: DataFrame, sufficiencies: DataFrame) -> DataFrame:
     """decisions (decision_id, caso, sobre) with sigue_atada: whether they still speak of the sufficiencies (caso, requisito_id, estado) there are."""
     now = digests(sufficiencies).withColumnRenamed("sobre", "hoy")
     return decisions.join(now, "caso", "left").withColumn("sigue_atada", F.col("sobre").eqNullSafe(F.col("hoy"))).drop("hoy")
+
+
+#: A declared version that can't move (a fixed value).
+PINNED = "[=~]=|@sha256:"
+
+
+def dependencies(declared: DataFrame, key: str, column: str, most: int = 60) -> DataFrame:
+    """(key, total, fijadas, lista): how many declarations, how many pinned, and the first of the sorted distinct ones, kept apart before they are gathered."""
+    counts = declared.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col(column).rlike(PINNED)).alias("fijadas"))
+    first = declared.select(key, column).distinct().withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(column))).where(F.col("nth") <= most)
+    return counts.join(first.groupBy(key).agg(F.array_sort(F.collect_list(column)).alias("lista")), key)
+
+
+def modules(files: DataFrame, pinned: str) -> DataFrame:
+    """(raiz, modulos, fijadas): files of each top folder, and those whose text holds a pattern."""
+    return files.groupBy(F.substring_index("path", "/", 1).alias("raiz")).agg(F.count("*").alias("modulos"), F.count_if(F.col("text").rlike(pinned)).alias("fijadas"))

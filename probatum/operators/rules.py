@@ -119,3 +119,10 @@ def subject_digest(files: DataFrame, *by: str) -> DataFrame:
     """A digest over the ordered (path, digest of text) of each subject: moves with content, not with order."""
     one = files.select(*by, "path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
     return one.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "d"))), lambda x: F.concat(x["path"], F.lit(":"), x["d"])), "\n"), 256).alias("sujeto_digest"), F.count("*").alias("ficheros"))
+
+
+def strongest(signals: DataFrame, by: str) -> DataFrame:
+    """(by, mas_fuerte and a count of each strength): call, then presence, then supplied."""
+    order = list(dict.fromkeys(STRENGTH.values()))
+    rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("fuerza"))
+    return signals.groupBy(by).agg(F.min_by("fuerza", rank).alias("mas_fuerte"), *[F.count_if(F.col("fuerza") == s).alias(s) for s in order])

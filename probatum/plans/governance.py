@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probatum.functions import text as tx
-from probatum.operators import access, catalogue
+from probatum.operators import access, catalogue, dossier
 from probatum.plans.queries import query, table
 from probatum.sources import files, logs, pushes
 
@@ -93,7 +93,7 @@ _DEP = "'lib' || (c_custkey % 50) || CASE c_custkey % 4 WHEN 0 THEN '==1.' || (c
 def pinned_dependencies(spark, sf_dir):
     """The list is the first 60 of the sorted distinct declarations, as its reports show them; the counts are of all."""
     d = table(spark, sf_dir, "customer").select("c_nationkey", F.expr(_DEP).alias("d"))
-    return d.groupBy("c_nationkey").agg(F.count("*").alias("total"), F.count_if(F.col("d").rlike("[=~]=|@sha256:")).alias("fijadas"), F.slice(F.array_sort(F.collect_set("d")), 1, 60).alias("lista"))
+    return dossier.dependencies(d, "c_nationkey", "d")
 
 
 @query("""WITH b AS (SELECT event_id AS i, substr(sha256('x' || event_id), 1, 40) AS s FROM events)

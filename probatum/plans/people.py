@@ -84,8 +84,7 @@ _LINKED = f"(SELECT user_id, n, sello_debido, sello, CASE WHEN event_id % 59 <>
     SELECT user_id, n, rota, max(rota::INT) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) = 1 AS tachada FROM r""")
 def chain_breaks_of_stripped_lines(spark, sf_dir):
     """Lines without a seal or a predecessor are breaks, and taint what follows."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("probatum_events")
-    rows = spark.sql("SELECT * FROM " + _LINKED.replace("sha256(event_id::VARCHAR)", "sha2(cast(event_id AS string), 256)").replace("FROM events", "FROM probatum_events"))
+    rows = spark.sql("SELECT * FROM " + _LINKED.replace("sha256(event_id::VARCHAR)", "sha2(cast(event_id AS string), 256)").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
     return evidence.chain_breaks(rows, "user_id").select("user_id", "n", "rota", "tachada")
 
 

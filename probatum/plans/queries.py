@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.functions import text as tx
-from probatum.operators import applicability, evidence, exports, graph, ladders, nonconformity, rules
+from probatum.operators import applicability, dossier, evidence, exports, graph, ladders, nonconformity, rules
 from probatum.sources import pushes
 from probatum.streaming.pushes import decisions_batch
 
@@ -241,8 +241,7 @@ _CHAIN = """(SELECT user_id, n, sello_debido, CASE WHEN event_id % 97 = 0 THEN '
 
 
 def _chain(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("probatum_events")
-    return spark.sql("SELECT * FROM " + _CHAIN.replace("sha256(event_id || ':' || props)", "sha2(concat(event_id, ':', props), 256)").replace("FROM events", "FROM probatum_events"))
+    return spark.sql("SELECT * FROM " + _CHAIN.replace("sha256(event_id || ':' || props)", "sha2(concat(event_id, ':', props), 256)").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
 @query(f"SELECT user_id, n, (previo <> coalesce(b, 'genesis') OR sello <> sello_debido) AS rota, max((previo <> coalesce(b, 'genesis') OR sello <> sello_debido)::INT) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) = 1 AS tachada FROM (SELECT *, lag(sello) OVER (PARTITION BY user_id ORDER BY n) AS b FROM {_CHAIN})")
@@ -333,8 +332,8 @@ def annex_provenance(spark, sf_dir):
     FROM (SELECT user_id, CASE WHEN value > 199 THEN 'comportamiento' WHEN value > 50 THEN 'presencia' ELSE 'aportado' END AS f, CASE WHEN value > 199 THEN 0 WHEN value > 50 THEN 1 ELSE 2 END AS r FROM events) GROUP BY ALL""")
 def strongest_signal(spark, sf_dir):
     v = F.col("value")
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("linea"), F.when(v > 199, "comportamiento").when(v > 50, "presencia").otherwise("aportado").alias("f"), F.when(v > 199, 0).when(v > 50, 1).otherwise(2).alias("r"))
-    return e.groupBy("linea").agg(F.min_by("f", "r").alias("mas_fuerte"), *[F.count_if(F.col("f") == s).alias(s) for s in ("comportamiento", "presencia", "aportado")])
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("linea"), F.when(v > 199, "comportamiento").when(v > 50, "presencia").otherwise("aportado").alias("fuerza"))
+    return rules.strongest(e, "linea")
 
 
 # --- integrity, text, hashes ---------------------------------------------------------------------------
@@ -418,7 +417,7 @@ def html_inline_hashes(spark, sf_dir):
 
 @query("SELECT source AS raiz, count(*) AS modulos, count(*) FILTER (WHERE regexp_matches(text, '[0-9]+\\.[0-9]+')) AS fijadas FROM documents GROUP BY source")
 def modules_by_root(spark, sf_dir):
-    return files(spark, sf_dir).groupBy(F.substring_index("path", "/", 1).alias("raiz")).agg(F.count("*").alias("modulos"), F.count_if(F.col("text").rlike(r"[0-9]+\.[0-9]+")).alias("fijadas"))
+    return dossier.modules(files(spark, sf_dir), r"[0-9]+\.[0-9]+")
 
 
 @query(f"SELECT 'R-SECRETO' AS rule_id, 'error' AS level, path AS uri FROM {FILES} WHERE regexp_matches(text, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(text, 'password=') OR regexp_matches(text, 'token = \"[0-9a-f]{{40}}\"')")
