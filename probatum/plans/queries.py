@@ -437,7 +437,12 @@ def push_list_complete(spark, sf_dir):
     return pushes.decode(table(spark, sf_dir, "events").select("event_id", body.alias("body"))).select("event_id", "provider", "sha", "complete")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, sha1((event_id % 50)::VARCHAR) AS sha, sha1(((event_id + 49) % 50)::VARCHAR) AS antes, event_type <> 'purchase' AS inert FROM events),
+    s AS (SELECT user_id, k, event_id, sha, 'reobservar' AS decision, sha AS visto, []::VARCHAR[] AS cadena FROM e WHERE k = 1
+        UNION ALL SELECT user_id, k, event_id, sha, decision, CASE WHEN decision = 'reobservar' THEN sha ELSE visto END, CASE decision WHEN 'ignorar' THEN list_append(cadena, sha) WHEN 'revalidar' THEN cadena ELSE [] END
+        FROM (SELECT e.*, s.visto, s.cadena, CASE WHEN e.sha = s.visto OR list_contains(s.cadena, e.sha) THEN 'revalidar' WHEN len(s.cadena) < 10 AND e.inert AND e.antes = CASE WHEN len(s.cadena) > 0 THEN s.cadena[-1] ELSE s.visto END THEN 'ignorar' ELSE 'reobservar' END AS decision
+            FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+    SELECT 'repo-' || user_id AS location, 'main' AS ref, event_id AS n, sha, decision, len(cadena)::INT AS chain FROM s""")
 def inert_chain(spark, sf_dir):
     """A sequential fold: each decision depends on the one before."""
     e = table(spark, sf_dir, "events")
