@@ -200,6 +200,8 @@ class Maps:
 
 def _by_shard(of: np.ndarray):
     """(shard, places) for each shard that occurs, after one sort."""
+    if len(of) and int(of.max()) < 1 << 16:
+        of = of.astype(np.uint16)  # sorted by radix
     order = np.argsort(of, kind="stable")
     which, first = np.unique(of[order], return_index=True)
     for s, a, b in zip(which.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
@@ -537,15 +539,14 @@ class Chain:
 
     def begun(self, k: int, contexts: np.ndarray) -> np.ndarray:
         """How many n-grams of count 1, 2, 3 and more contexts begin, and the sum of their counts."""
-        u, back = np.unique(contexts, return_inverse=True)
-        code = self.sums[k][u].astype(np.int64)
+        code = self.sums[k][contexts].astype(np.int64)
         out = np.stack([code & 7, code >> 3, np.zeros_like(code), (code & 7) + 2 * (code >> 3)], 1).astype(np.float64)
         more = np.flatnonzero(code == MORE)
-        of = u[more] * self.low.m.shards // max(len(self.sums[k]), 1)
+        of = contexts[more] * self.low.m.shards // max(len(self.sums[k]), 1)
         for t, held in _by_shard(of):
             at = more[held]
-            out[at] = self.maps.get(f"rows{k}-{t}", np.uint32).reshape(-1, 4)[np.searchsorted(self.maps.get(f"more{k}-{t}", np.int64), u[at])]
-        return out[back]
+            out[at] = self.maps.get(f"rows{k}-{t}", np.uint32).reshape(-1, 4)[np.searchsorted(self.maps.get(f"more{k}-{t}", np.int64), contexts[at])]
+        return out
 
     def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         m = self.low.m
