@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probatum.functions.text import redact_secrets
+
 from . import ladders
 
 
@@ -54,11 +56,11 @@ def is_draft(rows: DataFrame) -> DataFrame:
 
 
 def orders(nonconformities: DataFrame, rules: DataFrame) -> DataFrame:
-    """(no_conformidad_id, titulo, cuerpo, de_regla): the text of the rule that a nonconformity comes from, else the client's own words, cut at 70."""
+    """(no_conformidad_id, titulo, cuerpo, de_regla): the text of the rule that a nonconformity comes from, else the client's own words, cut at 70, without secrets."""
     text = rules.select(F.col("regla_id").alias("origen"), F.col("titulo").alias("t"), F.col("remediacion").alias("c"))
     rows = nonconformities.join(text, "origen", "left")
     known = F.col("t").isNotNull() & F.col("c").isNotNull()
-    title = F.concat(F.lit("["), F.col("origen"), F.lit("] "), F.when(known, F.col("t")).otherwise(F.substring("descripcion", 1, 70)))
+    title = redact_secrets(F.concat(F.lit("["), F.col("origen"), F.lit("] "), F.when(known, F.col("t")).otherwise(F.substring("descripcion", 1, 70))))
     return rows.select("no_conformidad_id", title.alias("titulo"), F.when(known, F.col("c")).otherwise("").alias("cuerpo"), known.alias("de_regla"))
 
 

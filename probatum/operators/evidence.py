@@ -143,3 +143,14 @@ def verified(records: DataFrame) -> DataFrame:
     """Adds integro: whether a record's id is the digest of its own content."""
     due = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", "clave", F.col("cuando").cast("string")), 256))
     return keyed(records).withColumn("integro", F.col("registro_id").eqNullSafe(due)).drop("clave")
+
+
+def watch(log: DataFrame, current: DataFrame | None, expected: DataFrame | None, as_of: Column) -> DataFrame:
+    """(control_id, estado, accion) of every control, from the log alone or with the subjects' digests of today.
+
+    log: log rows with estado_declarado, confiable and frescura_dias. current: control_id, digest_actual, of the controls that were looked at; None: nobody
+    looked, and nothing is superseded, missing or out of scope.
+    """
+    last = latest(records_of(log), "control_id", "observado_en", "n")
+    rows = last.join(current, "control_id", "left") if current is not None else last.withColumn("digest_actual", F.lit(None).cast("string"))
+    return reconcile(rows, expected if current is not None else None, as_of)

@@ -88,6 +88,27 @@ def chain_breaks_of_stripped_lines(spark, sf_dir):
     return evidence.chain_breaks(rows, "user_id").select("user_id", "n", "rota", "tachada")
 
 
+_W = """(SELECT user_id % 200 AS control_id, event_id AS n, ts, 'd' || (event_id % 3) AS sujeto_digest, CASE WHEN event_id % 4 < 2 THEN 'observacion' WHEN event_id % 4 = 2 THEN 'revalidacion' WHEN event_id % 8 = 3 THEN 'revocacion' END AS tipo,
+    'R' || CASE WHEN event_id % 4 >= 2 THEN event_id - 2 ELSE event_id END AS registro_id, event_id % 13 <> 0 AS confiable FROM events)"""
+_WATCH = f"""(WITH o AS (SELECT *, row_number() OVER (PARTITION BY control_id ORDER BY ts DESC, n) AS f FROM {_W} WHERE tipo = 'observacion'),
+    x AS (SELECT o.*, (SELECT max(ts) FROM {_W} v WHERE v.tipo = 'revalidacion' AND v.registro_id = o.registro_id) AS de_nuevo, EXISTS (SELECT 1 FROM {_W} v WHERE v.tipo = 'revocacion' AND v.registro_id = o.registro_id) AS revocada FROM o WHERE f = 1),
+    s AS (SELECT control_id, CASE WHEN control_id % 5 <> 0 THEN 'd' || (control_id % 3) END AS hoy, CASE WHEN revocada THEN 'revocada' WHEN NOT confiable THEN 'no_fiable' WHEN control_id % 5 <> 0 AND 'd' || (control_id % 3) <> sujeto_digest THEN 'superada'
+        WHEN TIMESTAMP '2024-02-10' > greatest(ts, coalesce(de_nuevo, ts)) + INTERVAL 30 DAY THEN 'rancia' ELSE 'valida' END AS e FROM x),
+    w AS (SELECT coalesce(s.control_id, k.k) AS control_id, CASE WHEN s.control_id IS NULL THEN 'sin_evidencia' WHEN k.k IS NULL AND hoy IS NULL THEN 'fuera_de_alcance' ELSE e END AS estado FROM s FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey < 250) k ON k.k = s.control_id)
+    SELECT control_id, estado, CASE estado WHEN 'valida' THEN 'nada' WHEN 'fuera_de_alcance' THEN 'nada' WHEN 'no_fiable' THEN 'corregir' ELSE 'reobservar' END AS accion FROM w)"""
+
+
+@query(f"SELECT * FROM {_WATCH}")
+def watch_controls(spark, sf_dir):
+    """From log rows to verdicts: records, their latest, today's digests, what was expected."""
+    i = F.col("event_id")
+    kind = F.when(i % 4 < 2, "observacion").when(i % 4 == 2, "revalidacion").when(i % 8 == 3, "revocacion")
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 200).alias("control_id"), i.alias("n"), F.col("ts").cast("timestamp_ntz").alias("cuando"), F.concat(F.lit("d"), i % 3).alias("sujeto_digest"), kind.alias("tipo"), F.concat(F.lit("R"), F.when(i % 4 >= 2, i - 2).otherwise(i)).alias("registro_id"), (i % 13 != 0).alias("confiable"), F.lit("valida").alias("estado_declarado"), F.lit(30).alias("frescura_dias")).where("tipo is not null")
+    current = log.select("control_id").distinct().where("control_id % 5 <> 0").select("control_id", F.concat(F.lit("d"), F.col("control_id") % 3).alias("digest_actual"))
+    expected = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0 and c_custkey < 250").select(F.col("c_custkey").alias("control_id"))
+    return evidence.watch(log, current, expected, F.lit("2024-02-10").cast("timestamp_ntz"))
+
+
 # --- questionnaires ------------------------------------------------------------------------------------
 
 _Q = """(SELECT p_partkey AS k, 'Q' || p_partkey AS id, 'F-' || (p_partkey % 4) AS paquete, p_size AS posicion, ['tecnico', 'direccion', 'responsable'][(p_partkey % 3 + 1)::INT] AS destinatario, ['texto', 'si_no', 'lista', 'eleccion'][(p_partkey % 4 + 1)::INT] AS formato, p_name AS texto,
