@@ -153,7 +153,7 @@ def plan_requirements(spark, sf_dir):
     return packs.requirement_states(requirements, lines, evaluated.where("hallazgos > 0"), evaluated.where("pregunta is not null"))
 
 
-_S = f"""(SELECT repo, 'uno' AS paquete, path FROM {_C} WHERE lib IN ('lib0', 'lib1', 'lib2') UNION SELECT repo, 'dos', path FROM {_C}
+_S = rf"""(SELECT repo, 'uno' AS paquete, path FROM {_C} WHERE lib IN ('lib0', 'lib1', 'lib2') UNION SELECT repo, 'dos', path FROM {_C}
     UNION SELECT repo, 'tres', path FROM {_F} WHERE regexp_matches(path, '/[0-9]*7\.de$') OR regexp_matches(path, '^src3/') OR (code IS NOT NULL AND regexp_matches(path, '\.es$')) OR (text IS NOT NULL AND regexp_matches(path, '9\.fr$'))
     UNION SELECT repo, 'tres', '(ninguno casa B-FICHERO)' FROM {_F} GROUP BY repo HAVING NOT bool_or(regexp_matches(path, '/[0-9]*7\.de$') OR regexp_matches(path, '^src3/'))
     UNION SELECT repo, unnest(['cuatro', 'seis']), path FROM {_F} WHERE code IS NOT NULL)"""
