@@ -7,6 +7,8 @@ count, grouping, checksum, brackets, what stands on both sides, the word before)
 atoms chooses boundaries and kinds together. Outside islands no candidate exists, so decoding islands one
 by one equals decoding the whole text. Weights are fitted here by likelihood, with forward-backward sums,
 on seeded synthetic sentences; fitting takes seconds and is the same on every run.
+A candidate has at most MAX_ATOMS atoms and 320 characters, and a word before a bracketed "at" joins its island up
+to 64 characters: longer ones aren't what the field knows. Base spans have no such bound.
 
 Base spans stay whatever the decoder says; decoded spans that overlap none of them are added.
 
