@@ -611,19 +611,19 @@ def test_field_on_held_out_sentences():
 
 
 def plain_rules(rows):
-    """doc_id: (counts, base_failed, kept), by lists and sorting."""
+    """How often each (doc_id, (counts, base_failed, kept)) occurs, row by row, by lists and sorting."""
     cutv = lambda v: v if v < 32 else v >> v.bit_length() - 6 << v.bit_length() - 6
-    facts = {}
+    facts = []
     for doc_id, text, lang, source in rows:
         t, ws = text or "", words(text)
         grams = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
         covered = len({p for i in range(len(ws) - 7) if grams[tuple(ws[i : i + 8])] > 1 for p in range(i, i + 8)})
         lines, chars = [x for x in t.split("\n") if words(x)], sum(map(len, ws))
         counts = [(sum(t.count(c) for c in "#*$%&|<>"), chars, 1), (len(re.findall("[A-Z]", t)), chars, 1), (t.count("!"), len(ws), 1), (len(lines) - len(set(lines)), len(lines), 1), (covered, len(ws), 16)]
-        facts[doc_id] = (lang, source, counts, len(ws) < 20 or 100 * covered > 30 * len(ws), len(ws))
-    passed = [f for f in facts.values() if not f[3]]
-    out = {}
-    for doc_id, (lang, source, counts, failed, n) in facts.items():
+        facts.append((lang, source, counts, len(ws) < 20 or 100 * covered > 30 * len(ws), len(ws), doc_id))
+    passed = [f for f in facts if not f[3]]
+    out = collections.Counter()
+    for lang, source, counts, failed, n, doc_id in facts:
         own, tongue = [f for f in passed if f[:2] == (lang, source)], [f for f in passed if f[0] == lang]
         group, ok = own if len(own) >= 50 else tongue if len(tongue) >= 50 else passed, not failed
         for k, (count, by, event) in enumerate(counts if own else []):
@@ -632,14 +632,14 @@ def plain_rules(rows):
             at = [rates[-(-p * len(rates) // 100) - 1] for p in range(25, 100)]
             stop = next((x for x, y in zip(at, at[1:]) if y > 1.5 * x + 4000 * event / size), at[-1])
             ok &= not 1000 * (count - 4 * event) > 1.5 * stop * by
-        out[doc_id] = (n, counts[0][0], counts[3][0], counts[4][0], failed, ok)
+        out[doc_id, (n, counts[0][0], counts[3][0], counts[4][0], failed, ok)] += 1
     return out
 
 
 def test_rules_equal_brute_force(docs, awkward):
     for table in (docs, awkward):
         want = plain_rules([(r.doc_id, r.text, r.lang, r.source) for r in table.collect()])
-        got = {r.doc_id: (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in adaptive_rules.judge(table).collect()}
+        got = collections.Counter((r.doc_id, (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)) for r in adaptive_rules.judge(table).collect())
         assert got == want
 
 
