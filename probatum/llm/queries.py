@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import adaptive_rules, budget_mix, kneser_ney, packing, pii_semicrf, prefix_tree_join, projection_search, token_attribution, warc, weak_labels
+from . import adaptive_rules, budget_mix, dense_search, kneser_ney, packing, pii_semicrf, prefix_tree_join, projection_search, spelling, token_attribution, warc, weak_labels, winnowing
 from .common import read
 
 
@@ -49,6 +50,19 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), winnowing.digest_of(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, which belongs to this subpackage."""
     import corpus_pipeline
@@ -56,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_length_buckets, op3_warc_derivatives, op4_kneser_ney, op5_weak_labels, op6_projection_search, op7_prefix_tree_join, op8_budget_mix, op9_pii_semicrf, op10_adaptive_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_length_buckets, op3_warc_derivatives, op4_kneser_ney, op5_weak_labels, op6_projection_search, op7_prefix_tree_join, op8_budget_mix, op9_pii_semicrf, op10_adaptive_rules, op11_winnowing, op12_spelling_variants, op13_dense_search, pipeline)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -109,6 +123,42 @@ ORACLE: dict[str, str] = {
                NOT base_failed AND NOT coalesce(2000 * (n_symbols - 4) > 3 * l1 * word_chars, false) AND NOT coalesce(2000 * (n_upper - 4) > 3 * l2 * word_chars, false) AND NOT coalesce(2000 * (n_bangs - 4) > 3 * l3 * n_words, false)
                AND NOT coalesce(2000 * (n_dup_lines - 4) > 3 * l4 * n_lines, false) AND NOT coalesce(2000 * (n_repeat_words - 64) > 3 * l5 * n_words, false) AS kept
         FROM r LEFT JOIN p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source""",
+    "op11_winnowing": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS width, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda k: array_to_string(ws[k:k + 9], ' '))) AS win FROM i WHERE len(ws) > 0),
+        wd AS (SELECT DISTINCT width FROM iw),
+        dw AS (SELECT r, width, unnest(range(1, len(ws) - width + 2)) AS k, unnest(list_transform(range(1, len(ws) - width + 2), lambda k: array_to_string(ws[k:k + width - 1], ' '))) AS win FROM d, wd WHERE len(ws) >= width),
+        hits AS (SELECT r, k, width, item_id FROM dw JOIN iw USING (width, win)),
+        cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + width)) AS p FROM hits) GROUP BY r),
+        its AS (SELECT r, list(DISTINCT item_id::VARCHAR) AS ids FROM hits GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+               sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE bits AS (SELECT range AS k, range AS c, 0 AS b FROM range(256) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b + 1 FROM bits WHERE b < 8),
+        tab AS (SELECT list(c::BIGINT ORDER BY k) AS t FROM bits WHERE b = 8),
+        run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+        hx AS (SELECT w, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM run WHERE length(w) >= 6),
+        bs AS (SELECT w, list_transform(range(1, length(x), 2), lambda i: ((strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT) AS b FROM hx),
+        h AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM bs, tab),
+        v AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word FROM h),
+        words AS MATERIALIZED (SELECT word, count(*) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+        del AS MATERIALIZED (SELECT word, n, k, substring(word, 1, k) || substring(word, k + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word))) AS k FROM words)),
+        near AS (SELECT a.word, a.n, b.word AS o, b.n AS m FROM del a JOIN del b ON a.d = b.d AND a.k = b.k AND a.word <> b.word
+                 UNION SELECT a.word, a.n, b.word, b.n FROM del a JOIN words b ON a.d = b.word UNION SELECT b.word, b.n, a.word, a.n FROM del a JOIN words b ON a.d = b.word),
+        best AS (SELECT word, n, count(*) AS n_near, first(o ORDER BY m DESC, o) AS o, max(m) AS m FROM near GROUP BY word, n),
+        f AS (SELECT word, o AS form, m AS form_n FROM best WHERE m >= 5 * n),
+        walk AS (SELECT word, form AS up, 1 AS step FROM f UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN f ON f.word = w.up)
+        SELECT words.word, form, coalesce((SELECT first(up ORDER BY step DESC) FROM walk WHERE walk.word = words.word), words.word) AS root, words.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+        FROM words LEFT JOIN best USING (word) LEFT JOIN f USING (word)""",
+    "op13_dense_search": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        s AS (SELECT count(*) FILTER (len(ws) > 0) AS docs, coalesce(sum(len(ws)), 0)::BIGINT AS terms FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        p AS (SELECT r, doc_id, term, len(ws) AS n, count(*) AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, doc_id, term, len(ws)),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+        m AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS x FROM p, s),
+        t AS (SELECT item_id, r, doc_id, sum(w * x)::BIGINT AS score FROM q JOIN m USING (term) JOIN w USING (term) GROUP BY item_id, r, doc_id)
+        SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM t WHERE score > 0) WHERE rank <= 10""",
 }
-
-
