@@ -5,14 +5,15 @@
    quantile is off by at most one part in 32. Sketches merge by adding counts: the sketch of a
    language, and of everything, come from those of its sources, and the result doesn't depend on
    how rows are dealt out. Documents that fail the base rule are out of them.
-3. A measure's limit is where its main body ends: from the first quartile up, percentile by percentile, to
-   the last one (the 99th at most) before a jump. A jump is more than the relative MARGIN and what EVENTS
-   events make of a median document of the group, whose size comes from sketches too. The limit is that
-   percentile plus MARGIN; beyond it go documents with more than EVENTS events over it. So junk sets no
-   limit unless it is three quarters of a group, and no cutoff is the same for all groups.
-   (A percentile of a group of fewer than LEAST_DOCS documents means little: its language's sketch, or the
-   whole corpus's, takes its place.)
-4. Documents are joined with their limits (nulls in lang or source form groups of their own).
+3. A measure's limit comes from its main body: from the first quartile up, percentile by percentile, to the last one
+   before a jump, or the 99th. A jump is more than the relative MARGIN and what EVENTS events make of a median document of
+   the group, whose size comes from sketches too. After a jump the limit lies a quarter of the way into the gap; without one
+   it is the 99th percentile plus MARGIN, and a measure that is 0 up to there teaches nothing: then the limit of its
+   language counts, then that of the whole corpus, else none. The same holds for a group of fewer than LEAST_DOCS documents.
+   So junk sets no limit unless it is three quarters of a group, and groups differ as their bodies and gaps do.
+4. A document goes if a count is over what the limit allows a text of its size by more than TAIL standard deviations of
+   such a count (of events as rare as that, so short texts get more room than long ones). No count is fixed.
+5. Documents are joined with their limits (nulls in lang or source form groups of their own).
 
 Defined cases: null text is the empty text (fails the base rule); an empty table gives an empty
 result; repeated rows are judged one by one; a table without lang or source has one null group; documents
@@ -32,11 +33,12 @@ from .common import cut, text_of, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: measure: (its count, what the count is measured by, what one event adds to the count).
-MEASURES = {"m_symbols": ("n_symbols", "word_chars", 1), "m_upper": ("n_upper", "word_chars", 1), "m_bangs": ("n_bangs", "n_words", 1), "m_dup_lines": ("n_dup_lines", "n_lines", 1), "m_repeats": ("n_repeat_words", "n_words", 2 * WINDOW)}
+MEASURES = {"m_symbols": ("n_symbols", "word_chars", 1), "m_upper": ("n_upper", "word_chars", 1), "m_bangs": ("n_bangs", "n_words", 1), "m_dup_lines": ("n_dup_lines", "n_lines", 1), "m_repeats": ("n_repeat_words", "n_words", 2 * WINDOW), "m_same": ("n_same_words", "n_words", 1)}
 SIZES = ("word_chars", "n_words", "n_lines")
 #: A half: (2 + 1) / 2 in whole numbers.
 MARGIN = (3, 2)
 EVENTS = 4
+TAIL = 3
 LEAST_DOCS = 50
 
 
@@ -86,6 +88,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length("t") - F.length(F.translate("t", "!", ""))).cast("long").alias("n_bangs"),
         _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         repeat_words(F.col("w")).alias("n_repeat_words"),
+        F.size(F.filter("w", lambda x, i: x == F.get("w", i - 1))).cast("long").alias("n_same_words"),
     )
     rate = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
     return (
@@ -118,7 +121,7 @@ def merged(sketches: DataFrame) -> DataFrame:
 
 
 def limits(sketches: DataFrame) -> DataFrame:
-    """(lang, source, l_<measure>...): the percentile at which each measure's main body ends, for every group."""
+    """(lang, source, l_<measure>...): the limit of each measure for every group, in quarters of a thousandth; null for none."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     cells = merged(sketches).withColumn("total", F.sum("n").over(group)).withColumn("up", F.sum("n").over(group.orderBy("value")))
     # Percentiles that fall into a cell: above first, up to last.
@@ -133,14 +136,15 @@ def limits(sketches: DataFrame) -> DataFrame:
     after = F.lead("value").over(group.orderBy("value"))
     jump = (MARGIN[1] * size * F.col("after") > MARGIN[0] * size * F.col("value") + MARGIN[1] * EVENTS * 1000 * event) | F.col("after").isNull()
     ends = held.withColumn("after", after).where(jump)
-    wide = ends.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("measure") == m, F.col("value"))).alias(f"l_{m}") for m in MEASURES])
-    wide = cut(wide, "limits")
+    wide = ends.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("measure") == m, F.struct("value", "after"))).alias(f"l_{m}") for m in MEASURES])
+    body = lambda m: F.when(F.col(f"l_{m}.after").isNotNull(), 3 * F.col(f"l_{m}.value") + F.col(f"l_{m}.after")).when(F.col(f"l_{m}.value") > 0, 4 * MARGIN[0] * F.col(f"l_{m}.value") / MARGIN[1])
+    wide = cut(wide.withColumns({f"l_{m}": body(m).cast("long") for m in MEASURES}), "limits")
     named = lambda level, prefix: [F.col("total").alias(f"{prefix}_total"), *[F.col(f"l_{m}").alias(f"{prefix}_{m}") for m in MEASURES]]
     own = wide.where("level = 0").select("lang", "source", *named(0, "o"))
     lang = wide.where("level = 1").select(F.col("lang").alias("g_lang"), *named(1, "g"))
     every = wide.where("level = 2").select(*named(2, "a"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("g_lang"))).join(F.broadcast(every), F.lit(True))  # one row
-    pick = lambda m: F.when(F.col("o_total") >= LEAST_DOCS, F.col(f"o_{m}")).when(F.col("g_total") >= LEAST_DOCS, F.col(f"g_{m}")).otherwise(F.col(f"a_{m}"))
+    pick = lambda m: F.coalesce(F.when(F.col("o_total") >= LEAST_DOCS, F.col(f"o_{m}")), F.when(F.col("g_total") >= LEAST_DOCS, F.col(f"g_{m}")), F.col(f"a_{m}"))
     return joined.select("lang", "source", *[pick(m).alias(f"l_{m}") for m in MEASURES])
 
 
@@ -149,7 +153,8 @@ def judge(docs: DataFrame) -> DataFrame:
     measured = cut(measures(docs), "measures")
     found = limits(sketch(measured)).withColumnsRenamed({"lang": "x_lang", "source": "x_source"})
     joined = measured.join(found, F.col("lang").eqNullSafe(F.col("x_lang")) & F.col("source").eqNullSafe(F.col("x_source")), "left")
-    beyond = [MARGIN[1] * 1000 * (F.col(count) - EVENTS * event) > MARGIN[0] * F.col(f"l_{m}") * F.col(by) for m, (count, by, event) in MEASURES.items()]
+    due = {m: F.col(f"l_{m}") * F.col(by) / 4000.0 for m, (_, by, _) in MEASURES.items()}
+    beyond = [F.col(count) - due[m] > TAIL * F.sqrt(event * due[m]) for m, (count, _, event) in MEASURES.items()]
     failed = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in beyond])
     return joined.withColumn("kept", ~F.col("base_failed") & ~failed).drop("x_lang", "x_source")
 

@@ -103,26 +103,29 @@ ORACLE: dict[str, str] = {
         cov AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
         m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
                      length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
-                     length(t) - length(translate(t, '!', '')) AS n_bangs, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.c, 0) AS n_repeat_words
+                     length(t) - length(translate(t, '!', '')) AS n_bangs, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.c, 0) AS n_repeat_words,
+                     len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same_words
               FROM w LEFT JOIN cov USING (doc_id)),
         r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-        u AS (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS k, unnest([n_symbols * 1000 // greatest(word_chars, 1), n_upper * 1000 // greatest(word_chars, 1), n_bangs * 1000 // greatest(n_words, 1),
-                     n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1)])::BIGINT AS v, unnest([word_chars, word_chars, n_words, n_lines, n_words])::BIGINT AS z FROM r WHERE NOT base_failed),
+        u AS (SELECT lang, source, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest([n_symbols * 1000 // greatest(word_chars, 1), n_upper * 1000 // greatest(word_chars, 1), n_bangs * 1000 // greatest(n_words, 1),
+                     n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1), n_same_words * 1000 // greatest(n_words, 1)])::BIGINT AS v, unnest([word_chars, word_chars, n_words, n_lines, n_words, n_words])::BIGINT AS z FROM r WHERE NOT base_failed),
         f AS (SELECT lang, source, k, CASE WHEN v < 32 THEN v ELSE (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) END AS v,
                      CASE WHEN z < 32 THEN z ELSE (z >> greatest(length(bin(z)) - 6, 0)) << greatest(length(bin(z)) - 6, 0) END AS z FROM u),
         h AS (SELECT 0 AS level, lang, source, k, list(v ORDER BY v) AS vs, list(z ORDER BY z) AS zs FROM f GROUP BY ALL UNION ALL
               SELECT 1, lang, NULL, k, list(v ORDER BY v), list(z ORDER BY z) FROM f GROUP BY ALL UNION ALL
               SELECT 2, NULL, NULL, k, list(v ORDER BY v), list(z ORDER BY z) FROM f GROUP BY ALL),
         c AS (SELECT level, lang, source, k, len(vs) AS n, greatest(zs[(len(zs) + 1) // 2], 1) AS size, CASE WHEN k = 5 THEN 64 ELSE 4 END * 1000 AS spare, list_transform(range(25, 100), lambda p: vs[(p * len(vs) + 99) // 100]) AS qs FROM h),
-        e AS (SELECT level, lang, source, k, n, list_min(list_transform(list_filter(range(1, 76), lambda i: i = 75 OR 2 * size * qs[i + 1] > 3 * size * qs[i] + 2 * spare), lambda i: qs[i])) AS stop FROM c),
-        p AS (SELECT a.lang, a.source, max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 1) AS l1, max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 2) AS l2,
-                     max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 3) AS l3, max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 4) AS l4,
-                     max(CASE WHEN a.n >= 50 THEN a.stop WHEN b.n >= 50 THEN b.stop ELSE c.stop END) FILTER (a.k = 5) AS l5
-              FROM e a JOIN e b ON a.level = 0 AND b.level = 1 AND a.k = b.k AND a.lang IS NOT DISTINCT FROM b.lang JOIN e c ON c.level = 2 AND c.k = a.k GROUP BY a.lang, a.source)
+        o AS (SELECT *, list_min(list_filter(range(1, 76), lambda i: i = 75 OR 2 * size * qs[i + 1] > 3 * size * qs[i] + 2 * spare)) AS i FROM c),
+        e AS (SELECT level, lang, source, k, n, CASE WHEN i < 75 THEN 3 * qs[i] + qs[i + 1] WHEN qs[75] > 0 THEN 6 * qs[75] END AS stop FROM o),
+        p AS (SELECT a.lang, a.source, a.k, coalesce(CASE WHEN a.n >= 50 THEN a.stop END, CASE WHEN b.n >= 50 THEN b.stop END, c.stop) AS l
+              FROM e a JOIN e b ON a.level = 0 AND b.level = 1 AND a.k = b.k AND a.lang IS NOT DISTINCT FROM b.lang JOIN e c ON c.level = 2 AND c.k = a.k),
+        j AS (SELECT *, row_number() OVER () AS row_id FROM r),
+        x AS (SELECT row_id, lang, source, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest([n_symbols, n_upper, n_bangs, n_dup_lines, n_repeat_words, n_same_words]) AS c, unnest([word_chars, word_chars, n_words, n_lines, n_words, n_words]) AS z FROM j),
+        bad AS (SELECT DISTINCT row_id FROM x JOIN p ON x.k = p.k AND x.lang IS NOT DISTINCT FROM p.lang AND x.source IS NOT DISTINCT FROM p.source
+                WHERE c - l * z / 4000.0::DOUBLE > 3 * sqrt(CASE WHEN x.k = 5 THEN 16 ELSE 1 END * (l * z / 4000.0::DOUBLE)))
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-               NOT base_failed AND NOT coalesce(2000 * (n_symbols - 4) > 3 * l1 * word_chars, false) AND NOT coalesce(2000 * (n_upper - 4) > 3 * l2 * word_chars, false) AND NOT coalesce(2000 * (n_bangs - 4) > 3 * l3 * n_words, false)
-               AND NOT coalesce(2000 * (n_dup_lines - 4) > 3 * l4 * n_lines, false) AND NOT coalesce(2000 * (n_repeat_words - 64) > 3 * l5 * n_words, false) AS kept
-        FROM r LEFT JOIN p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source""",
+               NOT base_failed AND bad.row_id IS NULL AS kept
+        FROM j LEFT JOIN bad USING (row_id)""",
     "op11_winnowing": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
         i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),

@@ -619,23 +619,32 @@ def plain_rules(rows):
         grams = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
         covered = len({p for i in range(len(ws) - 7) if grams[tuple(ws[i : i + 8])] > 1 for p in range(i, i + 8)})
         lines, chars = [x for x in t.split("\n") if words(x)], sum(map(len, ws))
-        counts = [(sum(t.count(c) for c in "#*$%&|<>"), chars, 1), (len(re.findall("[A-Z]", t)), chars, 1), (t.count("!"), len(ws), 1), (len(lines) - len(set(lines)), len(lines), 1), (covered, len(ws), 16)]
+        counts = [(sum(t.count(c) for c in "#*$%&|<>"), chars, 1), (len(re.findall("[A-Z]", t)), chars, 1), (t.count("!"), len(ws), 1), (len(lines) - len(set(lines)), len(lines), 1), (covered, len(ws), 16), (sum(x == y for x, y in zip(ws, ws[1:])), len(ws), 1)]
         facts.append((lang, source, counts, len(ws) < 20 or 100 * covered > 30 * len(ws), len(ws), doc_id))
     passed = [f for f in facts if not f[3]]
     out = collections.Counter()
     for lang, source, counts, failed, n, doc_id in facts:
         own, tongue = [f for f in passed if f[:2] == (lang, source)], [f for f in passed if f[0] == lang]
-        group, ok = own if len(own) >= 50 else tongue if len(tongue) >= 50 else passed, not failed
+        groups, ok = [g for g in (own, tongue) if len(g) >= 50] + [passed], not failed
         for k, (count, by, event) in enumerate(counts if own else []):
-            rates = sorted(cutv(f[2][k][0] * 1000 // max(f[2][k][1], 1)) for f in group)
-            size = max(sorted(cutv(f[2][k][1]) for f in group)[(len(group) + 1) // 2 - 1], 1)
-            at = [rates[-(-p * len(rates) // 100) - 1] for p in range(25, 100)]
-            stop = next((x for x, y in zip(at, at[1:]) if y > 1.5 * x + 4000 * event / size), at[-1])
-            ok &= not 1000 * (count - 4 * event) > 1.5 * stop * by
+            limit = next((x for x in (body_limit(g, k, event, cutv) for g in groups) if x is not None), None)
+            if limit is not None:
+                ok &= not count - limit * by / 4000 > 3 * math.sqrt(event * (limit * by / 4000))
         out[doc_id, (n, counts[0][0], counts[3][0], counts[4][0], failed, ok)] += 1
     return out
 
 
+def body_limit(group, k, event, cutv):
+    """In quarters of a thousandth: a quarter into the first gap above the main body, or half above its 99th percentile; None if that is 0."""
+    rates = sorted(cutv(f[2][k][0] * 1000 // max(f[2][k][1], 1)) for f in group)
+    size = max(sorted(cutv(f[2][k][1]) for f in group)[(len(group) + 1) // 2 - 1], 1)
+    at = [rates[-(-p * len(rates) // 100) - 1] for p in range(25, 100)]
+    for x, y in zip(at, at[1:]):
+        if y > 1.5 * x + 4000 * event / size:
+            return 3 * x + y
+    return 6 * at[-1] or None
+
+
 def test_rules_equal_brute_force(docs, awkward):
     for table in (docs, awkward):
         want = plain_rules([(r.doc_id, r.text, r.lang, r.source) for r in table.collect()])
@@ -657,6 +666,20 @@ def test_sources_set_their_own_limits(spark):
     assert got[5000].l_m_symbols < got[5001].l_m_symbols
 
 
+def test_no_count_decides(spark):
+    """Five symbols in a hundred thousand words stay, in junk's company as well; no threshold on one measure gives the same verdicts."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    clean, junk = [" ".join(word() for _ in range(rnd.randint(30, 90))) for _ in range(200)], [" ".join(word() + "##" for _ in range(40)) for _ in range(20)]
+    stutter = [" ".join(f"{w} {w} {w} {w} {w}" for w in (word() for _ in range(9))) for _ in range(20)]
+    long = [" ".join([*[word() for _ in range(100_000)], *"#####"]), " ".join([*[word() for _ in range(20_000)], *"#" * 90])]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*clean, *junk, *stutter, *long])]
+    got = adaptive_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(200, 240))
+    for count in ("n_symbols", "n_upper", "n_bangs", "n_dup_lines", "n_repeat_words", "n_same_words"):
+        assert min(r[count] for r in got if not r.kept) <= max(r[count] for r in got if r.kept)
+
+
 @pytest.mark.parametrize("share", [0, 10, 26, 40, 60])
 def test_rules_of_a_hot_source(spark, share):
     rnd = random.Random(share)
