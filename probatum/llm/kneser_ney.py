@@ -145,7 +145,13 @@ def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _local(path: str) -> str | None:
     """The path for open(), if the shared folder is mounted."""
-    return path.removeprefix("file://").removeprefix("file:") if path.startswith(("file:", "/")) else None
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else None
+
+
+def _named(spark: SparkSession, path: str) -> str:
+    """A path without a scheme lies in the default file system, which is mounted only if that is the machines' own."""
+    default = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"file:{path}" if path.startswith("/") and default.getScheme() == "file" else path
 
 
 @dataclass
@@ -507,12 +513,12 @@ def extend(text: DataFrame, m: Model, order: int) -> Model:
 
         def merge_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
             keys, counts = _merged(pdf)
-            out = np.zeros((low[key[0] + 1] - low[key[0]], 4), np.uint32)
-            out[(keys >> np.uint64(2)).astype(np.int64) - low[key[0]], (keys & np.uint64(3)).astype(np.int64)] = np.minimum(counts, np.uint64(0xFFFFFFFF))
+            out = np.zeros((low[key[0] + 1] - low[key[0]], 4), np.uint64)
+            out[(keys >> np.uint64(2)).astype(np.int64) - low[key[0]], (keys & np.uint64(3)).astype(np.int64)] = counts
             more = (out[:, 0] > 7) | (out[:, 1] > 3) | (out[:, 2] > 0)
             _put(folder, f"more{k}-{key[0]}", np.flatnonzero(more) + low[key[0]])
             _put(folder, f"rows{k}-{key[0]}", out[more])
-            codes = np.where(more, MORE, out[:, 0] | out[:, 1] << 3).astype(np.uint8)
+            codes = np.where(more, np.uint64(MORE), out[:, 0] | out[:, 1] << np.uint64(3)).astype(np.uint8)
             return pd.DataFrame([("sums", key[0], codes.tobytes())], columns=["name", "part", "body"])
 
         counted, path = cut_at(spark.range(0, shards, 1, shards).mapInPandas(sums, ROWS_TYPE), f"sums{k}")
@@ -545,7 +551,7 @@ class Chain:
         of = contexts[more] * self.low.m.shards // max(len(self.sums[k]), 1)
         for t, held in _by_shard(of):
             at = more[held]
-            out[at] = self.maps.get(f"rows{k}-{t}", np.uint32).reshape(-1, 4)[np.searchsorted(self.maps.get(f"more{k}-{t}", np.int64), contexts[at])]
+            out[at] = self.maps.get(f"rows{k}-{t}", np.uint64).reshape(-1, 4)[np.searchsorted(self.maps.get(f"more{k}-{t}", np.int64), contexts[at])]
         return out
 
     def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -582,7 +588,7 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
         raise ValueError("an order is at least two")
     spark = docs.sparkSession
     text = docs.select((F.col("text") if "text" in docs.columns else F.lit(None)).cast("string").alias("text"))
-    files = Files(scratch(spark, "kn"))
+    files = Files(_named(spark, scratch(spark, "kn")))
     # The size of a shard follows the input: characters are summed first, which reads but one column.
     chars, n_docs = text.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(4, int((chars or 0) // (6 * words_per_shard)) + 1)
@@ -629,7 +635,9 @@ def train(docs: DataFrame, words_per_shard: int = SHARD_WORDS, order: int = 2) -
 
     def merge_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(pdf)
-        times = np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        if folder is None and len(counts) and counts.max() >= 1 << 32:
+            raise ValueError("a bigram occurs 2**32 times or more: its count needs a mounted shared folder")
+        times = counts.astype(np.uint32) if folder is None else None
         coc = np.bincount(np.minimum(counts, np.uint64(5)).astype(np.int64), minlength=6).tolist()
         if folder is not None:  # a shard's arrays don't pass through the JVM
             _put(folder, f"keys-{key[0]}", keys)

@@ -103,7 +103,7 @@ def dropped(page: str) -> list[tuple[int, int]]:
 
 
 def plain_text(page: str) -> str:
-    """Text outside scripts, styles, heads, navigation and comments; block elements end lines."""
+    """Text outside titles, scripts, styles, navigation and comments; block elements end lines."""
     parts, at = [], 0
     for a, b in dropped(page):
         parts.append(page[at:a])
@@ -150,6 +150,7 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", urn.alias("record_id"), uri.alias("target_uri"), F.lit(DATE).alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), headers.alias("headers"), page.alias("payload"))
 
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]")
 DERIVED = ("page_id", "record_type", "record_id", "refers_to", "refers_to_target_uri", "refers_to_date", "source_headers", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest", "block")
 
 
@@ -176,11 +177,24 @@ def derive(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", *RESPONSE).mapInArrow(run, f"page_id {kind}, {text}")
 
 
+def _field(value: str, escape: bool) -> str:
+    """A header's value, which can't hold a line break: in addresses and headers control characters are percent-encoded, elsewhere they are an error."""
+    if escape:
+        return _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+    if _CONTROL.search(value):
+        raise ValueError(f"a control character in a header: {value!r}")
+    return value
+
+
+#: Fields that come from outside. A line of a source's headers is told from the next by the escaped line break.
+ESCAPED = ("WARC-Target-URI", "WARC-Refers-To-Target-URI", "WARC-Source-HTTP-Headers")
+
+
 def serialize(record: dict) -> bytes:
-    """One WARC/1.0 record: named fields, then the block."""
+    """One WARC/1.0 record: named fields, then the block. Source headers travel in a field of their own."""
     block = record["block"].encode()
-    fields = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Refers-To-Target-URI", record.get("refers_to_target_uri")), ("WARC-Refers-To-Date", record.get("refers_to_date")), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"]), ("WARC-Block-Digest", record["block_digest"]), ("WARC-Source-Payload-Digest", record.get("source_digest")), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
+    fields = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Refers-To-Target-URI", record.get("refers_to_target_uri")), ("WARC-Refers-To-Date", record.get("refers_to_date")), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"]), ("WARC-Block-Digest", record["block_digest"]), ("WARC-Source-Payload-Digest", record.get("source_digest")), ("WARC-Source-HTTP-Headers", record.get("source_headers")), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
+    head = "".join(f"{k}: {_field(v, k in ESCAPED)}\r\n" for k, v in fields if v is not None)
     return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 

@@ -7,12 +7,12 @@
    that votes says junk, and the share of good documents; a pattern's posterior is its label. An abstention
    speaks for neither class. Nothing is pinned: a labeller's accuracy follows from its agreement with the others.
 3. A linear scorer on hashed features (distinct word shapes and steps of the measures) is fitted to these
-   posteriors on a bounded sample: SAMPLE documents with the least hashes and as many of those with a junk
-   vote, weighted back to their shares. All documents are scored, within the JVM.
+   posteriors on a bounded sample: SAMPLE documents with the least hashes (of id, votes and features) and as many of those
+   with a junk vote, weighted back to their shares. All documents are scored, within the JVM.
 4. A document is kept if its score is at least 0.5.
 
 Defined cases: a null text is empty and judged as such; repeated rows are judged one by one, and rows that tie for the
-sample's last places are equal in all that is fitted; with no rows nothing is fitted; with only one class all posteriors
+sample's last places are equal in all that is fitted; ids may be missing or all the same; with no rows nothing is fitted; with only one class all posteriors
 agree; further columns, whatever their names, are carried by keep() only.
 """
 
@@ -149,12 +149,15 @@ def _scored(docs: DataFrame, sample: int, whole: bool = False) -> DataFrame:
     label = {tuple(r.votes): float(x) for r, x in zip(counted, p, strict=True)}
     total = sum(r.n for r in counted)
     doubted = sum(r.n for r in counted if 0 in r.votes)
-    part = rows.select("votes", "places", F.xxhash64(F.lit(3), "doc_id").alias("h"))
+    part = rows.select("votes", "places", F.xxhash64(F.lit(3), "doc_id", "votes", "places").alias("h"))
     data = []
     for sub, n in ((part.where(~F.array_contains("votes", 0)), total - doubted), (part.where(F.array_contains("votes", 0)), doubted)):
         # The least hashes lie below this bound, so that no task sends a whole sample of its own.
         below = int(-(2**63) + 2**64 * min(1.0, 2 * sample / max(n, 1)))
-        got = (sub.where(F.col("h") < below) if below < 2**63 else sub).orderBy("h", "votes", "places").limit(sample).collect()
+        least = lambda df: df.orderBy("h", "votes", "places").limit(sample).collect()
+        got = least(sub.where(F.col("h") < below) if below < 2**63 else sub)
+        if len(got) < min(sample, n):  # few different rows, each many times
+            got = least(sub)
         data += [(r.places, label[tuple(r.votes)], n / max(len(got), 1)) for r in got]
     w, b = fit(data)
     table = docs.sparkSession.createDataFrame([(list(k), v) for k, v in label.items()], "votes array<int>, posterior double")

@@ -187,6 +187,31 @@ def test_warc_round_trip(spark):
     assert warc.derive(warc.responses(odd)).count() == 2 and warc.derive(warc.responses(odd.limit(0))).count() == 0
 
 
+def test_warc_headers_hold_no_line_break(spark):
+    """A line break in an address neither ends the header nor adds a field."""
+    bad = "http://x/\r\nWARC-Type: response\r\n\r\nbody"
+    rows = warc.derive(warc.responses(spark.createDataFrame([(1, bad, "<p>text</p>"), (2, "http://y/\u2028\n", "z")], "page_id long, url string, html string"))).collect()
+    for r in rows:
+        ((fields, block),) = warc.parse(warc.serialize(r.asDict()))
+        assert block.decode() == r.block and fields["WARC-Type"] == r.record_type and fields["WARC-Refers-To"] == r.refers_to
+        assert fields["WARC-Target-URI"] == ("http://x/%0D%0AWARC-Type: response%0D%0A%0D%0Abody" if r.page_id == 1 else "http://y/%E2%80%A8%0A")
+        assert fields["WARC-Source-HTTP-Headers"].replace("%0D%0A", "\r\n") == r.source_headers
+    with pytest.raises(ValueError):
+        warc.serialize({**rows[0].asDict(), "date": "2024\r\nX: y"})
+
+
+def test_paths_without_scheme_are_of_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "file:///")
+        assert kneser_ney._local(kneser_ney._named(spark, "/x/y")) == "/x/y"
+        conf.set("fs.defaultFS", "hdfs://far:9000")
+        assert kneser_ney._local(kneser_ney._named(spark, "/x/y")) is None and kneser_ney._local(kneser_ney._named(spark, "file:/x")) == "/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_warc_records_of_content(spark, tmp_path):
     """Ids follow content, clashing columns don't matter, and written records read back as they were."""
     import gzip
@@ -366,6 +391,16 @@ def plain_nearest(rows, k, every):
     return out
 
 
+def test_sample_of_rows_that_share_an_id(spark):
+    """Ids that are missing or all the same fit a classifier as good as real ones, and rows that repeat a bounded sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for i in ("doc_id", "NULL", "5", "6"):
+        rows = docs.selectExpr(f"CAST({i} AS LONG) AS doc_id", "text")
+        assert 800 < weak_labels.classify(rows, sample=50).where("kept").count() < 940
+    two = docs.where("doc_id IN (1, 5)").selectExpr("CAST(6 AS LONG) AS doc_id", "text", "explode(sequence(1, if(doc_id = 5, 200, 800)))").select("doc_id", "text")
+    assert [(r.kept, r["count"]) for r in weak_labels.classify(two, sample=20).groupBy("kept").count().orderBy("kept").collect()] == [(False, 200), (True, 800)]
+
+
 def test_search_equals_brute_force_on_awkward_rows(spark):
     """Few rows are searched whole: repeated ids, equal vectors, ties, two lengths, very unlike norms, rows that take no part."""
     rnd = np.random.default_rng(4)
