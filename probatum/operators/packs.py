@@ -24,8 +24,9 @@ FALLBACK = "(ninguno casa {})"
 def rule_problems(rules: Sequence[RuleSpec]) -> list[tuple[str, str]]:
     """(rule, what is wrong): unknown kinds, fields that a kind needs, ids that occur twice."""
     needs = {"llamada": ("signatures",), "llamada_sin_pareja": ("signatures", "pair"), "fichero": ("patterns",), "contenido": ("patterns",), "contenido_prohibido": ("patterns",), "aportado": ("question",)}
-    out = [(r.id, "tipo") for r in rules if r.kind not in needs]
-    out += [(r.id, f) for r in rules for f in needs.get(r.kind, ()) if not getattr(r, f)]
+    own = [r for r in rules if r.engine == "generico"]
+    out = [(r.id, "tipo") for r in own if r.kind not in needs]
+    out += [(r.id, f) for r in own for f in needs.get(r.kind, ()) if not getattr(r, f)]
     ids = [r.id for r in rules]
     return out + [(i, "repetida") for i in sorted({i for i in ids if ids.count(i) > 1})]
 
@@ -106,10 +107,11 @@ def evaluate(files: DataFrame, calls: DataFrame, imports: DataFrame, rules: Sequ
     )
 
 
-def outcomes(evaluated: DataFrame, unreadable: DataFrame) -> DataFrame:
+def outcomes(evaluated: DataFrame, unreadable: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """A row for each repository and pack: its execution, result and counts; unreadable: repo, ilegibles.
 
     Nothing applicable isn't the same as nothing found. Limits: those of the rules, the fixed ones, and one for unreadable files.
+    own: repo, paquete, ejecucion, suficiencia, where an analyser says these itself; then suficiencia is a column, too.
     """
     g = evaluated.groupBy("repo", "paquete", "obligacion").agg(
         F.count("*").alias("reglas"), F.count_if("aplicable").alias("aplicables"), F.sum("hallazgos").alias("hallazgos"),
@@ -120,27 +122,37 @@ def outcomes(evaluated: DataFrame, unreadable: DataFrame) -> DataFrame:
     g = g.join(unreadable, "repo", "left")
     execution = F.when(F.col("aplicables") == 0, "no_aplicable").otherwise("completada")
     limits = F.col("l") + len(LIMITS) + (F.coalesce("ilegibles", F.lit(0)) > 0).cast("int")
-    return g.withColumn("ejecucion", execution).withColumn("limites", limits.cast("long")).withColumn("resultado", ladders.result(execution, F.col("hallazgos"), F.lit(None).cast("string"))).drop("l", "ilegibles")
+    enough = F.lit(None).cast("string")
+    if own is not None:
+        g = g.join(own.select("repo", "paquete", F.col("ejecucion").alias("dicha"), "suficiencia"), ["repo", "paquete"], "left")
+        execution, enough = F.coalesce("dicha", execution), F.col("suficiencia")
+    out = g.withColumn("ejecucion", execution).withColumn("limites", limits.cast("long")).withColumn("resultado", ladders.result(execution, F.col("hallazgos"), enough))
+    return out.drop("l", "ilegibles", "dicha")
 
 
-def plan(verdicts: DataFrame, evaluated: DataFrame, unreadable: DataFrame) -> DataFrame:
+def plan(verdicts: DataFrame, evaluated: DataFrame, unreadable: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """A line for each repository and obligation: state, findings, open questions and the strongest signal.
 
-    verdicts: repo, obligacion, nivel, situacion. Packs of one obligation are merged: what they observed is added up.
+    verdicts: repo, obligacion, nivel, situacion. Packs of one obligation are merged: what they observed is added up, and the result
+    is projected anew. own: as for outcomes; of several packs the first by name that judges sufficiency counts, and a result that
+    it leaves undecided asks for one more contribution.
     """
-    packs = outcomes(evaluated, unreadable)
+    packs = outcomes(evaluated, unreadable, own)
+    said = F.col("suficiencia") if own is not None else F.lit(None).cast("string")
     merged = packs.groupBy("repo", "obligacion").agg(
         F.count("*").alias("paquetes"), F.sum("hallazgos").alias("hallazgos"), F.sum("preguntas").alias("preguntas"), F.bool_and(F.col("ejecucion") == "no_aplicable").alias("nada"),
+        F.min(F.when(said.isNotNull(), F.struct("paquete", said.alias("s")))).alias("juicio"),
         *[F.sum(f).alias(f) for f in ("comportamiento", "presencia", "aportado")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("controles_cubiertos")))).alias("controles_cubiertos"),
     )
     lines = verdicts.join(merged, ["repo", "obligacion"], "left")
     binds, none = F.col("situacion") == "ata", F.coalesce("paquetes", F.lit(0)) == 0
-    result = ladders.result(F.when(F.col("nada"), "no_aplicable").otherwise("completada"), F.col("hallazgos"), F.lit(None).cast("string"))
+    result = ladders.result(F.when(F.col("nada"), "no_aplicable").otherwise("completada"), F.col("hallazgos"), F.col("juicio.s"))
+    asked = F.col("preguntas") + F.coalesce((result == "indeterminado").cast("int"), F.lit(0))
     state = ladders.plan_line(F.col("situacion"), F.coalesce("paquetes", F.lit(0)), F.col("nivel") == "organizativa", result, F.col("preguntas"))
-    own = F.when(F.col("situacion") == "indeterminada", 1).when(binds & none & (F.col("nivel") != "organizativa"), 1).when(binds & ~none, F.col("preguntas")).otherwise(0)
+    open_ = F.when(F.col("situacion") == "indeterminada", 1).when(binds & none & (F.col("nivel") != "organizativa"), 1).when(binds & ~none, asked).otherwise(0)
     strongest = F.when(~binds, None).when(F.col("comportamiento") > 0, "comportamiento").when(F.col("presencia") > 0, "presencia").when(F.col("aportado") > 0, "aportado")
     covered = F.when(binds & ~none, F.col("controles_cubiertos")).otherwise(F.array().cast("array<string>"))
-    return lines.select("repo", "obligacion", "situacion", state.alias("estado"), F.when(binds, F.coalesce("hallazgos", F.lit(0))).otherwise(0).cast("long").alias("hallazgos"), own.cast("long").alias("preguntas"), strongest.alias("fuerza_maxima"), covered.alias("controles_cubiertos"))
+    return lines.select("repo", "obligacion", "situacion", state.alias("estado"), F.when(binds, F.coalesce("hallazgos", F.lit(0))).otherwise(0).cast("long").alias("hallazgos"), open_.cast("long").alias("preguntas"), strongest.alias("fuerza_maxima"), covered.alias("controles_cubiertos"))
 
 
 def exit_codes(lines: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ class RuleSpec:
     documentation: bool = False
     guarded: bool = False
     question: str | None = None
+    #: The analyser that runs the package.
+    engine: str = "generico"
 
 
 #: Patterns of rules mean what Python's re means by them: Unicode classes, boundaries and case, lines end at a line feed.

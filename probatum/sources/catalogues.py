@@ -76,15 +76,24 @@ def rule_faults(spark: SparkSession, folder: str) -> DataFrame:
     return faults(rows, ("tipo", "severidad"), ("que_busca",), {})
 
 
-def load_rules(spark: SparkSession, folder: str) -> list[RuleSpec]:
-    """The rules of all packs below a folder, a catalogue of fixed size; rules that lack what their kind needs are an error."""
+#: Engines that run packs (fixed values).
+ENGINES = ("generico", "agentes", "art50")
+
+
+def load_rules(spark: SparkSession, folder: str, engine: str | None = "generico") -> list[RuleSpec]:
+    """The rules of all packs below a folder, of one engine or, if None, of all; a catalogue of fixed size.
+
+    Rules that lack what their kind needs are an error, and so are packs that name an engine that there isn't.
+    """
     out = []
-    for r in load_packs(spark, folder).where(F.coalesce("motor", F.lit("generico")) == "generico").select("paquete", F.col("version").alias("v"), "obligacion", F.explode("reglas").alias("r")).collect():
+    packs = load_packs(spark, folder).withColumn("motor", F.coalesce("motor", F.lit("generico")))
+    for r in packs.select("paquete", F.col("version").alias("v"), "obligacion", "motor", F.explode("reglas").alias("r")).collect():
         x = r.r
-        out.append(RuleSpec(x.id, x.tipo, x.severidad or "alta", tuple(x.patrones or ()), x.solo_en, tuple(x.firmas or ()), tuple(x.pareja or ()), tuple(x.requiere_import or ()), r.paquete, r.v or "1", r.obligacion, x.ambito == "documentacion", bool(x.solo_si_hay_fichero), x.pregunta.es if x.pregunta else None))
-    if problems := rule_problems(out):
+        out.append(RuleSpec(x.id, x.tipo or r.motor, x.severidad or "alta", tuple(x.patrones or ()), x.solo_en, tuple(x.firmas or ()), tuple(x.pareja or ()), tuple(x.requiere_import or ()), r.paquete, r.v or "1", r.obligacion, x.ambito == "documentacion", bool(x.solo_si_hay_fichero), x.pregunta.es if x.pregunta else None, r.motor))
+    problems = rule_problems(out) + [(p, "motor") for p in sorted({r.pack for r in out if r.engine not in ENGINES})]
+    if problems:
         raise ValueError(f"rules that can't be run: {problems}")
-    return out
+    return [r for r in out if engine in (None, r.engine)]
 
 
 def coverage_gaps(requirements: DataFrame) -> DataFrame:
