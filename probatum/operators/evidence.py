@@ -66,19 +66,39 @@ def split_revalidations(log: DataFrame, *key: str) -> DataFrame:
     return log.join(first, list(key)).withColumn("tipo", F.when(F.col("n") == F.col("primero"), "observacion").otherwise("revalidacion")).drop("primero")
 
 
-def chain_breaks(log: DataFrame, tenant: str) -> DataFrame:
-    """Adds rota: n not consecutive, previo not the seal before, or a seal that isn't its line's hash; and tainted.
+#: Lines of a log that one task checks in order.
+RUN = 8_192
 
-    Sealing is sequential within a tenant's log, checking isn't: one ordered pass for each tenant.
+
+def chain_breaks(log: DataFrame, tenant: str, run: int = RUN, genesis: str = "genesis") -> DataFrame:
+    """Adds rota: n not consecutive, previo not the seal before, or a seal that isn't its line's hash; tachada: it or a line before it is; and debido, its due n.
+
+    Logs are checked in runs of so many n, side by side: a run's first line meets the last of the run before, of which there is one row a
+    run. What is ordered by a log as a whole are these rows, not its lines, so a long log is no task of its own. Lines of equal n are
+    told apart by their seals; lines without n come first, and are breaks.
     """
-    w = Window.partitionBy(tenant).orderBy("n")
-    before, n_before = F.lag("sello").over(w), F.lag("n").over(w)
-    place = F.col("n") != F.coalesce(n_before + 1, F.lit(1))
+    rows = log.withColumn("_tramo", F.coalesce(F.floor(F.col("n") / run), F.lit(-1)).cast("long"))
+    runs, order = Window.partitionBy(tenant, "_tramo"), Window.partitionBy(tenant).orderBy("_tramo")
+
+    def by_run(df: DataFrame, *made: Column) -> DataFrame:
+        """Adds made, computed over runs, to every line of a run."""
+        few = made[0].select(F.col(tenant).alias("_de"), F.col("_tramo").alias("_en"), *made[1:])
+        return df.join(few, F.col(tenant).eqNullSafe(F.col("_de")) & (F.col("_tramo") == F.col("_en"))).drop("_de", "_en")
+
+    ends = rows.groupBy(tenant, "_tramo").agg(F.max(F.struct("n", "sello")).alias("_fin"))
+    placed = by_run(rows, ends, F.lag("_fin").over(order).alias("_fin"))
+    line = runs.orderBy("n", "sello")
+    first = F.row_number().over(line) == 1
+    before, n_before = F.when(first, F.col("_fin.sello")).otherwise(F.lag("sello").over(line)), F.when(first, F.col("_fin.n")).otherwise(F.lag("n").over(line))
+    due, start = F.coalesce(n_before + 1, F.lit(1)), first & F.col("_fin").isNull()
     # A line without a seal or a predecessor proves nothing: it is a break, not an unknown.
-    follows = F.col("previo").isNotNull() & F.col("previo").eqNullSafe(F.when(F.row_number().over(w) == 1, "genesis").otherwise(before))
-    broken = F.coalesce(place, F.lit(True)) | ~follows | F.coalesce(F.col("sello") != F.col("sello_debido"), F.lit(True))
-    marked = log.withColumn("rota", broken)
-    return marked.withColumn("tachada", F.max(F.col("rota").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    follows = F.col("previo").isNotNull() & F.col("previo").eqNullSafe(F.when(start, genesis).otherwise(before))
+    broken = F.coalesce(F.col("n") != due, F.lit(True)) | ~follows | F.coalesce(F.col("sello") != F.col("sello_debido"), F.lit(True))
+    marked = placed.withColumn("rota", broken).withColumn("debido", due.cast("long"))
+    marked = marked.withColumn("_aqui", F.max(F.col("rota").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    earlier = F.max("_rota").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    tainted = by_run(marked, marked.groupBy(tenant, "_tramo").agg(F.bool_or("rota").alias("_rota")), F.coalesce(earlier, F.lit(False)).alias("_ya"))
+    return tainted.withColumn("tachada", F.col("_aqui") | F.col("_ya")).drop("_tramo", "_fin", "_aqui", "_ya")
 
 
 def sufficiency(states: DataFrame, by: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probatum.operators.evidence import chain_breaks
+
 GENESIS = "genesis"
 #: Why a line that was moved proves nothing about its past.
 UNPROVEN = ("migrada_sin_cadena", "migrada_desde_cadena_rota")
@@ -53,15 +55,15 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def first_breaks(lines: DataFrame, genesis: str = GENESIS) -> DataFrame:
-    """(log, rotura) of each log: the least n at which its chain breaks, null if none does.
+    """(log, rotura) of each log: the place of the first line at which its chain breaks, null if none does.
 
     A log without any seal has no break: it never had a chain, which isn't the same as having been altered.
     """
-    w = Window.partitionBy("log").orderBy("n")
-    before = F.lag("sello").over(w)
-    wrong = F.col("n").isNull() | (F.col("n") != F.row_number().over(w)) | F.coalesce(F.col("previo") != F.coalesce(before, F.lit(genesis)), F.lit(True)) | F.coalesce(F.col("sello") != F.col("sello_debido"), F.lit(True))
-    marked = parsed(lines).withColumn("place", F.row_number().over(w).cast("long")).withColumn("wrong", wrong)
-    return marked.groupBy("log").agg(F.when(F.count("sello") > 0, F.min(F.when(F.col("wrong"), F.col("place")))).alias("rotura"))
+    marked = chain_breaks(parsed(lines), "log", genesis=genesis)
+    place = F.min_by("debido", F.struct("n", "sello"))
+    broken = marked.where("rota").groupBy("log").agg(place.alias("rotura"))
+    sealed = lines.groupBy("log").agg(F.count(F.get_json_object("line", "$.sello")).alias("sellos"))
+    return sealed.join(broken, "log", "left").select("log", F.when(F.col("sellos") > 0, F.col("rotura")).alias("rotura"))
 
 
 def _resealed(genesis: str):
