@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import merkle_leaf
+from .text import merkle_leaf, merkle_node
 
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 RUN = 1024
@@ -43,6 +43,13 @@ def folded(nodes: DataFrame) -> DataFrame:
     return runs.select("i", F.pandas_udf(_fold, "string")(F.col("hs")).alias("h"))
 
 
+def above(nodes: DataFrame) -> DataFrame:
+    """(i, h) of the level above nodes (i, h), in expressions only."""
+    side = lambda k: F.max(F.when(F.col("i") % 2 == k, F.col("h")))
+    pairs = nodes.groupBy(F.expr("i div 2").alias("i")).agg(side(0).alias("l"), side(1).alias("r"))
+    return pairs.select("i", F.when(F.col("r").isNull(), F.col("l")).otherwise(merkle_node(F.col("l"), F.col("r"))).alias("h"))
+
+
 def root(rows: DataFrame, index: str, data: str) -> str:
     now, n = leaves(rows, index, data), rows.count()
     while n > 1:

@@ -117,6 +117,38 @@ def zero_filled(counted: DataFrame, column: str, values: Sequence[str], *by: str
     return wide.select(*by, F.inline(pairs))
 
 
+def counted_levels(rows: DataFrame, column: str, values: Sequence[str], *levels: Sequence[str]) -> DataFrame:
+    """(the levels' columns, nivel, column, n): counts of every value of a closed vocabulary at several levels, from one pass.
+
+    A level is a list of columns, () the whole; nivel names its columns. Values that don't occur count 0, so levels can be compared; a null in a
+    level's column is a group of its own, told from a column that the level doesn't have by nivel. An empty table gives no rows.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    named = F.create_map(*[x for level in levels for x in (F.lit(sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in level)).cast("long"), F.lit("+".join(level) or "total"))])
+    wide = rows.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(c) for c in columns]).agg(F.grouping_id().cast("long").alias("_id"), *[F.count_if(F.col(column) == v).alias(f"_{i}") for i, v in enumerate(values)])
+    pairs = F.array(*[F.struct(F.lit(v).alias(column), F.col(f"_{i}").alias("n")) for i, v in enumerate(values)])
+    return wide.select(*columns, named[F.col("_id")].alias("nivel"), F.inline(pairs))
+
+
+#: Hexadecimal digits of a path's hash by which a tree's files are dealt, level by level.
+DEPTHS = (4, 2, 0)
+
+
+def tree_digest(files: DataFrame, *by: str) -> DataFrame:
+    """(by, sujeto_digest, ficheros, ilegibles): a digest of a tree of any size; it moves with names, with contents, and with what can't be read.
+
+    files: by, path, text, error. Files are dealt into ranges of their path's hash; a range's digest is that of its files in order, a wider
+    range's that of its ranges. No row holds more than a range: 1/65536 of a tree's files, then 256 digests.
+    """
+    body = F.when(F.col("error").isNotNull(), F.concat(F.lit("(ilegible) "), "error")).when(F.col("text").isNull(), "(no leido)").otherwise(F.sha2("text", 256))
+    now = files.select(*by, F.sha2("path", 256).alias("at"), F.concat("path", F.lit(":"), body).alias("d"), F.lit(1).cast("long").alias("ficheros"), F.col("error").isNotNull().cast("long").alias("ilegibles"))
+    for depth in DEPTHS:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "\n")
+        now = now.groupBy(*by, F.substring("at", 1, depth).alias("to")).agg(F.sha2(joined, 256).alias("d"), F.sum("ficheros").alias("ficheros"), F.sum("ilegibles").alias("ilegibles"))
+        now = now.select(*by, F.col("to").alias("at"), F.concat("to", F.lit(":"), "d").alias("d"), "ficheros", "ilegibles")
+    return now.select(*by, F.substr("d", F.lit(2)).alias("sujeto_digest"), "ficheros", "ilegibles")
+
+
 def subject_digest(files: DataFrame, *by: str) -> DataFrame:
     """A digest over the ordered (path, digest of text) of each subject: moves with content, not with order."""
     one = files.select(*by, "path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))

@@ -41,3 +41,41 @@ def translate(tickets: DataFrame) -> DataFrame:
     t = tickets.withColumn("read", meaning(F.col("system"), F.col("external")))
     t = t.withColumn("verdict", movement(*[F.col(c) for c in ("current", "read", "actor", "when", "role")]))
     return t.withColumn("after", F.when(F.col("verdict") == "mueve", F.col("read")).otherwise(F.col("current")))
+
+
+PROFILE, COLUMN = "system string, ruta_estado string, ruta_actor string, ruta_cuando string", "system string, external string, estado string"
+
+
+def json_path(dotted: Column) -> Column:
+    """A path of names and places with dots as a JSON path: fields.list.0.name becomes $.fields.list[0].name."""
+    steps = F.transform(F.filter(F.split(dotted, r"\."), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("."), x)))
+    return F.concat(F.lit("$"), F.array_join(steps, ""))
+
+
+def answers(responses: DataFrame, profiles: DataFrame) -> DataFrame:
+    """responses (system, respuesta: JSON) with external, actor and when, read by the paths of the system's profile.
+
+    A profile is a row, so a new system needs no code. What a path doesn't lead to is null, and so is all of a response that isn't JSON, or
+    of a system without a profile.
+    """
+    rows = responses.join(profiles.withColumnRenamed("system", "_s"), F.col("system") == F.col("_s"), "left")
+    body = F.try_parse_json("respuesta")
+    at = lambda path: F.when(F.col(path).isNotNull(), F.try_variant_get(body, F.coalesce(json_path(F.col(path)), F.lit("$")), "string"))
+    return rows.select(*responses.columns, at("ruta_estado").alias("external"), at("ruta_actor").alias("actor"), at("ruta_cuando").alias("when"))
+
+
+def translate_by(tickets: DataFrame, columns: DataFrame) -> DataFrame:
+    """translate() with meanings from a table (COLUMN) instead of the built-in ones."""
+    known = columns.select(F.col("system").alias("_s"), F.lower(F.trim("external")).alias("_x"), F.col("estado").alias("read")).dropDuplicates(["_s", "_x"])
+    t = tickets.join(known, (F.col("system") == F.col("_s")) & (F.lower(F.trim("external")) == F.col("_x")), "left").drop("_s", "_x")
+    t = t.withColumn("verdict", movement(*[F.col(c) for c in ("current", "read", "actor", "when", "role")]))
+    return t.withColumn("after", F.when(F.col("verdict") == "mueve", F.col("read")).otherwise(F.col("current")))
+
+
+def request_body(template: Column, values: dict[str, Column]) -> Column:
+    """A JSON template with {name} in any of its texts replaced; values are escaped, so that none can end a text or add a field."""
+    out = template
+    for name, value in values.items():
+        text = F.to_json(F.struct(F.coalesce(value.cast("string"), F.lit("")).alias("v")))
+        out = F.replace(out, F.lit("{" + name + "}"), F.substr(text, F.lit(7), F.length(text) - 8))
+    return out

@@ -62,11 +62,13 @@ def bound_decisions(spark, sf_dir):
     return dossier.bound(decisions, c).select("decision_id", "sigue_atada")
 
 
-@query("SELECT doc_id, regexp_full_match(t, '[a-z0-9][a-z0-9-]{1,38}[a-z0-9]') AS cliente, regexp_full_match(t, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') AS identificador, regexp_full_match(sha1(t), '[0-9a-f]{40}') AS confirmacion FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 1 + (doc_id % 9)::INT) AS t FROM documents)")
+@query(r"""SELECT doc_id, count(*) FILTER (WHERE regexp_full_match(w, '[a-z0-9][a-z0-9-]{1,38}[a-z0-9]')) AS clientes, count(*) FILTER (WHERE regexp_full_match(w, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}')) AS identificadores, count(*) FILTER (WHERE regexp_full_match(CASE WHEN length(w) % 2 = 0 THEN sha1(w) ELSE w END, '[0-9a-f]{40}')) AS confirmaciones
+    FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id""")
 def validators(spark, sf_dir):
-    t = F.substring(F.coalesce("text", F.lit("")), F.lit(1), (1 + F.col("doc_id") % 9).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
-    return d.select("doc_id", access.is_tenant(F.col("t")).alias("cliente"), access.is_identifier(F.col("t")).alias("identificador"), access.is_commit(F.sha1(F.col("t").cast("binary"))).alias("confirmacion"))
+    """Every word of every text; words of even length are hashed, so that some are commits."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("w"))
+    commit = F.when(F.length("w") % 2 == 0, F.sha1(F.col("w").cast("binary"))).otherwise(F.col("w"))
+    return w.groupBy("doc_id").agg(F.count_if(access.is_tenant(F.col("w"))).alias("clientes"), F.count_if(access.is_identifier(F.col("w"))).alias("identificadores"), F.count_if(access.is_commit(commit)).alias("confirmaciones"))
 
 
 @query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")

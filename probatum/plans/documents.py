@@ -133,7 +133,10 @@ def agent_tools(spark, sf_dir):
     return agents.tools(rows).select("name", "effect", F.size(F.split("places", ", ")).cast("long").alias("sitios"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id AS n, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    b AS (SELECT key, n, ts, k, us AS last, true AS allowed, 2.0::DOUBLE AS tokens FROM e WHERE k = 1
+        UNION ALL SELECT key, n, ts, k, last, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END FROM (SELECT e.key, e.n, e.ts, e.k, greatest(e.us, b.last) AS last, CASE WHEN e.us > b.last THEN least(3.0::DOUBLE, b.tokens + (e.us - b.last) * (2::DOUBLE / 1440) / 60e6::DOUBLE) ELSE b.tokens END AS t FROM b JOIN e ON e.key = b.key AND e.k = b.k + 1))
+    SELECT key, n, ts, allowed FROM b""")
 def token_bucket(spark, sf_dir):
     """Two requests a day with bursts of three, so that some are refused; each depends on the one before."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probatum.functions import merkle
 from probatum.functions import text as tx
 from probatum.operators import access, catalogue, dossier
 from probatum.plans.queries import query, table
@@ -129,9 +130,7 @@ def failed_retention(spark, sf_dir):
     SELECT i // 2 AS i, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256('\\x01'::BLOB || unhex(max(h) FILTER (WHERE i % 2 = 0)) || unhex(max(h) FILTER (WHERE i % 2 = 1))) END AS h FROM l GROUP BY i // 2""")
 def merkle_level1(spark, sf_dir):
     """The level above the leaves; vec_id is dense from 0, as an index must be."""
-    leaves = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), tx.merkle_leaf(F.col("vec_id").cast("string")).alias("h"))
-    pairs = leaves.groupBy(F.expr("i div 2").alias("i")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("h"))).alias("r"))
-    return pairs.select("i", F.when(F.col("r").isNull(), F.col("l")).otherwise(tx.merkle_node(F.col("l"), F.col("r"))).alias("h"))
+    return merkle.above(merkle.leaves(table(spark, sf_dir, "embeddings").withColumn("d", F.col("vec_id").cast("string")), "vec_id", "d"))
 
 
 @query("SELECT 'kit.m' || (p_partkey % 12) AS dotted, count(*) AS sitios, min(p_partkey) AS primero FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL")

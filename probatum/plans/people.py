@@ -321,7 +321,7 @@ def plan_reader_filters(spark, sf_dir):
 
 # --- controls ------------------------------------------------------------------------------------------
 
-_X = "(SELECT user_id % 60 AS repo, event_id AS i, ['tool', 'limit', 'delegation', 'server', 'framework', 'nada'][(CASE WHEN user_id % 60 % 6 = 5 THEN 4 WHEN user_id % 60 % 6 = 4 THEN 5 WHEN event_id % 11 = 0 THEN 1 WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 3 ELSE 0 END + 1)::INT] AS kind FROM events WHERE event_id % 17 = 0)"
+_X = "(SELECT user_id % 60 AS repo, event_id AS i, ['tool', 'limit', 'delegation', 'server', 'framework', 'nada'][(CASE WHEN user_id % 60 % 6 = 5 THEN 4 WHEN user_id % 60 % 6 = 4 THEN 5 WHEN event_id % 11 = 0 THEN 1 WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 3 ELSE 0 END + 1)::INT] AS kind FROM events)"
 _XR = f"""(SELECT repo, i, kind, CASE kind WHEN 'limit' THEN CASE WHEN repo % 4 = 0 THEN 'pasos' ELSE 'gasto' END WHEN 'server' THEN 's' || (i % 3) WHEN 'tool' THEN 's' || (i % 2) || '.t' || (i % 40) ELSE 'x' || (i % 4) END AS name, CASE WHEN kind = 'tool' AND i % 2 = 0 THEN 'mcp' ELSE 'lista' END AS origin, 'f' || (i % 9) || '.py' AS path, i % 30 AS line, kind = 'tool' AND i % 3 = 0 AS noted FROM {_X} WHERE kind <> 'nada')"""
 _XP = "CASE WHEN line > 0 THEN path || ':' || line ELSE path END"
 _XT = f"(SELECT repo, name, arg_min(origin, (NOT noted, {_XP}, origin)) AS origin, bool_or(noted) AS declared, string_agg(DISTINCT {_XP}, ', ' ORDER BY {_XP}) AS places FROM {_XR} WHERE kind = 'tool' GROUP BY repo, name)"
@@ -335,7 +335,7 @@ _XF = f"""(WITH r AS (SELECT repo, bool_or(kind IN ('tool', 'delegation', 'serve
 def _structure(spark, sf_dir):
     i, r = F.col("event_id"), F.col("user_id") % 60
     kind = F.when(r % 6 == 5, "framework").when(r % 6 == 4, "nada").when(i % 11 == 0, "limit").when(i % 7 == 0, "delegation").when(i % 5 == 0, "server").otherwise("tool")
-    rows = table(spark, sf_dir, "events").where("event_id % 17 = 0").select(r.alias("repo"), i, kind.alias("kind")).where("kind <> 'nada'")
+    rows = table(spark, sf_dir, "events").select(r.alias("repo"), i, kind.alias("kind")).where("kind <> 'nada'")
     name = F.when(F.col("kind") == "limit", F.when(F.col("repo") % 4 == 0, "pasos").otherwise("gasto")).when(F.col("kind") == "server", F.concat(F.lit("s"), i % 3)).when(F.col("kind") == "tool", F.concat(F.lit("s"), i % 2, F.lit(".t"), i % 40)).otherwise(F.concat(F.lit("x"), i % 4))
     tool = F.col("kind") == "tool"
     notes = F.when(tool & (i % 3 == 0), F.array(F.lit("effect"))).otherwise(F.array().cast("array<string>"))

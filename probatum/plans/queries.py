@@ -230,10 +230,15 @@ def sufficiency(spark, sf_dir):
     return evidence.sufficiency(rows, "grupo")
 
 
-@query("SELECT nivel, dias::INT AS frescura_dias FROM (SELECT unnest(['maquina', 'generable', 'juzgada', 'organizativa']) AS nivel, unnest([30, 90, 180, 365]) AS dias)")
+@query("""WITH l AS (SELECT ['maquina', 'generable', 'juzgada', 'organizativa', 'otra'][(user_id % 5 + 1)::INT] AS nivel, ts FROM events), d AS (SELECT *, CASE nivel WHEN 'maquina' THEN 30 WHEN 'generable' THEN 90 WHEN 'juzgada' THEN 180 WHEN 'organizativa' THEN 365 END AS dias FROM l)
+    SELECT nivel, dias AS frescura_dias, count(*) AS registros, count(*) FILTER (WHERE ts + to_days(dias::INT) < TIMESTAMP '2024-02-20') AS rancios FROM d GROUP BY nivel, dias""")
 def freshness_by_level(spark, sf_dir):
-    levels = spark.createDataFrame([(k,) for k in evidence.FRESHNESS], "nivel string")
-    return levels.select("nivel", evidence.lookup(F.col("nivel"), evidence.FRESHNESS).alias("frescura_dias"))
+    """How many days each level's evidence lasts, and how much of it has expired; an unknown level never does."""
+    names = F.array(*[F.lit(x) for x in ("maquina", "generable", "juzgada", "organizativa", "otra")])
+    e = table(spark, sf_dir, "events").select(F.element_at(names, (F.col("user_id") % 5 + 1).cast("int")).alias("nivel"), "ts")
+    days = F.try_element_at(F.create_map(*[F.lit(x) for kv in evidence.FRESHNESS.items() for x in kv]), F.col("nivel"))
+    due = F.col("ts") + F.make_dt_interval(F.col("frescura_dias"))
+    return e.withColumn("frescura_dias", days).groupBy("nivel", "frescura_dias").agg(F.count("*").alias("registros"), F.count_if(due < F.lit("2024-02-20").cast("timestamp_ntz")).alias("rancios"))
 
 
 _CHAIN = """(SELECT user_id, n, sello_debido, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE sello_debido END AS sello, coalesce(CASE WHEN event_id % 89 = 0 THEN 'y' ELSE lag(CASE WHEN event_id % 97 = 0 THEN 'x' ELSE sello_debido END) OVER (PARTITION BY user_id ORDER BY n) END, 'genesis') AS previo
@@ -339,9 +344,10 @@ def strongest_signal(spark, sf_dir):
 # --- integrity, text, hashes ---------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT c_nationkey AS a FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT DISTINCT c_nationkey * 2 AS a FROM customer WHERE c_nationkey * 2 NOT IN (SELECT s_nationkey FROM supplier)")
 def dangling_refs(spark, sf_dir):
-    refs = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("a")).distinct()
+    """References of which some lead to no supplier's nation."""
+    refs = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 2).alias("a")).distinct()
     return graph.dangling(refs, "a", table(spark, sf_dir, "supplier"), "s_nationkey")
 
 

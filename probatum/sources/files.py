@@ -156,3 +156,22 @@ def unparsed(files: DataFrame) -> DataFrame:
     """(path, error) of Python files that don't parse: they count as unreadable."""
     facts = _with_facts(files)
     return facts.where("f.error is not null").select(*facts.columns[:-1], F.col("f.error").alias("error"))
+
+
+CALL = "line int, col int, dotted string"
+
+
+@F.udtf(returnType=CALL)
+class CallsOf:
+    """The calls of a Python source as rows: SELECT path, c.* FROM files, LATERAL calls_of(text) c. None where it doesn't parse.
+
+    A lateral join takes no UDTF of Arrow batches, so this one yields rows.
+    """
+
+    def eval(self, source: str):
+        yield from _facts(source)[0]
+
+
+def register(spark: SparkSession) -> None:
+    """Make calls_of known to SQL."""
+    spark.udtf.register("calls_of", CallsOf)
