@@ -40,9 +40,9 @@ def start_date():
 def resolve(profiles: DataFrame, obligations: DataFrame, as_of: str) -> DataFrame:
     """(perfil_id, obligacion_id, situacion, regla, desde) for each profile and obligation.
 
-    Obligations are a catalogue of fixed size; every pair has a verdict, so the product is the result.
+    Every pair has a verdict, so the product is the result; Spark broadcasts the obligations if they are small enough.
     """
-    pairs = profiles.crossJoin(F.broadcast(obligations))
+    pairs = profiles.crossJoin(obligations)
     cover, since, day = F.col("cubre"), F.col("fecha"), F.lit(as_of).cast("date")
     yes = lambda c: F.col(c).eqNullSafe(True)
     opened = yes("es_codigo_abierto") & ~F.col("obligacion_id").isin(*SURVIVE_OPEN_SOURCE) & F.col("es_alto_riesgo").eqNullSafe(False)
@@ -89,7 +89,7 @@ def decision_table(spark) -> DataFrame:
 def resolve_by_table(profiles: DataFrame, obligations: DataFrame, as_of: str) -> DataFrame:
     """What resolve() gives, from the decision table: a second formulation that has to agree with the first on every profile."""
     fields = F.create_map(*[x for a, fs in SCOPE_TABLE for x in (F.lit(a), F.array(*[F.col(f) for f in fs]).cast("array<boolean>"))])
-    rows = profiles.crossJoin(F.broadcast(obligations)).withColumn("needed", F.try_element_at(fields, F.col("alcance")))
+    rows = profiles.crossJoin(obligations).withColumn("needed", F.try_element_at(fields, F.col("alcance")))
     rows = rows.withColumn("cubre", F.when(~F.exists("needed", lambda x: x.isNull()), F.forall("needed", lambda x: x)))
     routes = F.coalesce(F.map_values("aplica_desde_por_via"), F.array().cast("array<date>"))
     high = F.coalesce("es_alto_riesgo", F.lit(False))
