@@ -15,8 +15,10 @@
    a step into blocks by hash, of so many sets and so many shingles. A pair of blocks of the same step or of neighbouring ones
    is one unit of work; sets of other steps can't link. So memory and the longest task follow the
    block and not the component, nor the length of its texts.
-4. In a unit, shingles get one global order (frequent in the unit first, then by hash) and the ordered sets
-   of one block form a prefix tree, whose unary chains are single edges. The sets of the other block walk
+4. Shingles have one order, the same in every unit: by how often their bucket of 2^16 occurs among all sets that are joined, most often
+   first, then by hash. Buckets are counted once, where the sets lie, and their ranks, a table of fixed size, travel with the
+   tasks. The ordered sets of one block form a prefix tree, whose unary chains are single edges; shingles that only one set
+   of a unit has match nothing and are left out of it, not of the sizes. The sets of the other block walk
    the tree all at once: a node holds the overlap of its path with each of them, shared by all sets below.
    A set leaves a subtree when overlap + what can still match, bounded by the lengths that remain on both
    sides, can't reach the threshold. What arrives at a leaf is a link, with its exact overlap.
@@ -48,6 +50,8 @@ RATIO = 1.25
 #: Classes with links (32 bytes each) that are broadcast.
 BROADCAST = 1_000_000
 FLUSH = 2_000_000
+#: Buckets of shingles whose counts give the order.
+BUCKET_BITS = 16
 #: Below a threshold of EXACT, parts would hold too few shingles to tell documents apart.
 EXACT = 0.85
 BANDS, ROWS = 64, 6
@@ -192,12 +196,13 @@ def _candidates(width: int, num: int, den: int, exact: bool):
     return run
 
 
-def _walk(tree: list[np.ndarray], length: np.ndarray, common: np.ndarray, shared: int, probe: list[np.ndarray], num: int, den: int):
-    """(place in tree, index in probe) of the links of some probes, which walk the tree together."""
+def _walk(tree: list[np.ndarray], size: np.ndarray, common: np.ndarray, shared: int, probe: list[np.ndarray], size_p: np.ndarray, num: int, den: int):
+    """(place in tree, index in probe) of the links of some probes, which walk the tree together; size: of whole sets."""
     member = np.zeros((shared + 1, len(probe)), np.int32)
     for j, r in enumerate(probe):
-        member[r[r < shared], j] = 1
-    size_p = np.array([len(r) for r in probe], np.int64)
+        member[r, j] = 1
+    length = np.array([len(t) for t in tree], np.int64)
+    matching = np.array([len(r) for r in probe], np.int64)
     passed = np.cumsum(member, 0, dtype=np.int32)  # of each probe, elements up to a rank
     found_t, found_p = [], []
     work = [(0, len(tree), 0, np.arange(len(probe)), np.zeros(len(probe), np.int64))]
@@ -205,13 +210,11 @@ def _walk(tree: list[np.ndarray], length: np.ndarray, common: np.ndarray, shared
         lo, hi, depth, alive, overlap = work.pop()
         deep = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(length[lo])
         path = tree[lo][depth:deep]
-        path = path[path < shared]
         if len(path):
             overlap = overlap + (member[path][:, alive].sum(0) if len(alive) < len(probe) else member[path].sum(0))
-        last = min(int(tree[lo][deep - 1]), shared) if deep else 0
-        left_p = size_p[alive] - (passed[last, alive] if deep else 0)
+        left_p = matching[alive] - (passed[int(tree[lo][deep - 1]), alive] if deep else 0)
         left_t = int(length[lo:hi].max()) - deep
-        least = int(length[lo:hi].min())
+        least = int(size[lo:hi].min())
         # overlap / (a + b - overlap) >= num / den
         fit = (num + den) * (overlap + np.minimum(left_p, left_t)) >= num * (least + size_p[alive])
         if not fit.all():
@@ -231,7 +234,16 @@ def _walk(tree: list[np.ndarray], length: np.ndarray, common: np.ndarray, shared
     return np.concatenate(found_t), np.concatenate(found_p)
 
 
-def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: int):
+def bucket(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def placed(token: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
+    """Indices that bring distinct shingles into the global order; ranks: of the buckets, all equal if None."""
+    return np.lexsort((token, ranks[bucket(token)])) if ranks is not None else np.argsort(token, kind="stable")
+
+
+def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: int, ranks: np.ndarray | None = None):
     """(index in sets, index in probes) of all pairs whose exact Jaccard similarity is at least num/den.
 
     Overlaps are counted along the paths of a prefix tree over sets; see the module's text.
@@ -240,18 +252,18 @@ def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: i
     if not len(sets) or not len(probes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     token, inverse, df = np.unique(everything, return_inverse=True, return_counts=True)
-    order = np.lexsort((token, -df))
-    rank = np.empty(len(token), np.int64)
-    rank[order] = np.arange(len(token))
-    ranks, cuts = rank[inverse], np.cumsum([len(s) for s in sets] + [len(p) for p in probes])
-    split = np.split(ranks, cuts[:-1])
-    tree = [np.sort(r) for r in split[: len(sets)]]
-    probe = split[len(sets) :]
-    shared = int((df > 1).sum())  # ranks beyond are in one set only and never match
+    order = placed(token, ranks)
+    order = order[df[order] > 1]  # what one set alone has never matches
+    shared = len(order)
+    rank = np.full(len(token), shared, np.int64)
+    rank[order] = np.arange(shared)
+    every, cuts = rank[inverse], np.cumsum([len(s) for s in sets] + [len(p) for p in probes])
+    split = [np.sort(r[r < shared]) for r in np.split(every, cuts[:-1])]
+    tree, probe = split[: len(sets)], split[len(sets) :]
     keys = [r.astype(">u4").tobytes() for r in tree]
     order = np.array(sorted(range(len(tree)), key=keys.__getitem__), np.int64)
     tree = [tree[i] for i in order]
-    length = np.array([len(t) for t in tree], np.int64)
+    size, size_p = np.array([len(sets[i]) for i in order], np.int64), np.array([len(p) for p in probes], np.int64)
     common = [0] * len(tree)
     for k in range(1, len(tree)):
         n = min(len(tree[k - 1]), len(tree[k]))
@@ -261,7 +273,7 @@ def tree_join(sets: list[np.ndarray], probes: list[np.ndarray], num: int, den: i
     found_t, found_p = [], []
     step = max(1, CELLS // (shared + 1))
     for begin in range(0, len(probe), step):
-        t, p = _walk(tree, length, common, shared, probe[begin : begin + step], num, den)
+        t, p = _walk(tree, size, common, shared, probe[begin : begin + step], size_p[begin : begin + step], num, den)
         found_t.append(order[t])
         found_p.append(p + begin)
     return np.concatenate(found_t), np.concatenate(found_p)
@@ -281,7 +293,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _join_units(num: int, den: int):
+def _join_units(num: int, den: int, ranks: np.ndarray):
     """Rows sorted by unit -> (d1, d2, root, links) of each class with links in the unit; root: d1 of a class it reaches."""
 
     def solve(rows):
@@ -290,7 +302,7 @@ def _join_units(num: int, den: int):
         sets = [np.frombuffer(r["body"], np.uint64) for r in rows]
         left = np.array([i for i, r in enumerate(rows) if r["block"] == bi], np.int64)
         right = left if bi == bj else np.array([i for i, r in enumerate(rows) if r["block"] == bj], np.int64)
-        t, p = tree_join([sets[i] for i in left], [sets[i] for i in right], num, den)
+        t, p = tree_join([sets[i] for i in left], [sets[i] for i in right], num, den, ranks)
         a, b = left[t], right[p]
         a, b = a[a != b], b[a != b]
         if bi != bj:
@@ -342,6 +354,26 @@ def _bodies(width: int):
     return run
 
 
+def _occurrences(batches):
+    """(bucket, n) of a task's sets."""
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    for batch in batches:
+        for body in batch.column("body"):
+            n += np.bincount(bucket(np.frombuffer(body.as_py(), np.uint64)), minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+
+def bucket_ranks(bodies: DataFrame) -> np.ndarray:
+    """The rank of each bucket of shingles, most frequent first, of equal ones the lower: the same for every unit."""
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    for r in bodies.select("body").mapInArrow(_occurrences, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket
+        n[r.bucket] = r.n
+    ranks = np.empty(len(n), np.int32)
+    ranks[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=np.int32)
+    return ranks
+
+
 def _members(classes: DataFrame, comps: DataFrame, num: int, den: int, block: int, shingles: int) -> DataFrame:
     """Classes with their component, block, and the first and last block that they have to meet."""
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num) * (1 + 1e-6))) if num < den else F.col("n_shingles")
@@ -375,9 +407,11 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int, block: int, shingl
     # Members grow with the documents: a plan that broadcasts them while they are few would change with size.
     bodies = members.hint("merge").join(slim.withColumnsRenamed({"doc_id": "rep", "h": "rep_h"}), ["rep", "rep_h"])
     bodies = bodies.select("comp", "low", "high", "block", "copies", "d1", "d2", "text").mapInArrow(_bodies(width), "comp long, low long, high long, block long, copies long, d1 long, d2 long, body binary")
+    bodies = cut(bodies, "bodies")
+    ranks = bucket_ranks(bodies)
     units = bodies.withColumn("x", F.explode(F.sequence("low", "high"))).select("comp", F.least("block", "x").alias("bi"), F.greatest("block", "x").alias("bj"), "block", "copies", "d1", "d2", "body")
     units = units.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    links = cut(units.mapInArrow(_join_units(num, den), "d1 long, d2 long, root long, links long"), "links")
+    links = cut(units.mapInArrow(_join_units(num, den, ranks), "d1 long, d2 long, root long, links long"), "links")
 
     labels = connected_components(links.select(F.col("d1").alias("a"), F.col("root").alias("b")).where("a <> b")).select(F.col("node").alias("d1"), "label")
     linked = classes.join(links.groupBy("d1", "d2").agg(F.sum("links").alias("links")), ["d1", "d2"], "left").join(labels, "d1", "left")

@@ -451,11 +451,28 @@ def test_tree_join_equals_brute_force(monkeypatch, cells):
         base = [rnd.sample(range(40), rnd.randint(5, 25)) for _ in range(4)]
         sets = [np.unique([x if rnd.random() > 0.07 else rnd.randrange(60) for x in rnd.choice(base)]).astype(np.uint64) for _ in range(rnd.randint(1, 25))]
         half = len(sets) // 2
-        t, p = prefix_tree_join.tree_join(sets[:half], sets[half:], 80, 100)
+        ranks = rnd.choice([None, np.array([rnd.randrange(9) for _ in range(1 << prefix_tree_join.BUCKET_BITS)])]) if cells == 100 else None
+        t, p = prefix_tree_join.tree_join(sets[:half], sets[half:], 80, 100, ranks)
         want = {(i, j) for i, a in enumerate(sets[:half]) for j, b in enumerate(sets[half:]) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
         assert set(zip(t.tolist(), p.tolist(), strict=True)) == want
 
 
+def test_order_of_shingles_is_global(spark):
+    """Two shingles stand in one order wherever both occur, the more frequent bucket first, also where a unit's own counts say otherwise."""
+    rnd = np.random.default_rng(6)
+    often, rare = rnd.integers(0, 2**63, 30, dtype=np.uint64), rnd.integers(0, 2**63, 3000, dtype=np.uint64)
+    bodies = [np.concatenate([often, rare[i * 30 : (i + 1) * 30]]) for i in range(100)]
+    ranks = prefix_tree_join.bucket_ranks(spark.createDataFrame([(bytearray(np.sort(b).tobytes()),) for b in bodies], "body binary").repartition(3))
+    whole = np.unique(np.concatenate(bodies))
+    whole = whole[prefix_tree_join.placed(whole, ranks)]
+    at = {x: i for i, x in enumerate(whole.tolist())}
+    assert max(at[x] for x in often.tolist()) < 60  # a rare one may share a frequent one's bucket
+    for _ in range(20):
+        unit = np.unique(rnd.choice(whole, 200))
+        got = [at[x] for x in unit[prefix_tree_join.placed(unit, ranks)].tolist()]
+        assert got == sorted(got)
+
+
 @pytest.mark.parametrize(("width", "num", "shingles", "candidates"), [(3, 90, 1 << 22, "auto"), (3, 90, 200, "auto"), (5, 80, 1 << 22, "auto"), (5, 80, 1 << 22, "parts"), (3, 60, 200, "parts")])
 def test_similarity_groups_equal_brute_force(docs, width, num, shingles, candidates):
     sets = {}
