@@ -517,7 +517,8 @@ def extend(text: DataFrame, m: Model, order: int) -> Model:
             out[(keys >> np.uint64(2)).astype(np.int64) - low[key[0]], (keys & np.uint64(3)).astype(np.int64)] = counts
             more = (out[:, 0] > 7) | (out[:, 1] > 3) | (out[:, 2] > 0)
             _put(folder, f"more{k}-{key[0]}", np.flatnonzero(more) + low[key[0]])
-            _put(folder, f"rows{k}-{key[0]}", out[more])
+            rows = out[more]
+            _put(folder, f"rows{k}-{key[0]}", rows.astype(np.uint32) if rows.max(initial=0) < 1 << 32 else rows)
             codes = np.where(more, np.uint64(MORE), out[:, 0] | out[:, 1] << np.uint64(3)).astype(np.uint8)
             return pd.DataFrame([("sums", key[0], codes.tobytes())], columns=["name", "part", "body"])
 
@@ -542,6 +543,7 @@ class Chain:
         self.levels = {k: Level(m.files, k, b) for k, (b, _) in enumerate(m.levels, 2)}
         self.sums = {k: m.files.map(f"sums{k}", np.uint8) for k in self.levels}
         self.maps = Maps(m.files)
+        self.wide: dict[str, type] = {}
 
     def begun(self, k: int, contexts: np.ndarray) -> np.ndarray:
         """How many n-grams of count 1, 2, 3 and more contexts begin, and the sum of their counts."""
@@ -551,7 +553,11 @@ class Chain:
         of = contexts[more] * self.low.m.shards // max(len(self.sums[k]), 1)
         for t, held in _by_shard(of):
             at = more[held]
-            out[at] = self.maps.get(f"rows{k}-{t}", np.uint64).reshape(-1, 4)[np.searchsorted(self.maps.get(f"more{k}-{t}", np.int64), contexts[at])]
+            listed = self.maps.get(f"more{k}-{t}", np.int64)
+            name = f"rows{k}-{t}"
+            if name not in self.wide:  # four sums for each listed context, of 32 bits unless one needs 64
+                self.wide[name] = np.uint64 if os.path.getsize(self.low.m.files.at(name)) == 32 * len(listed) else np.uint32
+            out[at] = self.maps.get(name, self.wide[name]).reshape(-1, 4)[np.searchsorted(listed, contexts[at])]
         return out
 
     def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
