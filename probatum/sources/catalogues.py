@@ -15,6 +15,18 @@ LANGUAGES = ("es", "en")
 LEVELS = ("maquina", "generable", "juzgada", "organizativa")
 BOTH = "struct<es: string, en: string>"
 OBLIGATION = f"id string, articulo string, titulo {BOTH}, nivel string, roles array<string>, alcance string, aplica_desde string, aplica_desde_por_via map<string, string>, comprueba array<string>"
+CONTROL = f"id string, titulo {BOTH}, nivel string"
+CLAUSE = f"id string, clausula string, titulo {BOTH}, nivel string, exige_informacion_documentada boolean, produce string, depende_de array<string>, formulario string, alimenta array<string>, periodicidad string, vigencia_dias int"
+PAIR = "aiact string, iso42001 string"
+REQUIREMENT = f"id string, articulo string, apartados array<string>, actores array<string>, nivel string, exige {BOTH}, cubierto_por array<string>, por_que_no_esta_cubierto string"
+#: Tables of a catalogue: (file, its list, its columns, what a row must have, texts in both languages), a fixed value.
+TABLES = {
+    "obligaciones": ("ai-act/obligaciones.json", "obligaciones", OBLIGATION, ("articulo", "nivel", "roles", "alcance", "aplica_desde"), ("titulo",)),
+    "requisitos": ("ai-act/requisitos.json", "requisitos", REQUIREMENT, ("articulo", "apartados", "actores", "nivel"), ("exige",)),
+    "controles": ("iso42001/anexo-a.json", "controles", CONTROL, ("nivel",), ("titulo",)),
+    "clausulas": ("iso42001/clausulas.json", "clausulas", CLAUSE, ("clausula", "nivel", "exige_informacion_documentada"), ("titulo",)),
+}
+CROSSWALK = "crosswalk.json"
 RULE = f"id string, tipo string, version string, severidad string, patrones array<string>, solo_en string, firmas array<string>, pareja array<string>, requiere_import array<string>, ambito string, solo_si_hay_fichero boolean, pregunta {BOTH}, que_busca {BOTH}, remediacion {BOTH}"
 
 
@@ -101,6 +113,30 @@ def coverage_gaps(requirements: DataFrame) -> DataFrame:
     return requirements.where(F.coalesce(F.size("cubierto_por"), F.lit(0)) <= 0)
 
 
+def load_catalogue(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The catalogue's tables by name, and its crosswalk as pares; clauses without a period hold for a year, controls get their group."""
+    out = {name: load(spark, f"{root.rstrip('/')}/{path}", listed, columns) for name, (path, listed, columns, _, _) in TABLES.items()}
+    out["controles"] = out["controles"].withColumn("grupo", F.substring_index("id", ".", 2))
+    out["clausulas"] = out["clausulas"].withColumn("vigencia_dias", F.coalesce("vigencia_dias", F.lit(365))).withColumn("periodicidad", F.coalesce("periodicidad", F.lit("continua")))
+    out["pares"] = load(spark, f"{root.rstrip('/')}/{CROSSWALK}", "pares", PAIR)
+    return out
+
+
+def catalogue_faults(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tabla, id, problema) of all tables: those of faults(), requirements that nothing covers and that don't say why, pairs whose sides aren't there."""
+    found = [faults(tables[name], required, texts, {"nivel": LEVELS}).withColumn("tabla", F.lit(name)) for name, (_, _, _, required, texts) in TABLES.items()]
+    silent = coverage_gaps(tables["requisitos"]).where(F.trim(F.coalesce("por_que_no_esta_cubierto", F.lit(""))) == "")
+    found.append(silent.select("id", F.lit("sin_cubrir_y_sin_motivo").alias("problema"), F.lit("requisitos").alias("tabla")))
+    for side, name in (("aiact", "obligaciones"), ("iso42001", "controles")):
+        known = tables[name].select(F.col("id").alias(side)).distinct()
+        lost = tables["pares"].where(F.col(side).isNull()).unionByName(tables["pares"].where(F.col(side).isNotNull()).join(known, side, "left_anti"), allowMissingColumns=True)
+        found.append(lost.select(F.concat_ws("-", F.coalesce("aiact", F.lit("?")), F.coalesce("iso42001", F.lit("?"))).alias("id"), F.lit(side).alias("problema"), F.lit("pares").alias("tabla")))
+    fed = tables["clausulas"].select("id", F.explode("alimenta").alias("a"))
+    lost = fed.join(tables["clausulas"].select(F.col("id").alias("a")).distinct(), "a", "left_anti")
+    found.append(lost.select("id", F.lit("alimenta").alias("problema"), F.lit("clausulas").alias("tabla")))
+    return reduce(DataFrame.unionByName, found).select("tabla", "id", "problema")
+
+
 def unlabelled(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Values (valor) without an entry (valor, es, en) in both languages."""
     known = vocabulary.where("es is not null and en is not null").select("valor")
