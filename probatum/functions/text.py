@@ -84,6 +84,21 @@ def csp_sources(html: Column, tag: str) -> Column:
     return F.array_distinct(F.transform(blocks, lambda b: F.concat(F.lit("'sha256-"), F.base64(F.unhex(F.sha2(b, 256))), F.lit("'"))))
 
 
+def inline_hashes(html: Column, tag: str) -> Column:
+    """Hexadecimal digests of the contents of a bare tag's blocks, in order, also of repeated ones."""
+    return F.transform(F.regexp_extract_all(html, F.lit(f"<{tag}>([^<]*)</{tag}>"), F.lit(1)), lambda x: F.sha2(x, 256))
+
+
+def united(a: Column, b: Column) -> Column:
+    """The values of two arrays, each once, in order."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def lacking(a: Column, b: Column) -> Column:
+    """The values of an array that another doesn't have, each once, in order."""
+    return F.array_sort(F.array_except(a, b))
+
+
 def filled(template: Column, values: dict[str, Column]) -> Column:
     """A text with {name} replaced by values; a null value becomes nothing."""
     return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), F.coalesce(kv[1].cast("string"), F.lit(""))), values.items(), template)

@@ -64,6 +64,11 @@ def orders(nonconformities: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select("no_conformidad_id", title.alias("titulo"), F.when(known, F.col("c")).otherwise("").alias("cuerpo"), known.alias("de_regla"))
 
 
+def latest_order(orders_: DataFrame, key: str, order: str, column: str) -> DataFrame:
+    """(key, encargo, encargos): the last of a key's orders and how many there were, combined map-side."""
+    return orders_.groupBy(key).agg(F.max_by(column, order).alias("encargo"), F.count("*").alias("encargos"))
+
+
 def delegations(delegated: DataFrame, nonconformities: DataFrame, system: str) -> DataFrame:
     """delegated (no_conformidad_id, sistema) with destino: consultar, otro_sistema (asking here would give an answer nobody gave) or sin_nc."""
     there = nonconformities.select("no_conformidad_id").distinct().withColumn("hay", F.lit(True))

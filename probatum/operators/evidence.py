@@ -148,6 +148,11 @@ def records_of(log: DataFrame) -> DataFrame:
     return seen.withColumnRenamed("cuando", "observado_en")
 
 
+def retained(rows: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first rows in an order, at most so many: what a bounded register of failures keeps. That bound is the operator."""
+    return rows.orderBy(*order).limit(most)
+
+
 def log_counts(log: DataFrame) -> DataFrame:
     """One row: rows, records, distinct controls and subjects."""
     seen = F.col("tipo") == "observacion"

@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 ORDER = ("abierta", "en_analisis", "con_accion", "ejecutada", "verificada")
 
 
+def last_known(rows: DataFrame, key: str, order: tuple[str, ...], column: str, name: str) -> DataFrame:
+    """Adds the last value of a column that isn't null, up to each row, in a key's order: what a later row leaves out still holds."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.last(column, ignorenulls=True).over(w))
+
+
 def rank(state: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in ORDER]), state).cast("int")
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from probatum.operators import applicability, evidence, exports, ladders, rules, tickets
+from probatum.functions import text as tx
+from probatum.operators import applicability, evidence, exports, ladders, nonconformity, rules, tickets
 from probatum.plans.queries import FILES, LOG, RULES, _as_of, _profiles, _P_SQL, _states, _STATES, files, log, query, table
 from probatum.sources import agents, images
 from probatum.streaming.limits import throttle_batch
@@ -85,10 +86,8 @@ def latest_evidence_max_by(spark, sf_dir):
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ultimo FROM events")
 def last_nonnull_attribute(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("props")), ignorenulls=True).over(w).alias("ultimo"))
+    e = table(spark, sf_dir, "events").withColumn("dicho", F.when(F.col("event_type") == "click", F.col("props")))
+    return nonconformity.last_known(e, "user_id", ("ts", "event_id"), "dicho", "ultimo").select("event_id", "ultimo")
 
 
 @query("""WITH a AS (SELECT p_partkey, [p_partkey % 3, p_partkey % 5, p_partkey % 3] AS x, [p_partkey % 7, p_partkey % 5] AS y FROM part)
@@ -96,7 +95,7 @@ def last_nonnull_attribute(spark, sf_dir):
 def ordered_distinct_union_except(spark, sf_dir):
     k = F.col("p_partkey")
     x, y = F.array(k % 3, k % 5, k % 3), F.array(k % 7, k % 5)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.array_union(x, y)).alias("unidos"), F.array_sort(F.array_except(x, y)).alias("faltan"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.united(x, y).alias("unidos"), tx.lacking(x, y).alias("faltan"))
 
 
 @query(f"""SELECT 'R-SECRETO' AS rule_id, '{{"ruleId":"R-SECRETO","level":"error","message":{{"text":"retirar"}},"partialFingerprints":{{"evidencia/v1":"R-SECRETO:' || path || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || path || '"}}}}}}]}}' AS result

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probatum.functions import merkle
-from probatum.functions import text as tx
-from probatum.operators import access, catalogue, dossier
+from probatum.operators import access, catalogue, dossier, evidence
 from probatum.plans.queries import query, table
 from probatum.sources import files, logs, pushes
 
@@ -117,13 +116,13 @@ def webhook_paths(spark, sf_dir):
 
 @query("SELECT conv_id, arg_max(role, turn) AS encargo, count(*) AS encargos FROM conversations GROUP BY conv_id")
 def latest_delegation(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("encargo"), F.count("*").alias("encargos"))
+    return dossier.latest_order(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 256")
 def failed_retention(spark, sf_dir):
     """The last 256 failures are kept: that bound is the operator."""
-    return table(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(256).select("event_id", "user_id")
+    return evidence.retained(table(spark, sf_dir, "events").where("event_type = 'error'"), 256, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id")
 
 
 @query("""WITH l AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, sha256('\\x00'::BLOB || vec_id::VARCHAR::BLOB) AS h FROM embeddings)

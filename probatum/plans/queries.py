@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.functions import text as tx
-from probatum.operators import applicability, dossier, evidence, exports, graph, ladders, nonconformity, rules
+from probatum.operators import applicability, dossier, evidence, exports, graph, ladders, nonconformity, packs, rules
 from probatum.sources import pushes
 from probatum.streaming.pushes import decisions_batch
 
@@ -85,8 +85,9 @@ def rule_forbidden(spark, sf_dir):
 
 @query("SELECT min(url) FILTER (WHERE regexp_matches(url, '/fr/')) AS primero, count(*) FILTER (WHERE regexp_matches(url, '/fr/')) AS casan FROM pages")
 def rule_file_pattern(spark, sf_dir):
-    hit = F.col("url").rlike("/fr/")
-    return table(spark, sf_dir, "pages").agg(F.min(F.when(hit, F.col("url"))).alias("primero"), F.count_if(hit).alias("casan"))
+    none = F.lit(None).cast("string")
+    pages = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.col("url").alias("path"), none.alias("text"), none.alias("code"))
+    return packs.file_facts(pages, [rules.RuleSpec("R", "fichero", patterns=("/fr/",))]).select("primero", "casan")
 
 
 @query(f"SELECT path FROM {FILES} f WHERE regexp_matches(text, '@') AND NOT regexp_matches(text, '[0-9]{{12}}')")
@@ -97,8 +98,12 @@ def rule_call_without_pair(spark, sf_dir):
 
 @query(f"SELECT path FROM {FILES} f WHERE regexp_matches(text, '[0-9]{{4}}') AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND l.quality = 1)")
 def rule_requires_import(spark, sf_dir):
-    f = files(spark, sf_dir).where(F.col("text").rlike("[0-9]{4}"))
-    return f.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("path")
+    """Texts with four digits in a row stand for files that call what the rule looks for, good ones for files that import its library."""
+    f = files(spark, sf_dir).withColumn("repo", F.col("source"))
+    calls = f.where(F.col("text").rlike("[0-9]{4}")).select("repo", "path", F.lit("cliente.modelo.llama").alias("dotted"))
+    imports = f.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("repo", "path", F.lit("lib").alias("module"))
+    rule = rules.RuleSpec("R", "llamada", signatures=("modelo.llama", "llama"), requires_import=("lib",))
+    return packs.call_files(calls, imports, [rule]).select("path")
 
 
 @query("""WITH c AS (SELECT page_id AS path, split_part(url, '/', 3) AS dotted FROM pages),
@@ -417,8 +422,7 @@ def merkle_leaves(spark, sf_dir):
 
 @query("SELECT page_id, list_transform(regexp_extract_all(html, '<script>([^<]*)</script>', 1), lambda x: sha256(x)) AS resumenes FROM pages")
 def html_inline_hashes(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit("<script>([^<]*)</script>"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.transform(found, lambda x: F.sha2(x, 256)).alias("resumenes"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.inline_hashes(F.col("html"), "script").alias("resumenes"))
 
 
 @query("SELECT source AS raiz, count(*) AS modulos, count(*) FILTER (WHERE regexp_matches(text, '[0-9]+\\.[0-9]+')) AS fijadas FROM documents GROUP BY source")
