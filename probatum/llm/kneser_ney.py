@@ -321,9 +321,11 @@ class Scorer:
         v = self.m.v
         if not v:
             return np.full(len(hashes), 1, np.int64)
-        u, back = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, u), v - 1)
-        return np.where(self.words[at] == u, at, v + 1)[back]
+        codes, u = pd.factorize(hashes)  # by a hash table: words repeat so often that sorting them all costs more than looking them up
+        order = np.argsort(u)
+        at = np.empty(len(u), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.words, u[order]), v - 1)
+        return np.where(self.words[at] == u, at, v + 1)[codes]
 
     def unigram(self, ids: np.ndarray) -> np.ndarray:
         m = self.m
