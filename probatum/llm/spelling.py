@@ -10,6 +10,9 @@
 4. What meets is verified by the edit distance of characters. A word's form is its most frequent neighbour, if that is RATIO times as
    frequent; forms are followed to the last by doubling, in as many rounds as the length of the longest chain has binary digits.
 
+All joins are merges, said by hints: their sides grow with the words, and Spark takes a side for small by the files that it comes from,
+although each word gives up to 4 chunks and 20 grams; its driver would then have to hold them.
+
 Defined cases: a null text has no words; a null doc_id counts as the empty text before the colon; repeated rows count
 as often as they occur; a table without such words gives an empty result; further columns, whatever their names, are ignored.
 """
@@ -63,7 +66,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             grams.append(F.when((at >= 0) & (at <= size - q), _keys(w, n, which, at, q)).otherwise(F.array().cast("array<bigint>")))
     grams = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(F.array_distinct(F.concat(*grams))).alias("key"))
     shorter = F.length("a") < F.length("b")
-    met = chunks.join(grams, "key").where(shorter | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))))
+    met = chunks.join(grams.hint("merge"), "key").where(shorter | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -81,7 +84,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = cut(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("at"), F.col("root").alias("further"))
-        moved = cut(now.join(ahead, F.col("root") == F.col("at"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        moved = cut(now.join(ahead.hint("merge"), F.col("root") == F.col("at"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         now = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return now
@@ -92,5 +95,5 @@ def variants(docs: DataFrame, length: int = LEAST_LENGTH, count: int = LEAST_COU
     words = cut(words_of(docs, length, count), "words")
     found = cut(forms(words, near_pairs(words), ratio), "forms")
     ends = roots(found.where("form is not null").select("word", "form"))
-    out = words.join(found, "word", "left").join(ends, "word", "left")
+    out = words.join(found.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

@@ -203,3 +203,13 @@ def test_sums_stay_exact(monkeypatch):
     assert got.tolist() == [[10 * 27_000 * 999_999]]
     n = np.array([1, 10**9])
     assert dense_search.impacts(np.array([1, 3]), n, 10**11, 10**13).tolist() == [10**9 * t // (1000 * t + 8 * (10 + 90 * int(x) * 10**11 // 10**13)) for t, x in ((1, 1), (3, 10**9))]
+
+
+def test_spelling_broadcasts_nothing(spark, tmp_path):
+    """However small the files that words come from seem, what they give isn't sent to the driver."""
+    spark.createDataFrame([("common", 9), ("comman", 5), ("comxman", 5)], "word string, n long").write.parquet(f"{tmp_path}/w")
+    pairs = spelling.near_pairs(spark.read.parquet(f"{tmp_path}/w"))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [("comman", "common"), ("comman", "comxman")]
+    whole = spelling.variants(spark.createDataFrame([(1, "common " * 30 + "comman " * 5)], "doc_id long, text string"))
+    for x in (pairs, whole):
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
