@@ -2,19 +2,22 @@
 
 files: repo, path, text (null where it isn't read), code (null but for code), error. calls: repo, path, dotted. All extractors run in
 one pass over files: each file says what it holds as facts (repo, extractor, clave, orden, valor, path); facts are
-counted by value before anything is listed, so that a row holds a repository's distinct values and not its files.
+counted by value before anything is listed, so that a row holds a repository's distinct values and not its files. Of what a
+document shows only the first ones of, no more than these reach a repository's row; their numbers are counted before.
 A repository of which an extractor finds nothing gets the reason, never an empty content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probatum.functions.lineage import settled
+
 from .dossier import PINNED
 
 # What the extractors look for.
@@ -51,13 +54,21 @@ def _first(text: Column, pattern: str) -> Column:
 
 @dataclass(frozen=True)
 class Extractor:
-    """What a file says, what is made of it, how many sources are named, and what is said where there is nothing."""
+    """What a file says, what is made of it, how many sources are named, and what is said where there is nothing.
+
+    first: of which keys only so many values are kept, the first by path and order (where these are kept), then as BY says or by value.
+    The keys NUMBER + key and TIMES + key then tell how many different ones there were, and how often.
+    """
 
     name: str
     reads: Callable[[Column, Column, Column, Column], list[tuple[str, Column, Column]]]
     content: Callable[[Callable[[str], Column]], Column]
     reason: str
     sources: int | None = None
+    first: Mapping[str, int] = field(default_factory=dict)
+
+
+NUMBER, TIMES = "#", "*"
 
 
 def _one(at, key):
@@ -66,18 +77,18 @@ def _one(at, key):
 
 
 def _values(at, key, most: int | None = None):
-    listed = F.array_sort(F.array_distinct(F.transform(at(key), lambda x: x["valor"])))
+    listed = F.sort_array(F.array_distinct(F.transform(at(key), lambda x: x["valor"])))
     return F.slice(listed, 1, most) if most else listed
 
 
-def _times(at, key, keep=None):
-    items = F.filter(at(key), keep) if keep else at(key)
-    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+def _times(at, key):
+    return F.aggregate(at(key), F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
 
 def _by_path(at, key, most: int):
     """Values of the least path, in their order, the first ones."""
-    items = F.filter(at(key), lambda x: x["path"] == F.array_min(F.transform(at("fichero"), lambda y: y["path"])))
+    least = F.transform(F.array(F.array_min(F.transform(at("fichero"), lambda y: y["path"]))), lambda m: F.filter(at(key), lambda x: x["path"] == m))  # found once, not for each value
+    items = F.get(least, F.lit(0))
     return F.slice(F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["orden"], x["valor"]))), lambda x: x["valor"]), 1, most)
 
 
@@ -92,7 +103,9 @@ def _depends(path, text, code, ok):
     base = F.element_at(F.split(path, "/"), -1)
     lines = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda x: ~x.startswith("#")), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     listed, block = (base == "requirements.txt") & text.isNotNull(), (base == "pyproject.toml") & text.isNotNull()
-    return [("", F.array(path), listed | block), ("dependencia", lines, listed), ("dependencia", F.regexp_extract_all(F.regexp_extract(text, DEPENDENCY_BLOCK, 1), F.lit(QUOTED), F.lit(1)), block)]
+    named = F.regexp_extract_all(F.regexp_extract(text, DEPENDENCY_BLOCK, 1), F.lit(QUOTED), F.lit(1))
+    pinned = lambda xs: F.transform(F.filter(xs, lambda x: x.rlike(PINNED)), lambda x: F.lit("si"))
+    return [("", F.array(path), listed | block), ("dependencia", lines, listed), ("dependencia", named, block), ("fijada", pinned(lines), listed), ("fijada", pinned(named), block)]
 
 
 def _computes(path, text, code, ok):
@@ -121,9 +134,18 @@ def _folders(at):
     return F.map_from_entries(rows)
 
 
-def _patterns(at):
+def _pattern(value: Column) -> Column:
     order = F.array(*[F.lit(label) for label, _ in MEASURES])
-    rows = F.transform(at("patrones"), lambda x: F.struct(F.split_part(x["valor"], F.lit("\t"), F.lit(1)).alias("fichero"), F.array_position(order, F.split_part(x["valor"], F.lit("\t"), F.lit(2))).alias("o"), F.split_part(x["valor"], F.lit("\t"), F.lit(2)).alias("patron_observado")))
+    file, label = (F.split_part(value, F.lit("\t"), F.lit(i)) for i in (1, 2))
+    return F.struct(file.alias("fichero"), F.array_position(order, label).alias("o"), label.alias("patron_observado"))
+
+
+#: How values of a key are ordered, if not as texts.
+BY = {"patrones": _pattern}
+
+
+def _patterns(at):
+    rows = F.transform(at("patrones"), lambda x: _pattern(x["valor"]))
     return F.transform(F.slice(F.array_sort(rows), 1, 20), lambda x: F.struct(x["patron_observado"].alias("patron_observado"), x["fichero"].alias("fichero")))
 
 
@@ -134,14 +156,14 @@ def _listed(key: str, what: str, matches: str):
 #: The registry: one entry for each extractor that reads files.
 EXTRACTORS = (
     Extractor("version_y_proveedor", _named, lambda at: F.struct(_one(at, "version").alias("version"), _one(at, "nombre").alias("nombre")), "ningún manifiesto declara nombre o versión"),
-    Extractor("dependencias", _depends, lambda at: F.struct(_times(at, "dependencia").alias("total"), _times(at, "dependencia", lambda x: x["valor"].rlike(PINNED)).alias("fijadas"), _values(at, "dependencia", 60).alias("lista")), "ninguna dependencia declarada"),
-    Extractor("computo", _computes, lambda at: F.struct(_values(at, "pistas", 20).alias("pistas")), "ningún manifiesto de despliegue declara recursos; los de integración continua no cuentan"),
+    Extractor("dependencias", _depends, lambda at: F.struct(_times(at, TIMES + "dependencia").alias("total"), _times(at, "fijada").alias("fijadas"), _values(at, "dependencia", 60).alias("lista")), "ninguna dependencia declarada", first={"dependencia": 60}),
+    Extractor("computo", _computes, lambda at: F.struct(_values(at, "pistas", 20).alias("pistas")), "ningún manifiesto de despliegue declara recursos; los de integración continua no cuentan", first={"pistas": 20}),
     Extractor("terceros", lambda path, text, code, ok: [], lambda at: F.struct(_values(at, "sitios").alias("sitios")), "ninguna carga de modelos de terceros en el código leído"),
     Extractor("arquitectura", _is_built, lambda at: F.struct(_times(at, "paquetes").alias("modulos"), _folders(at).alias("paquetes"), F.when(F.size(at("puntos_de_entrada")) > 0, _values(at, "puntos_de_entrada")).otherwise(F.array(F.lit(NO_ENTRY))).alias("puntos_de_entrada")), "ningún módulo Python leído", 40),
     Extractor("datos", *_listed("fichas", "ninguna ficha de un conjunto de datos", DATASHEETS)),
     Extractor("instrucciones", *_listed("documentos", "ningún documento de instrucciones de uso", MANUALS)),
-    Extractor("ciberseguridad", _protects, lambda at: F.struct(_patterns(at).alias("patrones"), F.size(at("patrones")).cast("long").alias("total_observados")), "ningún patrón de ciberseguridad en el código; hay que aportarlo", 20),
-    Extractor("cambios", _changes, lambda at: F.struct(F.array_min(F.transform(at("fichero"), lambda x: x["path"])).alias("fichero"), _by_path(at, "versiones", 20).alias("versiones")), "ningún historial de cambios"),
+    Extractor("ciberseguridad", _protects, lambda at: F.struct(_patterns(at).alias("patrones"), _times(at, NUMBER + "patrones").alias("total_observados")), "ningún patrón de ciberseguridad en el código; hay que aportarlo", 20, {"patrones": 20}),
+    Extractor("cambios", _changes, lambda at: F.struct(F.array_min(F.transform(at("fichero"), lambda x: x["path"])).alias("fichero"), _by_path(at, "versiones", 20).alias("versiones")), "ningún historial de cambios", first={"fichero": 1, "versiones": 20}),
 )
 
 
@@ -163,21 +185,46 @@ def _sources(found: DataFrame, extractors: Sequence[Extractor]) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("repo", "extractor").orderBy("path"))
     few = each.where(F.col("extractor").isin(*most)).withColumn("nth", nth).where(F.col("nth") <= widest).drop("nth")
     limit = F.coalesce(F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col("extractor")], F.lit(2**31 - 1)) if most else F.lit(2**31 - 1)
-    listed = each.where(~F.col("extractor").isin(*most)).unionByName(few).groupBy("repo", "extractor").agg(F.array_sort(F.collect_list("path")).alias("fuentes"))
+    listed = each.where(~F.col("extractor").isin(*most)).unionByName(few).groupBy("repo", "extractor").agg(F.sort_array(F.collect_list("path")).alias("fuentes"))
     return listed.withColumn("fuentes", F.slice("fuentes", F.lit(1), limit))
 
 
+#: Keys whose facts differ by path and order.
+PLACED = ("version", "nombre", "versiones")
+
+
+def _first_ones(counted: DataFrame, extractors: Sequence[Extractor]) -> DataFrame:
+    """The facts that a repository's row needs: of bounded keys the first ones, and rows NUMBER + key and TIMES + key with their numbers."""
+    most = {(e.name, key): k for e in extractors for key, k in e.first.items()}
+    if not most:
+        return counted
+    own = lambda name, key: (F.col("extractor") == name) & (F.col("clave") == key)
+    limit = F.coalesce(*[F.when(own(*at), F.lit(k)) for at, k in most.items()])
+    rest = counted.where(limit.isNull())
+    bounded = counted.where(limit.isNotNull())
+    by = [F.when(own(*at), BY[at[1]](F.col("valor"))) for at in most if at[1] in BY]
+    nth = F.row_number().over(Window.partitionBy("repo", "extractor", "clave").orderBy("path", "orden", *by, "valor"))
+    few = bounded.withColumn("nth", nth).where(F.col("nth") <= max(most.values())).where(F.col("nth") <= limit).drop("nth")
+    totals = bounded.groupBy("repo", "extractor", "clave").agg(F.count("*").alias("rows"), F.sum("n").alias("times"))
+    told = F.array(*[F.struct(F.concat(F.lit(mark), "clave").alias("clave"), F.col(c).alias("n")) for mark, c in ((NUMBER, "rows"), (TIMES, "times"))])
+    nothing = lambda c: F.lit(None).cast(counted.schema[c].dataType).alias(c)
+    totals = totals.select("repo", "extractor", F.inline(told)).select("repo", "extractor", "clave", nothing("valor"), nothing("path"), nothing("orden"), "n")
+    return rest.unionByName(few).unionByName(totals)
+
+
 def extracted(files: DataFrame, calls: DataFrame, extractors: Sequence[Extractor] = EXTRACTORS) -> DataFrame:
     """(repo, extractor, contenido, fuentes, motivo) of every repository and extractor: JSON and its sources, or the reason why there is none."""
-    found = facts(files, calls, extractors)
-    # What repeats is counted, not listed; version and release facts differ by place.
-    counted = found.where("clave <> ''").groupBy("repo", "extractor", "clave", "valor", F.when(F.col("clave").isin("version", "nombre", "versiones", "fichero"), F.col("path")).alias("path"), F.when(F.col("clave").isin("version", "nombre", "versiones"), F.col("orden")).alias("orden")).agg(F.count("*").alias("n"))
-    held = counted.groupBy("repo", "extractor").agg(F.collect_list(F.struct("clave", "valor", "path", "orden", "n")).alias("hechos"))
+    # Texts are read once; version and release facts differ by place.
+    placed = F.when(F.col("clave").isin(*PLACED), F.col("orden"))
+    found = settled(facts(files, calls, extractors).groupBy("repo", "extractor", "clave", "valor", "path", placed.alias("orden")).agg(F.count("*").alias("n")))
+    # What repeats is counted, not listed.
+    counted = found.where("clave <> ''").groupBy("repo", "extractor", "clave", "valor", F.when(F.col("clave").isin(*PLACED, "fichero"), F.col("path")).alias("path"), "orden").agg(F.sum("n").alias("n"))
+    held = _first_ones(counted, extractors).groupBy("repo", "extractor").agg(F.collect_list(F.struct("clave", "valor", "path", "orden", "n")).alias("hechos"))
     at = lambda key: F.filter("hechos", lambda x: x["clave"] == key)
     content = F.coalesce(*[F.when(F.col("extractor") == e.name, F.to_json(e.content(at))) for e in extractors])
-    rows = held.select("repo", "extractor", content.alias("contenido")).join(_sources(found, extractors), ["repo", "extractor"])
+    rows = held.select("repo", "extractor", content.alias("contenido")).join(_sources(found, extractors).hint("merge"), ["repo", "extractor"])  # rows are as long as what they list
     every = files.select("repo").distinct().select("repo", F.inline(F.array(*[F.struct(F.lit(e.name).alias("extractor"), F.lit(e.reason).alias("falta")) for e in extractors])))
-    out = every.join(rows, ["repo", "extractor"], "left")
+    out = every.join(rows.hint("merge"), ["repo", "extractor"], "left")
     return out.select("repo", "extractor", "contenido", F.coalesce("fuentes", F.array().cast("array<string>")).alias("fuentes"), F.when(F.col("contenido").isNull(), F.col("falta")).alias("motivo"))
 
 
@@ -202,7 +249,7 @@ def sections(found: DataFrame, lines: DataFrame, supplied: DataFrame, spec: Sequ
     rows = F.array(*[F.struct(F.lit(i), F.lit(s), F.lit(p), F.lit(e if o == "derivada" else None), F.lit(ob)) for i, (s, p, o, e, ob) in enumerate(spec)]).cast(kind)
     every = found.select("repo").distinct().select("repo", F.inline(rows))
     checks = lines.select("repo", F.lit("control").alias("extractor"), "obligacion", F.to_json(F.struct("estado", "hallazgos", F.col("preguntas").alias("preguntas_abiertas"))).alias("c"), F.array(F.concat(F.lit("control de "), "obligacion")).alias("f"))
-    derived = every.join(found, ["repo", "extractor"], "left").join(checks, ["repo", "extractor", "obligacion"], "left").join(supplied, ["repo", "seccion"], "left")
+    derived = every.join(found.hint("merge"), ["repo", "extractor"], "left").join(checks, ["repo", "extractor", "obligacion"], "left").join(supplied, ["repo", "seccion"], "left")
     content, given = F.coalesce("contenido", "c"), F.col("texto").isNotNull()
     origin = F.when(content.isNotNull(), F.when(given, "derivada+aportada").otherwise("derivada")).when(given, "aportada").otherwise("ausente")
     reason = F.coalesce("motivo", F.when(F.col("extractor") == "control", F.concat(F.lit("no hay línea del plan de "), "obligacion")), F.lit(PERSON))

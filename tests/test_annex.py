@@ -1,6 +1,7 @@
 """Annex IV from trees on disk: what each extractor reads, what it says when there is nothing, and the documents."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,18 @@ def test_long_contents_are_cut_in_the_text_only(spark):
     whole = json.loads(next(s for s in json.loads(annex.document(got).first().documento)["secciones"] if s["seccion"] == "AIV-2-d")["contenido"])
     text = annex.markdown(got).first().documento
     assert whole["fichas"] == paths and f"faltan {len(json.dumps(whole, separators=(',', ':'))) - annex.SHOWN} caracteres" in text and paths[-1] not in text
+
+
+def test_a_large_repository_costs_no_square(spark):
+    """16 000 releases of 4 000 logs, of which one counts, and 9 000 dependencies, of which 60 are listed."""
+    logs = spark.range(4000).select(F.concat(F.lit("log/changelog"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("path"), F.concat(F.lit("# 4.0."), "id", F.lit("\n## 3.0.0\n# 2.0.0\n# v1.0."), "id").alias("text"))
+    deps = spark.range(30).select(F.concat(F.lit("r"), "id", F.lit("/requirements.txt")).alias("path"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: F.concat(F.lit("d"), F.col("id") * 1000 + k, F.when(k % 3 == 0, "==1").otherwise(""))), "\n").alias("text"))
+    rows = logs.unionByName(deps).select(F.lit("r").alias("repo"), "path", "text", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("error"))
+    began = time.time()
+    got = {r.extractor: json.loads(r.contenido) for r in annex.extracted(rows, spark.createDataFrame([], "repo string, path string, dotted string")).collect() if r.contenido}
+    assert time.time() - began < 45
+    assert got["cambios"] == {"fichero": "log/changelog00000", "versiones": ["4.0.0", "3.0.0", "2.0.0", "1.0.0"]}
+    names = sorted(f"d{i * 1000 + k}" + "==1" * (k % 3 == 0) for i in range(30) for k in range(300))
+    assert got["dependencias"] == {"total": 9000, "fijadas": 3000, "lista": names[:60]}
+    few = annex._first_ones(spark.createDataFrame([("r", "dependencias", "dependencia", f"v{i:03}", None, None, 2) for i in range(100)], "repo string, extractor string, clave string, valor string, path string, orden int, n long"), annex.EXTRACTORS).collect()
+    assert len(few) == 62 and {r.clave: r.n for r in few} == {"dependencia": 2, "#dependencia": 100, "*dependencia": 200}
