@@ -23,8 +23,9 @@ def signed_events(spark, sf_dir):
     """Events signed with their client's secret, with another's, with the bare secret, or not at all; a fifth of the clients has none."""
     n, m = F.col("n_nationkey"), F.col("event_id") % 7
     secrets = table(spark, sf_dir, "nation").where(n % 5 != 0).select(n.alias("cliente"), F.concat("n_name", F.lit("-"), n).alias("secreto"))
+    inner, outer = signatures.pads(F.col("secreto").cast("binary"))
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("cliente"), F.coalesce("props", F.lit("")).cast("binary").alias("cuerpo"))
-    right = e.join(F.broadcast(secrets), "cliente", "left").withColumn("mac", signatures.hmac_sha256(F.col("secreto").cast("binary"), F.col("cuerpo")))  # one for each nation
+    right = e.join(F.broadcast(secrets.select("*", inner.alias("i"), outer.alias("o"))), "cliente", "left").withColumn("mac", signatures.signed(F.col("i"), F.col("o"), F.col("cuerpo")))  # one for each nation
     sent = (
         F.when(m == 0, F.create_map(F.lit("X-Hub-Signature-256"), F.concat(F.lit("sha256="), "mac"))).when(m == 1, F.create_map(F.lit("X-Firma"), F.col("mac"), F.lit("X-Gitlab-Token"), F.lit(" ")))
         .when(m == 2, F.create_map(F.lit("X-Gitlab-Token"), F.col("secreto"))).when(m == 4, F.create_map(F.lit("X-Gitlab-Token"), F.col("mac")))

@@ -77,3 +77,11 @@ def test_tree_digest_moves_with_what_it_says(spark):
     assert (first.ficheros, first.ilegibles) == (302, 1) and digest(base[::-1]) == first
     for changed in ([*base[1:], ("p0", "other", None)], [*base[1:], ("p0b", "t0", None)], base[1:], [*base[:-1], ("e", None, "otro")], [*base[:-2], base[-1], ("u", "", None)], [*base[:-2], base[-1], ("u2", None, None)]):
         assert digest(changed).sujeto_digest != first.sujeto_digest
+
+
+def test_pads_are_made_for_keys_and_not_for_events(spark):
+    from probatum.catalog import QUERIES
+
+    plan = QUERIES["signed_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.rindex("Join ")]
+    assert above.count("Join ") == 1 and "sha2(" in above and "translate(" in plan and "translate(" not in above
