@@ -167,8 +167,7 @@ def strict_null_and(spark, sf_dir):
 
 @query(f"SELECT perfil_id, obligacion_id FROM ({_P_SQL}) p, ({_O_SQL}) o WHERE list_has_any(roles, roles_obligados)")
 def role_overlap_join(spark, sf_dir):
-    p, o = _profiles(spark, sf_dir), _obligations(spark, sf_dir)
-    return p.select("perfil_id", F.explode("roles").alias("rol")).join(o.select("obligacion_id", F.explode("roles_obligados").alias("rol")), "rol").select("perfil_id", "obligacion_id").distinct()
+    return applicability.bound_by_role(_profiles(spark, sf_dir), _obligations(spark, sf_dir))
 
 
 @query("SELECT l_suppkey AS obligacion, l_partkey % 50 AS control, count(DISTINCT l_orderkey) AS lineas FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY ALL")

@@ -152,3 +152,18 @@ def test_catalogue_is_loaded_and_its_faults_are_named(spark, tmp_path):
     (tmp_path / "reglas" / "b.json").write_text("{")
     with pytest.raises(Exception):
         catalogues.load_rules(spark, str(tmp_path / "reglas"))
+
+
+def test_roles_bind_each_pair_once_without_a_table_of_pairs(spark):
+    p = spark.createDataFrame([(1, ["a", "b", "a", None]), (2, [None]), (3, []), (4, None), (5, ["b"]), (5, ["b"])], "perfil_id long, roles array<string>")
+    o = spark.createDataFrame([("x", ["b", "a", None]), ("y", ["c", None]), ("z", ["b", "b"])], "obligacion_id string, roles_obligados array<string>")
+    got = applicability.bound_by_role(p, o)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x"), (1, "z"), (5, "x"), (5, "x"), (5, "z"), (5, "z")]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_of_one_file_are_dealt_over_tasks(spark):
+    from probatum.catalog import QUERIES
+
+    for name in ("applicability_by_table", "applicability_case"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() > 1
