@@ -103,15 +103,13 @@ def freshness_terms(spark, sf_dir):
     SELECT n, lote, CASE WHEN n = min(n) OVER (PARTITION BY control_id, sujeto_digest, contenido) THEN 'observacion' ELSE 'revalidacion' END AS tipo, control_id, sujeto_digest, contenido, true AS encadena FROM o""")
 def log_in_batches(spark, sf_dir):
     """All events appended to a new log in three batches, read back: new content is an observation, and every line enters the seal before."""
-    from pyspark.sql.window import Window
-
     from probatum.functions.lineage import shared_folder
 
     log = sink.Log(spark, shared_folder(spark, "log"), "log_in_batches")
     e = table(spark, sf_dir, "events")
     for batch in range(3):
         rows = e.where(F.col("event_id") % 3 == batch).select(F.col("user_id").cast("string").alias("control_id"), F.col("event_type").alias("sujeto_digest"), F.coalesce("props", F.lit("")).alias("contenido"), F.col("ts").cast("timestamp").alias("cuando"), "event_id")
-        log.append(rows.withColumn("orden", F.row_number().over(Window.orderBy("cuando", "event_id")).cast("long")).drop("event_id"), batch)
+        log.append(sink.numbered(rows, "cuando", "event_id").drop("event_id"), batch)
     lines = sink.read(spark, log.path)
     bad = sink.breaks(lines).select("n").withColumn("mal", F.lit(True))
     return lines.join(bad, "n", "left").select("n", "lote", "tipo", "control_id", "sujeto_digest", "contenido", F.col("mal").isNull().alias("encadena"))

@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
+from probatum.functions.lineage import shared_folder
 from probatum.operators import evidence
 
 GENESIS = "genesis"
@@ -69,24 +71,97 @@ def head(log: DataFrame) -> tuple[int, str]:
     return (last.n, last.sello) if last else (0, GENESIS)
 
 
-def _chained(n: int, seal: str):
+#: Lines, and bytes of their texts, that one task sorts, and lines whose seals one job makes in order.
+LINES, BYTES, STEP = 1 << 18, 64 << 20, 1 << 20
+
+
+def _dealt(rows: DataFrame) -> tuple[int, int]:
+    """(rows, parts that they are dealt to, so that no task's memory grows with the table)."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind == "string"]
+    many, size = rows.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0))).first()
+    return many, max(1, -(-many // LINES), -(-size // BYTES))
+
+
+def _laid(rows: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder, and the path there."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds orden, a row's number from 1. Ranges of the order are sorted side by side; what is ordered as a whole is a count for each range.
+
+    Rows of equal order have one range; where they differ elsewhere, their numbers are left open.
+    """
+    ranges = rows.repartitionByRange(_dealt(rows)[1], *order).sortWithinPartitions(*order).withColumn("_en", F.monotonically_increasing_id())
+    placed = _laid(ranges, "orden")[0].withColumn("_rango", F.shiftright("_en", 33))
+    before = F.coalesce(F.sum("_filas").over(Window.orderBy("_rango").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = placed.groupBy("_rango").agg(F.count("*").alias("_filas")).select("_rango", before.alias("_antes"))
+    at = F.col("_antes") + F.col("_en").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(counts), "_rango").select(*rows.columns, at.cast("long").alias("orden"))
+
+
+def _seal(n: int, before: str, digest: str) -> str:
+    return hashlib.sha256(f"{n}\x1f{before}\x1f{digest}".encode()).hexdigest()
+
+
+def _starts(seal: str):
+    """(tramo, previo) of each block's first line in ordered lines, and the last seal without a block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, last, found = seal, None, []
+        for f in frames:
+            for block, n, digest in zip(f["_tramo"], f["n"], f["cuerpo"], strict=True):
+                if block != last:
+                    found.append((block, before))
+                    last = block
+                before = _seal(n, before, digest)
+        yield pd.DataFrame([*found, (None, before)], columns=["_tramo", "previo"]).astype({"_tramo": "Int64"})
+
+    return run
+
+
+def _chained(starts: dict[int, str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = seal
+        before, last = None, None
         for f in frames:
             previous, seals = [], []
-            for at, digest in zip(f["n"], f["cuerpo"], strict=True):
+            for block, n, digest in zip(f["_tramo"], f["n"], f["cuerpo"], strict=True):
+                if block != last:
+                    before, last = starts[block], block
                 previous.append(before)
-                before = hashlib.sha256(f"{at}\x1f{before}\x1f{digest}".encode()).hexdigest()
+                before = _seal(n, before, digest)
                 seals.append(before)
             yield f.assign(previo=previous, sello=seals)[["n", *FIELDS, "previo", "sello"]]
 
     return run
 
 
-def sealed(rows: DataFrame, n: int, seal: str) -> DataFrame:
-    """Lines (n, tipo, ...) chained from a head on. Each seal needs the one before: one ordered pass over a batch, of digests made side by side."""
-    digested = rows.select("n", *FIELDS, content_digest().alias("cuerpo"))
-    return digested.repartition(1).sortWithinPartitions("n").mapInPandas(_chained(n, seal), LINE)
+def sealed(rows: DataFrame, n: int, seal: str, many: int, parts: int) -> tuple[DataFrame, str]:
+    """So many lines (n, tipo, ...) chained from a head on, and the folder that they are read from.
+
+    Each seal needs the one before: that pass takes numbers and digests alone, STEP lines a job, and keeps the seal that each of so many blocks begins
+    with. From these the blocks are sealed side by side.
+    """
+    size = max(1, -(-many // parts))
+    block = F.coalesce(F.floor((F.col("n") - n - 1) / size), F.lit(0)).cast("long")
+    deal = lambda df: df.repartitionById(parts, F.pmod("_tramo", F.lit(parts)).cast("int")).sortWithinPartitions("_tramo", "n", "cuerpo")
+    laid, path = _laid(deal(rows.select("n", *FIELDS, content_digest().alias("cuerpo"), block.alias("_tramo"))), "tramos", "_tramo")
+    jobs, held = [], STEP
+    for r in laid.groupBy("_tramo").count().orderBy("_tramo").collect():  # a row for each block
+        if held + r["count"] > STEP:
+            jobs.append([])
+            held = 0
+        jobs[-1].append(r._tramo)
+        held += r["count"]
+    starts = {}
+    for blocks in jobs:
+        lines = laid.where(F.col("_tramo").between(blocks[0], blocks[-1])).select("_tramo", "n", "cuerpo")
+        for r in lines.repartition(1).sortWithinPartitions("_tramo", "n", "cuerpo").mapInPandas(_starts(seal), "_tramo long, previo string").collect():
+            starts[r._tramo] = r.previo
+        seal = starts.pop(None)
+    return deal(laid).mapInPandas(_chained(starts), LINE), path
 
 
 class Log:
@@ -150,8 +225,10 @@ class Log:
             fs, at = _fs(self.spark, target)
             fs.delete(at, True)
         log, n, seal = self._checked()
-        lines = sealed(evidence.append(log, records, n).select("n", *FIELDS), n, seal)
+        lines, laid = sealed(evidence.append(log, records, n).select("n", *FIELDS), n, seal, *_dealt(records))
         lines.write.parquet(target)
+        fs, at = _fs(self.spark, laid)
+        fs.delete(at, True)
         written = self.spark.read.schema(LINE).parquet(target)
         count = written.count()
         if count:
@@ -164,8 +241,7 @@ class Log:
         def each(batch: DataFrame, i: int) -> None:
             # A batch's order: by time, then content, so that a rerun numbers its records alike.
             rows = batch.select("control_id", "sujeto_digest", "contenido", "cuando")
-            order = rows.repartition(1).sortWithinPartitions("cuando", "control_id", "sujeto_digest", "contenido").withColumn("orden", F.monotonically_increasing_id() + 1)
-            self.append(order, i)
+            self.append(numbered(rows, "cuando", "control_id", "sujeto_digest", "contenido"), i)
 
         return records.writeStream.foreachBatch(each)
 

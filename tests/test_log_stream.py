@@ -1,6 +1,7 @@
 """The log as a streaming sink, its chain in runs, and freshness by timers."""
 
 import datetime
+import hashlib
 import random
 
 import pytest
@@ -89,6 +90,30 @@ def test_a_broken_log_is_refused(spark, tmp_path, harm, verify):
     assert sink.read(spark, log.path).where("lote = 3").count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 5, 1000])
+def test_a_batch_is_numbered_and_sealed_in_parts(spark, tmp_path, monkeypatch, step):
+    """No task takes a whole batch, and the chain is that of one ordered pass."""
+    monkeypatch.setattr(sink, "LINES", 4)
+    monkeypatch.setattr(sink, "STEP", step)
+    rnd = random.Random(step)
+    hours = [rnd.choice([None, *range(9)]) for _ in range(41)]
+    raw = [(str(i % 3), rnd.choice([None, "d"]), "x" * (i % 5), None if h is None else DAY + datetime.timedelta(hours=h), i) for i, h in enumerate(hours)]
+    rows = spark.createDataFrame(rnd.sample(raw, len(raw)), "control_id string, sujeto_digest string, contenido string, cuando timestamp, i int")
+    want = {r[4]: k for k, r in enumerate(sorted(raw, key=lambda r: (r[3] is not None, r[3] or DAY, r[4])), 1)}
+    given = sink.numbered(rows, "cuando", "i")
+    assert {r.i: r.orden for r in given.collect()} == want
+    log = sink.Log(spark, str(tmp_path / "log"), "w")
+    assert log.append(given.drop("i"), 0) == 41 and log.append(records(spark, *[("z", "d", str(h), h) for h in range(10)]), 1) == 10
+    assert max(r["count"] for r in spark.read.parquet(f"{log.path}/lineas").groupBy(F.input_file_name()).count().collect()) <= 4
+    lines, before = sink.read(spark, log.path).withColumn("cuerpo", sink.content_digest()).orderBy("n").collect(), sink.GENESIS
+    assert [r.n for r in lines] == list(range(1, 52))
+    for r in lines:
+        assert r.previo == before
+        before = hashlib.sha256(f"{r.n}\x1f{before}\x1f{r.cuerpo}".encode()).hexdigest()
+        assert r.sello == before
+    assert sink.breaks(sink.read(spark, log.path)).count() == 0
+
+
 def test_a_stream_into_the_log(spark, tmp_path):
     """Each file is a batch; a query that starts again from its checkpoint, and one that lost it, add nothing twice."""
     source, schema = tmp_path / "in", "control_id string, sujeto_digest string, contenido string, cuando timestamp"
