@@ -209,11 +209,21 @@ def _by_shard(of: np.ndarray):
     if len(of) and int(of.max()) < 1 << 16:
         of = of.astype(np.uint16)  # sorted by radix
     order = np.argsort(of, kind="stable")
-    which, first = np.unique(of[order], return_index=True)
-    for s, a, b in zip(which.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
+    sorted_of = of[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_of[1:] != sorted_of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    for s, a, b in zip(sorted_of[first].tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
         yield s, order[a:b]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them: only what a hash table has told apart is sorted."""
+    codes, u = pd.factorize(keys)
+    order = np.argsort(u)
+    rank = np.empty(len(u), np.int64)
+    rank[order] = np.arange(len(u))
+    return u[order], rank[codes]
+
+
 def _let_go(spark: SparkSession) -> None:
     """Shuffle files of frames that nothing refers to are deleted once both sides have collected them."""
     gc.collect()
@@ -373,14 +383,20 @@ class Level:
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of n-grams; -1 for unknown ones."""
-        u, back = np.unique(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64), return_inverse=True)
+        u, back = distinct(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
         got = np.full(len(u), -1, np.int64)
+        for s, at, k in self.found(u):
+            got[at] = k + self.bounds[s]
+        return got[back]
+
+    def found(self, u: np.ndarray):
+        """(shard, places in u, places in the shard) of those of some sorted keys that are n-grams."""
         for s, at in _by_shard(key_shard(u, len(self.bounds) - 1)):
             if self.bounds[s + 1] > self.bounds[s]:
-                keys = self.keys(s)
-                k = np.minimum(np.searchsorted(keys, u[at]), len(keys) - 1)
-                got[at] = np.where(keys[k] == u[at], k + self.bounds[s], -1)
-        return got[back]
+                keys, here = self.keys(s), u[at]
+                k = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
+                hit = keys[k] == here
+                yield s, at[hit], k[hit]
 
     def key(self, places: np.ndarray) -> np.ndarray:
         out, of = np.zeros(len(places), np.uint64), np.searchsorted(self.bounds, places, "right") - 1
@@ -563,22 +579,32 @@ class Chain:
         return out
 
     def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Orders from two up, each worked out once for each distinct n-gram of the texts, in the order of its key."""
         m = self.low.m
         p = self.low.unigram(ids)
-        for k, context, place in places(self.levels, ids, at, m.v):
-            known = (context >= 0) & (context < len(self.sums[k]))
-            b = np.zeros((len(ids), 4))
-            b[known] = self.begun(k, context[known])
-            c = np.zeros(len(ids))
-            bounds = self.levels[k].bounds
-            found = np.flatnonzero(place >= 0)
-            of = np.searchsorted(bounds, place[found], "right") - 1
-            for s, at in _by_shard(of):
-                here = found[at]
-                c[here] = m.files.counts(f"times{'' if k == 2 else k}-{s}", place[here] - bounds[s], self.maps)
+        context = np.concatenate([[m.v], ids[:-1]]) if len(ids) else ids.copy()
+        context[at[:-1]] = m.v
+        for k, level in self.levels.items():
+            # A context that begins nothing leaves the lower order as it is; a word that isn't known has a key, but none that is found.
+            known = np.flatnonzero((context >= 0) & (context < len(self.sums[k])))
+            u, back = distinct(context[known].astype(np.uint64) << np.uint64(32) | np.minimum(ids[known], 0xFFFFFFFF).astype(np.uint64))
+            left = (u >> np.uint64(32)).astype(np.int64)
+            first = np.concatenate([[True], left[1:] != left[:-1]]) if len(u) else np.zeros(0, bool)
+            b = self.begun(k, left[first])
+            c, place = np.zeros(len(u)), np.full(len(u), -1, np.int64)
+            for s, here, there in level.found(u):
+                c[here] = m.files.counts(f"times{'' if k == 2 else k}-{s}", there, self.maps)
+                place[here] = there + level.bounds[s]
             d = np.array([0.0, *m.levels[k - 2][1]])
-            total = np.maximum(b[:, 3], 1)
-            p = np.where(b[:, 3] > 0, np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / total + b[:, :3] @ d[1:] / total * p, p)
+            total, of = np.maximum(b[:, 3], 1), np.cumsum(first) - 1
+            rest = np.where(b[:, 3] > 0, (b[:, 0] * d[1] + b[:, 1] * d[2] + b[:, 2] * d[3]) / total, 1.0)
+            own = np.where(b[of, 3] > 0, np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / total[of], 0.0)
+            p[known] = own[back] + rest[of][back] * p[known]
+            if k - 1 < len(m.levels):
+                last = np.full(len(ids), -1, np.int64)
+                last[known] = place[back]
+                context = np.concatenate([[-1], last[:-1]]) if len(ids) else ids.copy()
+                context[at[:-1]] = -1
         return p
 
 
@@ -709,7 +735,7 @@ def score(docs: DataFrame, model: Model, held=HELD_OUT) -> DataFrame:
         s = model.open()
         chain = Chain(s) if model.levels else None
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 h, at = documents_tokens(batch.column("text"))
                 ids = s.ids(h)
                 left = np.concatenate([[model.v], ids[:-1]]) if len(ids) else ids

@@ -347,6 +347,26 @@ def test_kneser_ney_of_higher_orders_equals_brute_force(docs, awkward, order):
     assert len(kneser_ney.train_and_score(awkward, order).collect()) == len(AWKWARD) and kneser_ney.train_and_score(awkward.limit(0), order).count() == 0
 
 
+def test_kneser_ney_looks_up_each_ngram_once(spark, monkeypatch):
+    """A slice's repeated n-grams share one look into the model: counts, sums and places; and a phrase scores alike wherever it stands."""
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = kneser_ney.train(docs, words_per_shard=50, order=3)
+    chain, looked = kneser_ney.Chain(m.open()), collections.defaultdict(list)
+    begun, counts = kneser_ney.Chain.begun, kneser_ney.Files.counts
+    monkeypatch.setattr(kneser_ney.Chain, "begun", lambda self, k, at: looked["begun", k].extend(at.tolist()) or begun(self, k, at))
+    monkeypatch.setattr(kneser_ney.Files, "counts", lambda self, name, at, held: looked[name].extend(at.tolist()) or counts(self, name, at, held))
+    texts = [t for _, t in rows] * 30 + ["w1 new w2 w3", "", "new"]
+    h, at = kneser_ney.documents_tokens(pa.array(texts))
+    p = chain.probabilities(chain.low.ids(h), at)
+    assert looked and all(len(x) == len(set(x)) for x in looked.values())
+    once = np.split(p, at[1:-1])
+    assert all(np.array_equal(once[i], once[i % 20]) for i in range(600))
+    for i in (0, 7, 600, 601, 602):
+        h, at = kneser_ney.documents_tokens(pa.array(texts[i : i + 1]))
+        assert np.allclose(chain.probabilities(chain.low.ids(h), at), once[i], rtol=1e-12)
+
+
 def test_estimated_accuracies_of_erring_labellers():
     """Overlapping labellers of known rates: estimates come near them, and posteriors beat 'any junk vote is junk'."""
     rnd = np.random.default_rng(2)
